@@ -93,7 +93,7 @@ class _Clusters:
             yield (k, *box, s[4], s[5], len(s[6]))
 
 
-def _walk(keys: list[str], min_iou: float, best_fit: bool, cell: float):
+def _walk(keys: list[str], best_fit: bool, cell: float):
     names = [*keys, "cluster", "x", "y", "w", "h", "weight_sum", "members", "sources"]
     chunk = 5000
 
@@ -101,8 +101,8 @@ def _walk(keys: list[str], min_iou: float, best_fit: bool, cell: float):
         current, clusters, out = None, None, []
         for pdf in batches:
             groups = list(zip(*(pdf[k].tolist() for k in keys)))
-            cols = [pdf[c].tolist() for c in ("x", "y", "w", "h", "_weight", "_source")]
-            for key, *values in zip(groups, *cols):
+            cols = [pdf[c].tolist() for c in ("x", "y", "w", "h", "_weight", "_source", "_min_iou")]
+            for key, *values, min_iou in zip(groups, *cols):
                 if key != current:
                     if clusters is not None:
                         out.extend((*current, *r) for r in clusters.rows())
@@ -149,18 +149,22 @@ def _with_strips(df: DataFrame, keys: list[str], hot: DataFrame, cell: float) ->
 
 
 def cluster_boxes(
-    dets: DataFrame, weight: Column, source: str, min_iou: float, keys: Sequence[str], *,
+    dets: DataFrame, weight: Column, source: str, min_iou: float | Column, keys: Sequence[str], *,
     best_fit: bool, hot_rows: int = HOT_ROWS, cell: float = INDEX_CELL,
 ) -> DataFrame:
     """Online clusters per key: ``keys, cluster, x, y, w, h, weight_sum, members, sources``.
 
     ``best_fit``: join the cluster of highest IoU above ``min_iou``; otherwise the earliest
-    cluster at or above it. ``cell`` is the unit of the cluster index, in box units.
+    cluster at or above it. ``min_iou`` may be a column that is constant per group. ``cell`` is
+    the unit of the cluster index, in box units.
     """
-    if min_iou <= 0:
-        raise ValueError("min_iou must be above 0: boxes that do not touch are never fused")
+    if not isinstance(min_iou, Column):
+        if min_iou <= 0:
+            raise ValueError("min_iou must be above 0: boxes that do not touch are never fused")
+        min_iou = F.lit(float(min_iou))
     keys = list(keys)
-    rows = dets.select(*keys, "pred_id", *"xywh", weight.alias("_weight"), F.col(source).alias("_source"))
+    rows = dets.select(
+        *keys, "pred_id", *"xywh", weight.alias("_weight"), F.col(source).alias("_source"), min_iou.alias("_min_iou"))
     rows = rows.where((F.col("w") > 0) & (F.col("h") > 0))
     hot = hot_groups(rows, keys, hot_rows)
     walk_keys = keys
@@ -176,7 +180,17 @@ def cluster_boxes(
         T.StructField("sources", T.LongType()),
     ])
     ordered = rows.repartition(*walk_keys).sortWithinPartitions(*walk_keys, F.col("_weight").desc(), F.col("pred_id").asc())
-    return ordered.mapInPandas(_walk(walk_keys, min_iou, best_fit, cell), schema)
+    out = ordered.mapInPandas(_walk(walk_keys, best_fit, cell), schema)
+    if hot is None:
+        return out
+    # Clusters are numbered per strip; make the number unique per group again.
+    strip = F.col("_sx") * (STRIPS + 1) + F.col("_sy")
+    return out.withColumn("cluster", strip.cast("bigint") * (1 << 28) + F.col("cluster")).drop("_sx", "_sy")
+
+
+def fused_id(clusters: DataFrame) -> DataFrame:
+    """A ``pred_id`` unique per image: class and cluster number."""
+    return clusters.withColumn("pred_id", F.col("category_id").cast("bigint") * (1 << 40) + F.col("cluster"))
 
 
 def wbf_sequential(
@@ -186,13 +200,13 @@ def wbf_sequential(
     """First-fit fusion over passes; score is the mean times the share of passes seen."""
     clusters = cluster_boxes(dets, F.col("score"), source, min_iou, keys, best_fit=False, **options)
     seen = F.least(F.col("sources"), F.lit(n_passes))
-    return clusters.where(F.col("sources") >= min_passes).select(
-        *keys, *"xywh",
+    return fused_id(clusters.where(F.col("sources") >= min_passes)).select(
+        *keys, "pred_id", *"xywh",
         (F.col("weight_sum") / F.col("members") * seen / F.lit(n_passes)).alias("score"), "members")
 
 
 def wbf_weighted(
-    dets: DataFrame, weights: Sequence[float], min_iou: float = 0.55, skip: float = 0.0,
+    dets: DataFrame, weights: Sequence[float], min_iou: float | Column = 0.55, skip: float = 0.0,
     keys: Sequence[str] = ("image_id", "category_id"), source: str = "model_id", **options,
 ) -> DataFrame:
     """Best-fit fusion of models with weights (the published weighted-boxes-fusion rule).
@@ -203,8 +217,8 @@ def wbf_weighted(
     table = F.array(*[F.lit(float(w)) for w in weights])
     weight = F.col("score") * F.element_at(table, (F.col(source) + 1).cast("int"))
     clusters = cluster_boxes(dets.where(F.col("score") >= skip), weight, source, min_iou, keys, best_fit=True, **options)
-    return clusters.select(
-        *keys, *"xywh",
+    return fused_id(clusters).select(
+        *keys, "pred_id", *"xywh",
         (F.col("weight_sum") / F.col("members") * F.least(F.col("members"), F.lit(len(weights))) / F.lit(float(sum(weights)))).alias("score"),
         "members")
 
@@ -224,15 +238,15 @@ def tile_fusion(dets: DataFrame, method: str, threshold: float, cap: int | None
 
     moved = dets.withColumns(dict(zip("xywh", G.tile_to_image(G.box_of(), F.col("tile_x"), F.col("tile_y")))))
     if method == "nms":
-        out = nms(moved, threshold).select("image_id", "category_id", *"xywh", "score")
+        out = nms(moved, threshold).select("image_id", "category_id", "pred_id", *"xywh", "score")
     elif method == "wbf":
         one = moved.withColumn("model_id", F.lit(0))
-        out = wbf_weighted(one, [1.0], threshold).select("image_id", "category_id", *"xywh", "score")
+        out = wbf_weighted(one, [1.0], threshold).select("image_id", "category_id", "pred_id", *"xywh", "score")
     else:
         raise ValueError(f"unknown method {method!r}")
     if cap is None:
         return out
-    return cap_per_group(out, ["image_id"], [F.col("score").desc(), F.col("category_id").asc(), F.col("x").asc(), F.col("y").asc()], cap)
+    return cap_per_group(out, ["image_id"], [F.col("score").desc(), F.col("pred_id").asc()], cap)
 
 
 def dispatch(dets: DataFrame, method: str, n_passes: int, nms_iou: float = 0.5, wbf_iou: float = 0.55) -> DataFrame:
@@ -241,7 +255,7 @@ def dispatch(dets: DataFrame, method: str, n_passes: int, nms_iou: float = 0.5,
     With one pass every method but ``concat_nms`` is plain suppression; an unknown name
     suppresses the first pass only.
     """
-    cols = ["image_id", "category_id", *"xywh", "score"]
+    cols = ["image_id", "category_id", "pred_id", *"xywh", "score"]
     if method == "concat_nms":
         return nms(dets, nms_iou).select(*cols)
     if n_passes == 1 or method not in ("wbf", "nms_then_wbf"):

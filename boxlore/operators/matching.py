@@ -43,12 +43,20 @@ def greedy_match(
     cell: int = CELL,
 ) -> DataFrame:
     """Matched pairs ``keys, pred_id, gt_id``. Add ``category_id`` to ``keys`` to match inside classes."""
+    pairs = candidate_pairs(preds, gts, min_iou, keys, hot_rows=hot_rows, cell=cell)
+    return resolve_pairs(pairs, keys, fold_limit)
+
+
+def candidate_pairs(
+    preds: DataFrame, gts: DataFrame, min_iou: float, keys: Sequence[str] = ("image_id",), *, hot_rows: int = HOT_ROWS, cell: int = CELL
+) -> DataFrame:
+    """Stored pairs at or above the IoU. They also serve matching inside classes: filter on equal classes."""
     keys = list(keys)
-    narrow = preds.select(*keys, "pred_id", "score", *"xywh")
+    classes = [] if "category_id" in keys or "category_id" not in preds.columns else ["category_id"]
+    narrow = preds.select(*keys, "pred_id", "score", *classes, *"xywh")
     if hot_groups(narrow, keys, hot_rows) is not None:
-        narrow = _without_surplus_copies(narrow, gts, min_iou, keys, hot_rows, cell)
-    pairs = materialise(iou_join(narrow, gts, min_iou, keys, cell=cell))
-    return resolve_pairs(pairs, keys, fold_limit)
+        narrow = _without_surplus_copies(narrow, gts, min_iou, keys, classes, hot_rows, cell)
+    return materialise(iou_join(narrow, gts, min_iou, keys, cell=cell))
 
 
 def resolve_pairs(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
@@ -100,30 +108,31 @@ def _mutual_best(live: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _without_surplus_copies(preds, gts, min_iou, keys, copies, cell) -> DataFrame:
+def _without_surplus_copies(preds, gts, min_iou, keys, classes, copies, cell) -> DataFrame:
     """Drop copies of one box that can never match.
 
-    Copies want the same boxes in the same order, so the k-th best copy matches only if all
-    better ones did: ranks beyond the number of partners are certain misses. They stay in the
-    result as unmatched, they only leave the pair list.
+    Copies of one class want the same boxes in the same order, so the k-th best copy matches
+    only if all better ones did: ranks beyond the number of partners are certain misses, with
+    classes and without. They stay in the result as unmatched, they only leave the pair list.
     """
-    where = [*keys, *"xywh"]
+    where = [*keys, *classes, *"xywh"]
     copied = materialise(preds.groupBy(*where).count().where(F.col("count") > copies).drop("count"))
     if copied.isEmpty():
         return preds
+    spots = [*keys, *"xywh"]
     partners = overlapping(
-        copied, gts.select(*keys, "gt_id", *"xywh"), keys, cell=cell,
+        copied.select(*spots).distinct(), gts.select(*keys, "gt_id", *"xywh"), keys, cell=cell,
         condition=G.iou(G.box_of("a_"), G.box_of("b_")) >= min_iou,
     ).groupBy(*keys, *[F.col(f"a_{c}").alias(c) for c in "xywh"]).agg(F.count("*").alias("partners"))
     ranks = ranked(preds.join(copied, where, "left_semi"), where, [F.col("score").desc(), F.col("pred_id").asc()], rank="_rank")
-    useful = ranks.join(partners, where).where(F.col("_rank") <= F.col("partners")).select(*preds.columns)
+    useful = ranks.join(partners, spots).where(F.col("_rank") <= F.col("partners")).select(*preds.columns)
     return preds.join(copied, where, "left_anti").unionByName(useful)
 
 
-def with_match(preds: DataFrame, matches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """All predictions with ``gt_id`` (NULL if unmatched) and ``is_tp`` as 0 or 1."""
-    on = [*[k for k in keys if k in matches.columns], "pred_id"]
-    return preds.join(matches.select(*on, "gt_id"), on, "left").withColumn("is_tp", F.col("gt_id").isNotNull().cast("int"))
+def with_match(preds: DataFrame, matches: DataFrame, flag: str = "is_tp") -> DataFrame:
+    """All predictions with a 0/1 column telling whether they matched."""
+    on = [c for c in matches.columns if c != "gt_id"]
+    return preds.join(matches.select(*on, F.lit(1).alias(flag)), on, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
 
 
 def match_status(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, **options) -> DataFrame:

@@ -12,35 +12,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxlore.functions.scalars import bucket_label, bucket_ordinal
-from boxlore.operators.matching import greedy_match, with_match
-from boxlore.operators.ranking import ranked
+from boxlore.operators.matching import candidate_pairs, greedy_match, resolve_pairs, with_match
+from boxlore.operators.ranking import rank_slices, slice_by
 
 TAIL_BUCKETS = [(1, 1), (2, 3), (4, 5), (6, 10), (11, 25), (26, None)]
 DETECTION_SHARE = 0.7
 CLASSIFICATION_SHARE = 0.3
 
-ORDER = ("score desc", "image_id", "pred_id")
-
 
 def _order() -> list[Column]:
     return [F.col("score").desc(), F.col("image_id").asc(), F.col("pred_id").asc()]
 
 
-def pr_curve(flagged: DataFrame, gt_counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def pr_curve(flagged: DataFrame, gt_counts: DataFrame, keys: Sequence[str], flag: str = "is_tp") -> DataFrame:
     """Precision and recall after every prediction, in score order.
 
-    ``flagged`` has ``keys, image_id, pred_id, score, is_tp``; ``gt_counts`` has ``keys, n_gt``.
+    ``flagged`` has ``keys, image_id, pred_id, score`` and the 0/1 column ``flag``; ``gt_counts``
+    has ``keys, n_gt``. A frame from :func:`sliced` is used as it is stored.
     """
     keys = list(keys)
-    running = ranked(flagged.select(*keys, "image_id", "pred_id", "score", "is_tp"), keys, _order(), {"is_tp": "tp"})
-    counted = running.join(gt_counts, keys) if keys else running.join(F.broadcast(gt_counts))
+    cut = flagged if "_slice" in flagged.columns else sliced(flagged.select(*keys, "image_id", "pred_id", "score", flag), keys)
+    running = rank_slices(cut, keys, _order(), {flag: "tp"})
+    counted = running.join(gt_counts, keys) if keys else running.withColumn("n_gt", gt_counts.select("n_gt").scalar())
     return counted.select(
-        *keys, "image_id", "pred_id", "score", "is_tp", "rank", "tp", (F.col("rank") - F.col("tp")).alias("fp"),
+        *keys, "image_id", "pred_id", "score", F.col(flag).alias("is_tp"), "rank", "tp", (F.col("rank") - F.col("tp")).alias("fp"),
         (F.col("tp") / F.col("rank")).alias("precision"),
         F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt")).otherwise(F.lit(0.0)).alias("recall"),
     )
 
 
+def sliced(flagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Store predictions in score order once, for curves over several groupings."""
+    return slice_by(flagged, [*[F.col(k) for k in keys], *_order()])
+
+
 def thresholds_reached(recall: Column) -> Column:
     """How many of the thresholds ``i * 0.01`` for i = 0..100 a recall reaches.
 
@@ -53,15 +58,13 @@ def thresholds_reached(recall: Column) -> Column:
     )
 
 
-def average_precision(flagged: DataFrame, gt_counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """101-point interpolated AP for every row of ``gt_counts``; 0 without predictions or truth.
+def _true_positives(curve: DataFrame) -> DataFrame:
+    # The best precision at or beyond a recall is always at a true positive.
+    return curve.where((F.col("is_tp") == 1) & (F.col("recall") > 0)).withColumn("_k", thresholds_reached(F.col("recall")))
 
-    The best precision at or beyond a recall is always at a true positive, so the curve shrinks
-    to at most 101 numbers per group before the only window that looks ahead.
-    """
-    keys = list(keys)
-    curve = pr_curve(flagged, gt_counts, keys).where((F.col("is_tp") == 1) & (F.col("recall") > 0))
-    steps = curve.groupBy(*keys, thresholds_reached(F.col("recall")).alias("_k")).agg(F.max("precision").alias("_p"))
+
+def _ap_of_steps(steps: DataFrame, gt_counts: DataFrame, keys: list[str]) -> DataFrame:
+    """AP from the best precision ``_p`` per number ``_k`` of thresholds reached: at most 101 rows per group."""
     from_here = W.partitionBy(*keys).orderBy(F.col("_k").desc())
     tail = from_here.rowsBetween(W.unboundedPreceding, W.currentRow)
     parts = steps.select(
@@ -69,47 +72,99 @@ def average_precision(flagged: DataFrame, gt_counts: DataFrame, keys: Sequence[s
         ((F.col("_k") - F.coalesce(F.lead("_k").over(from_here), F.lit(0))) * F.max("_p").over(tail)).alias("_part"),
     )
     ap = parts.groupBy(*keys).agg((F.sum("_part") / 101).alias("ap"))
-    scored = gt_counts.join(ap, keys, "left") if keys else gt_counts.join(F.broadcast(ap), how="left")
+    scored = gt_counts.join(ap, keys, "left") if keys else gt_counts.withColumn("ap", ap.scalar())
     return scored.withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
-def _flags(preds: DataFrame, gts: DataFrame, min_iou: float, config: list[str], match_keys: list[str], **options) -> DataFrame:
-    matches = greedy_match(preds, gts, min_iou, [*config, *match_keys], **options)
-    return with_match(preds.select(*config, "image_id", "category_id", "pred_id", "score"), matches, config)
+def average_precision(flagged: DataFrame, gt_counts: DataFrame, keys: Sequence[str], flag: str = "is_tp") -> DataFrame:
+    """101-point interpolated AP for every row of ``gt_counts``; 0 without predictions or truth.
+
+    The curve shrinks to at most 101 numbers per group before the only window that looks ahead.
+    """
+    keys = list(keys)
+    points = _true_positives(pr_curve(flagged, gt_counts, keys, flag))
+    return _ap_of_steps(points.groupBy(*keys, "_k").agg(F.max("precision").alias("_p")), gt_counts, keys)
+
+
+def average_precision_from(flagged: DataFrame, gt_counts: DataFrame, keys: Sequence[str], confs: Sequence[float], flag: str = "is_tp") -> DataFrame:
+    """AP for every lower score bound in ``confs``, from one curve; adds the column ``conf``.
+
+    A bound cuts the end off the score order, so ranks and sums of the remaining rows stay; only
+    the maximum runs over fewer of them.
+    """
+    keys = list(keys)
+    points = _true_positives(pr_curve(flagged, gt_counts, keys, flag))
+    bounds = F.array(*[F.lit(float(c)) for c in confs])
+    level = sum((F.when(F.col("score") >= c, 1).otherwise(0) for c in confs), F.lit(0))
+    low = points.groupBy(*keys, "_k", level.alias("_level")).agg(F.max("precision").alias("_p"), F.max("score").alias("_s"))
+    steps = low.withColumn("conf", F.explode(F.filter(bounds, lambda c: c <= F.col("_s"))))
+    steps = steps.groupBy(*keys, "conf", "_k").agg(F.max("_p").alias("_p"))
+    return _ap_of_steps(steps, gt_counts.withColumn("conf", F.explode(bounds)), [*keys, "conf"])
+
+
+def truth_counts(gts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return gts.groupBy(*keys).agg(F.count("*").alias("n_gt"))
+
+
+def flag_matches(preds: DataFrame, pairs: DataFrame, config: Sequence[str] = (), **options) -> DataFrame:
+    """Predictions with ``tp_any`` (class ignored) and ``tp_class``, stored in score order."""
+    config = list(config)
+    cols = [*config, "image_id", "pred_id", "gt_id", "score", "iou"]
+    anywhere = resolve_pairs(pairs.select(*cols), [*config, "image_id"], **options)
+    in_class = resolve_pairs(
+        pairs.where(F.col("pred_class") == F.col("gt_class")).select(*cols, F.col("pred_class").alias("category_id")),
+        [*config, "image_id", "category_id"], **options)
+    rows = preds.select(*config, "image_id", "category_id", "pred_id", "score")
+    return sliced(with_match(with_match(rows, anywhere, "tp_any"), in_class.drop("category_id"), "tp_class"), config)
 
 
 def detection_map(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, config: Sequence[str] = (), **options) -> DataFrame:
     """Class-agnostic AP over all images, one row (per configuration): ``n_gt, detection_map``."""
     config = list(config)
-    flagged = _flags(preds, gts, min_iou, config, ["image_id"], **options)
-    n_gt = gts.groupBy(*config).agg(F.count("*").alias("n_gt"))
-    return average_precision(flagged, n_gt, config).withColumnRenamed("ap", "detection_map")
+    matches = greedy_match(preds, gts, min_iou, [*config, "image_id"], **options)
+    flagged = with_match(preds.select(*config, "image_id", "pred_id", "score"), matches)
+    return average_precision(flagged, truth_counts(gts, config), config).withColumnRenamed("ap", "detection_map")
 
 
 def per_class_ap(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, config: Sequence[str] = (), **options) -> DataFrame:
     """AP of every class that occurs in the ground truth: ``category_id, n_gt, ap``."""
     config = list(config)
     keys = [*config, "category_id"]
-    n_gt = gts.groupBy(*keys).agg(F.count("*").alias("n_gt"))
-    flagged = _flags(preds, gts, min_iou, config, ["image_id", "category_id"], **options)
-    return average_precision(flagged, n_gt, keys)
+    matches = greedy_match(preds, gts, min_iou, [*config, "image_id", "category_id"], **options)
+    flagged = with_match(preds.select(*keys, "image_id", "pred_id", "score"), matches)
+    return average_precision(flagged, truth_counts(gts, keys), keys)
 
 
-def classification_map(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, config: Sequence[str] = (), **options) -> DataFrame:
-    per_class = per_class_ap(preds, gts, min_iou, config, **options)
+def mean_ap(per_class: DataFrame, config: Sequence[str] = ()) -> DataFrame:
     return per_class.groupBy(*config).agg(
         F.count("*").alias("n_classes"), F.coalesce(F.avg("ap"), F.lit(0.0)).alias("classification_map"))
 
 
+def classification_map(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, config: Sequence[str] = (), **options) -> DataFrame:
+    return mean_ap(per_class_ap(preds, gts, min_iou, config, **options), config)
+
+
 def hybrid_of(detection: Column, classification: Column) -> Column:
     return detection * DETECTION_SHARE + classification * CLASSIFICATION_SHARE
 
 
 def hybrid_score(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, config: Sequence[str] = (), **options) -> DataFrame:
+    """Both maps and their blend. One overlap join and one stored score order serve both."""
     config = list(config)
-    det = detection_map(preds, gts, min_iou, config, **options).select(*config, "detection_map")
-    cls = classification_map(preds, gts, min_iou, config, **options).select(*config, "classification_map")
-    both = det.join(cls, config) if config else det.join(F.broadcast(cls))
+    pairs = candidate_pairs(preds, gts, min_iou, [*config, "image_id"])
+    return hybrid_of_flags(flag_matches(preds, pairs, config, **options), gts, config)
+
+
+def hybrid_of_flags(flagged: DataFrame, gts: DataFrame, config: Sequence[str] = ()) -> DataFrame:
+    config, by_class = list(config), [*config, "category_id"]
+    det = average_precision(flagged, truth_counts(gts, config), config, "tp_any").withColumnRenamed("ap", "detection_map")
+    cls = mean_ap(average_precision(flagged, truth_counts(gts, by_class), by_class, "tp_class"), config)
+    return _blend(det, cls, config)
+
+
+def _blend(det: DataFrame, cls: DataFrame, config: list[str]) -> DataFrame:
+    det, cls = det.select(*config, "detection_map"), cls.select(*config, "classification_map")
+    both = det.join(cls, config) if config else det.withColumn("classification_map", cls.scalar())
     return both.withColumn("hybrid", hybrid_of(F.col("detection_map"), F.col("classification_map")))
 
 

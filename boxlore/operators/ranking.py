@@ -16,34 +16,31 @@ from pyspark.sql import functions as F
 from boxlore.session import materialise
 
 
-def ranked(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    sums: Mapping[str, str] | None = None,
-    rank: str = "rank",
-    slices: int | None = None,
-) -> DataFrame:
-    """Add the 1-based position in ``order`` per group, and running sums ``{column: name}``.
+def slice_by(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
+    """Store ``df`` in ordered slices of similar size, numbered in ``_slice``.
 
-    ``order`` must be total within a group, otherwise positions of equal rows are arbitrary.
+    The number has to be stored: recomputed range bounds could differ.
     """
-    sums = dict(sums or {})
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The slice number has to be stored: recomputed range bounds could differ.
-    cut = materialise(
-        df.repartitionByRange(n, *[F.col(c) for c in group], *order).withColumn("_slice", F.spark_partition_id())
-    )
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def rank_slices(cut: DataFrame, group: Sequence[str], order: Sequence[Column], sums: Mapping[str, str] | None = None, rank: str = "rank") -> DataFrame:
+    """Positions and running sums per group over the slices of :func:`slice_by`.
+
+    Any grouping works on slices of one overall order, so one stored cut can serve several.
+    """
+    sums, group = dict(sums or {}), list(group)
     parts = cut.groupBy(*group, "_slice").agg(
         F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums]
     )
+    # At most one row per slice in every partition of this window.
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select(
         *group, "_slice",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s0_{c}") for c in sums],
-    ) if group else _starts_overall(parts, sums)
+    )
     inside = W.partitionBy(*group, "_slice").orderBy(*order)
     running = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = cut.select(
@@ -52,20 +49,25 @@ def ranked(
         *[F.sum(c).over(running).alias(f"_c_{c}") for c in sums],
     ).join(starts, [*group, "_slice"])
     return out.select(
-        *df.columns,
+        *[c for c in cut.columns if c != "_slice"],
         (F.col("_r") + F.col("_n0")).cast("bigint").alias(rank),
         *[(F.col(f"_c_{c}") + F.col(f"_s0_{c}")).alias(name) for c, name in sums.items()],
     )
 
 
-def _starts_overall(parts: DataFrame, sums: Mapping[str, str]) -> DataFrame:
-    # One row per slice, so this window sees as many rows as there are shuffle partitions.
-    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    return parts.select(
-        "_slice",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s0_{c}") for c in sums],
-    )
+def ranked(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    sums: Mapping[str, str] | None = None,
+    rank: str = "rank",
+    slices: int | None = None,
+) -> DataFrame:
+    """Add the 1-based position in ``order`` per group, and running sums ``{column: name}``.
+
+    ``order`` must be total within a group, otherwise positions of equal rows are arbitrary.
+    """
+    return rank_slices(slice_by(df, [*[F.col(c) for c in group], *order], slices), group, order, sums, rank)
 
 
 def first_n(df: DataFrame, order: Sequence[Column], n: Column | int) -> DataFrame:

@@ -69,13 +69,16 @@ def iou_join(
 ) -> DataFrame:
     """Prediction and ground-truth pairs at or above an IoU (``strict``: above).
 
-    Returns ``keys, pred_id, gt_id, score, iou``. ``min_iou`` 0 means any overlap.
+    Returns ``keys, pred_id, gt_id, score, iou`` and, where classes are known and no key, both
+    classes. ``min_iou`` 0 means any overlap.
     """
+    classes = [] if "category_id" in keys or "category_id" not in preds.columns or "category_id" not in gts.columns else ["category_id"]
     pairs = overlapping(
-        preds.select(*keys, "pred_id", "score", *"xywh"),
-        gts.select(*keys, "gt_id", *"xywh"),
+        preds.select(*keys, "pred_id", "score", *classes, *"xywh"),
+        gts.select(*keys, "gt_id", *classes, *"xywh"),
         keys, cell=cell,
     ).select(
+        *[F.col("a_category_id").alias("pred_class") for _ in classes], *[F.col("b_category_id").alias("gt_class") for _ in classes],
         *keys, F.col("a_pred_id").alias("pred_id"), F.col("b_gt_id").alias("gt_id"), F.col("a_score").alias("score"),
         G.iou(G.box_of("a_"), G.box_of("b_")).alias("iou"),
     )

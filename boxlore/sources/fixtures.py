@@ -85,10 +85,10 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = annotations(spark, sf_dir).select("category_id").distinct()
-    last = ids.agg(F.max("category_id").alias("last"))
-    return ids.join(F.broadcast(last)).select(
+    last = ids.agg(F.max("category_id")).scalar()
+    return ids.select(
         "category_id",
-        F.when(F.col("category_id") == F.col("last"), "unknown_product")
+        F.when(F.col("category_id") == last, "unknown_product")
         .otherwise(F.concat(F.lit("product "), F.col("category_id").cast("string"))).alias("name"),
     )
 
