@@ -74,12 +74,19 @@ def catalogue_name(category_id: Column, code: Column) -> Column:
     return F.concat(F.format_string("cat%03d_", category_id), code)
 
 
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
+
+
 def without_fence(text: Column) -> Column:
     """Content of the first fenced block, or the trimmed text."""
-    text = F.trim(text)
+    text = strip(text)
     inner = F.coalesce(F.try_element_at(F.split(text, "```"), F.lit(2)), F.lit(""))
     inner = F.when(inner.startswith("json"), F.substring(inner, 5, 2147483647)).otherwise(inner)
-    return F.when(text.contains("```"), F.trim(inner)).otherwise(text)
+    return F.when(text.contains("```"), strip(inner)).otherwise(text)
 
 
 def grid_values(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxlore.functions.scalars import without_fence
+from boxlore.functions.scalars import strip, without_fence
 
 # The phrases that decide an answer that is not JSON.
 DIFFERENT_PHRASES = ["not the same", "different product", "do not match"]
@@ -44,9 +44,9 @@ def parse_verdict(response: Column) -> Column:
 
 def parse_choice(response: Column) -> Column:
     """Struct ``choice, cat_id, confidence, reason`` out of an answer."""
-    raw = F.trim(response)
+    raw = strip(response)
     text = without_fence(response)
-    number = lambda p: F.expr("null") if p is None else F.regexp_extract(raw, p, 1)
+    number = lambda p: F.regexp_extract(raw, p, 1)
     choice, cat = number(r'"choice"\s*:\s*(\d+)'), number(r'"cat_id"\s*:\s*(\d+)')
     field = lambda n: F.get_json_object(text, f"$.{n}")
     make = lambda c, k, f, r: F.struct(c.cast("int").alias("choice"), k.cast("int").alias("cat_id"), f.alias("confidence"), r.alias("reason"))

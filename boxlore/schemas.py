@@ -51,18 +51,11 @@ CORRECTION = T.StructType([
     T.StructField("new_cat", T.IntegerType()),
     T.StructField("source", T.StringType()),
 ])
-VOTER = T.StructType([
-    T.StructField("match", T.BooleanType()),
-    T.StructField("reason", T.StringType()),
-])
 VERDICT = T.StructType([
     T.StructField("ann_id", T.LongType()),
     T.StructField("gt_cat", T.IntegerType()),
     T.StructField("gt_name", T.StringType()),
     T.StructField("suspicion", T.DoubleType()),
-    T.StructField("claude", VOTER),
-    T.StructField("openai", VOTER),
-    T.StructField("gemini", VOTER),
     T.StructField("consensus", T.StringType()),
 ])
 EXPERIMENT = T.StructType([

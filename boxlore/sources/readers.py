@@ -1,5 +1,9 @@
-"""Readers with explicit schemas. A single large JSON document is one task: convert it once
-with :func:`boxlore.sources.writers.to_tables` and read the tables afterwards."""
+"""Readers with explicit schemas.
+
+Files are whole JSON documents by default; ``lines=True`` reads one record per line, which is
+what large data should use because it splits. A single large document is one task: convert it
+once with :func:`boxlore.sources.writers.to_tables` and read the tables afterwards.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxlore import schemas
 from boxlore.functions import geometry as G
 from boxlore.operators.ranking import last_wins
 
 
-def _json(spark: SparkSession, schema, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path if isinstance(path, str) else list(path))
+def _json(spark: SparkSession, schema, path: str | Sequence[str], lines: bool = False) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", not lines).json(path if isinstance(path, str) else list(path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -27,31 +32,31 @@ def flat_boxes(df: DataFrame, bbox: str = "bbox") -> DataFrame:
     return df.select(*rest, *G.named(G.from_array(bbox)))
 
 
-def coco_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def coco_scan(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, annotations and categories of one annotation document."""
-    doc = _json(spark, schemas.COCO, path)
+    doc = _json(spark, schemas.COCO, path, lines)
     images = doc.select(F.inline("images")).withColumnRenamed("id", "image_id")
     anns = flat_boxes(doc.select(F.inline("annotations")).withColumnRenamed("id", "ann_id"))
     cats = doc.select(F.inline("categories")).withColumnRenamed("id", "category_id")
     return images, anns, cats
 
 
-def predictions_scan(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def predictions_scan(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
     """Predictions of a JSON array. ``pred_id`` follows the order of the file."""
-    rows = _json(spark, schemas.PREDICTION, path).withColumn("pred_id", F.monotonically_increasing_id())
+    rows = _json(spark, schemas.PREDICTION, path, lines).withColumn("pred_id", F.monotonically_increasing_id())
     return flat_boxes(rows)
 
 
-def product_metadata_scan(spark: SparkSession, path: str) -> DataFrame:
+def product_metadata_scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Product rows of either layout (``{"products": [...]}`` or a bare list).
 
     The name is the first filled one of three fields, of equal names the later row counts, and a
     missing file gives no rows.
     """
-    both = schemas.PRODUCT.add("products", f"array<{schemas.PRODUCT.simpleString()}>") if "products" not in schemas.PRODUCT.names else schemas.PRODUCT
+    both = T.StructType([*schemas.PRODUCT.fields, T.StructField("products", T.ArrayType(schemas.PRODUCT))])
     if not exists(spark, path):
-        return _named(spark.createDataFrame([], schemas.T.StructType(both.fields)))
-    return _named(_json(spark, both, path))
+        return _named(spark.createDataFrame([], both))
+    return _named(_json(spark, both, path, lines))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -64,8 +69,8 @@ def _named(rows: DataFrame) -> DataFrame:
     return last_wins(flat, ["product_name"], "ordinal").drop("ordinal")
 
 
-def split_scan(spark: SparkSession, path: str) -> DataFrame:
-    doc = _json(spark, schemas.SPLIT, path)
+def split_scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    doc = _json(spark, schemas.SPLIT, path, lines)
     part = lambda col, name: doc.select(F.explode(col).alias("image_id"), F.lit(name).alias("split"))
     return part("train_ids", "train").unionByName(part("val_ids", "val"))
 
@@ -75,21 +80,21 @@ def all_train(split: DataFrame) -> DataFrame:
     return split.select("image_id").distinct().select("image_id", F.lit("train").alias("split"))
 
 
-def corrections_scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def corrections_scan(spark: SparkSession, paths: Sequence[str], lines: bool = False) -> DataFrame:
     """Corrections of several files with the file they come from and their order in it."""
-    return _json(spark, schemas.CORRECTION, paths).select(
+    return _json(spark, schemas.CORRECTION, paths, lines).select(
         "*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ordinal"))
 
 
-def verification_scan(spark: SparkSession, final_path: str, checkpoint_path: str) -> DataFrame:
+def verification_scan(spark: SparkSession, final_path: str, checkpoint_path: str, lines: bool = False) -> DataFrame:
     """Mismatching verdicts: of the final document if it exists, else of the checkpoint.
 
     Both layouts are read, ``{"results": [...]}`` and a bare list.
     """
     path = final_path if exists(spark, final_path) else checkpoint_path
     verdict = schemas.VERDICT
-    both = schemas.T.StructType([*verdict.fields, schemas.T.StructField("results", schemas.T.ArrayType(verdict))])
-    rows = _json(spark, both, path)
+    both = T.StructType([*verdict.fields, T.StructField("results", T.ArrayType(verdict))])
+    rows = _json(spark, both, path, lines)
     flat = rows.select(F.inline(F.coalesce("results", F.array(F.struct(*verdict.names)))))
     return flat.where(F.col("consensus") == "mismatch")
 
@@ -121,8 +126,8 @@ def catalogue_files(files: DataFrame, n_classes: int) -> DataFrame:
         F.col("category_id").isNotNull() & (F.col("category_id") < n_classes))
 
 
-def sweep_results_scan(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, schemas.EXPERIMENT, path)
+def sweep_results_scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, schemas.EXPERIMENT, path, lines)
 
 
 def existing_files(rows: DataFrame, listing: DataFrame, on: str = "file_name") -> DataFrame:
