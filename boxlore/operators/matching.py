@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from boxlore.functions import geometry as G
 from boxlore.operators.ranking import ranked
-from boxlore.operators.spatial import CELL, iou_join, overlapping
+from boxlore.operators.spatial import CELL, fitting_cell, iou_join, overlapping
 from boxlore.session import materialise
 
 FOLD_LIMIT = 2000
@@ -55,6 +55,7 @@ def candidate_pairs(
     classes = [] if "category_id" in keys or "category_id" not in preds.columns else ["category_id"]
     narrow = preds.select(*keys, "pred_id", "score", *classes, *"xywh")
     if hot_groups(narrow, keys, hot_rows) is not None:
+        cell = fitting_cell(narrow, cell)
         narrow = _without_surplus_copies(narrow, gts, min_iou, keys, classes, hot_rows, cell)
     return materialise(iou_join(narrow, gts, min_iou, keys, cell=cell))
 

@@ -3,7 +3,7 @@
 Boxes meet inside grid cells, never inside whole images: a box is listed in the cells it
 touches, the join is a plain equi-join on (keys, cell), and a pair is reported only by the
 cell that holds the top-left corner of its intersection, so no duplicate removal is needed.
-An image with very many boxes therefore spreads over up to 4,096 join keys.
+An image with very many boxes therefore spreads over up to 65,536 join keys.
 """
 
 from __future__ import annotations
@@ -18,13 +18,20 @@ from boxlore.functions import geometry as G
 CELL = 512
 # Cells beyond the last one share it. Results stay exact and a huge box cannot list more
 # than LAST_CELL + 1 cells per axis.
-LAST_CELL = 63
+LAST_CELL = 255
+SMALLEST_CELL = 32
 
 
 def cell_index(v: Column, cell: int) -> Column:
     return F.least(F.greatest(F.floor(v / F.lit(float(cell))), F.lit(0)), F.lit(LAST_CELL)).cast("int")
 
 
+def fitting_cell(boxes: DataFrame, largest: int = CELL) -> int:
+    """A cell about twice as wide as the boxes are: crowded images of small boxes need small cells."""
+    side = boxes.agg(F.avg(F.greatest("w", "h"))).first()[0] or largest
+    return int(min(max(2 * side, SMALLEST_CELL), largest))
+
+
 def _in_cells(df: DataFrame, box: G.Box, cell: int) -> DataFrame:
     return df.withColumn(
         "_cx", F.explode(F.sequence(cell_index(box.x, cell), F.greatest(cell_index(box.x, cell), cell_index(box.x2, cell))))

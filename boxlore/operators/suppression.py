@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from boxlore.functions import geometry as G
 from boxlore.operators.matching import FOLD_LIMIT, HOT_ROWS, hot_groups
-from boxlore.operators.spatial import CELL, cell_index, overlapping
+from boxlore.operators.spatial import CELL, cell_index, fitting_cell, overlapping
 from boxlore.session import materialise
 
 PEEL_CELL = 64
@@ -50,6 +50,7 @@ def nms(
     hot = hot_groups(boxes, keys, hot_rows)
     dropped = None
     if hot is not None:
+        cell = fitting_cell(boxes, cell)
         boxes, dropped = _peel(materialise(boxes), hot, threshold, keys, hot_rows, cell)
     edges = materialise(
         overlapping(boxes, boxes, keys, cell=cell, condition=_before("a", "b") & _conflict(threshold))

@@ -780,13 +780,16 @@ def _(s, d):
 
 
 def _coco_doc(t: T, path: str) -> None:
-    """One document per image group, so no single task holds the dataset."""
-    a = t.annotations.select("image_id", F.struct(F.col("ann_id").alias("id"), "image_id", "category_id", G.as_array(G.box_of()).alias("bbox"), (F.col("w") * F.col("h")).alias("area")).alias("a"))
-    i = t.images.select("image_id", F.struct(F.col("image_id").alias("id"), "file_name", "width", "height").alias("i"))
-    per = a.groupBy("image_id").agg(F.collect_list("a").alias("annotations")).join(i, "image_id")
-    docs = per.select(F.array("i").alias("images"), "annotations", F.array().cast("array<struct<id:int,name:string>>").alias("categories"))
-    cats = t.categories.select(F.array().cast("array<struct<id:bigint,file_name:string,width:int,height:int>>").alias("images"), F.array().cast("array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double>>").alias("annotations"), F.array(F.struct(F.col("category_id").alias("id"), "name")).alias("categories"))
-    docs.unionByName(cats).write.json(path)
+    """One document per thousand rows, so no single task holds the dataset."""
+    kinds = {"images": "array<struct<id:bigint,file_name:string,width:int,height:int>>", "annotations": "array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double>>", "categories": "array<struct<id:int,name:string>>"}
+    parts = {
+        "images": t.images.select(F.col("image_id").alias("id"), "file_name", "width", "height"),
+        "annotations": t.annotations.select(F.col("ann_id").alias("id"), "image_id", "category_id", G.as_array(G.box_of()).alias("bbox"), (F.col("w") * F.col("h")).alias("area")),
+        "categories": t.categories.select(F.col("category_id").alias("id"), "name"),
+    }
+    for kind, rows in parts.items():
+        docs = rows.groupBy(F.floor(F.col("id") / 1000.0).alias("g")).agg(F.collect_list(F.struct(*rows.columns)).alias(kind))
+        docs.select(*[F.col(k) if k == kind else F.array().cast(v).alias(k) for k, v in kinds.items()]).write.mode("append").json(path)
 
 
 @query("src_1_coco_scan", """SELECT 'image' AS kind, image_id AS id, file_name AS label, CAST(width AS DOUBLE) AS v FROM fx_images UNION ALL SELECT 'annotation', ann_id, CAST(category_id AS VARCHAR), x + y + w + h FROM fx_annotations

@@ -164,7 +164,8 @@ def _(s, d):
     return fusion.tile_fusion(_tiled(T(s, d)), "nms", 0.5, 60)
 
 
-@query("fus_8_tile_fusion_wbf")
+@query("fus_8_tile_fusion_wbf", f"""WITH RECURSIVE {Q.fuse('fz', 'fx_predictions', 0.55, True, 'score', '0')}, r AS (SELECT image_id, category_id, pred_id, c, row_number() OVER (PARTITION BY image_id ORDER BY c.s / c.n DESC, pred_id) AS rn FROM fz)
+   SELECT image_id, category_id, round(c.x, 4) AS x, round(c.y, 4) AS y, round(c.w, 4) AS w, round(c.h, 4) AS h, round(c.s / c.n, 6) AS score FROM r WHERE rn <= 60""")
 def _(s, d):
     return _shape(fusion.tile_fusion(_tiled(T(s, d)), "wbf", 0.55, 60))
 
@@ -226,7 +227,7 @@ _CLS = f"{Q.match('mc', True)}, {_FL_CLS}, {Q.ap('ca', 'f_cls', 't_cls', 'catego
 
 
 @query("met_1_pr_curve", f"""WITH RECURSIVE {Q.match('mc', True)}, {_FL_CLS}
-   SELECT category_id, pred_id, row_number() OVER w AS rank, CAST(sum(tp) OVER w AS BIGINT) AS tp, round(sum(tp) OVER w / row_number() OVER w, 6) AS precision, round(sum(tp) OVER w / n_gt, 6) AS recall
+   SELECT category_id, pred_id, row_number() OVER w AS rank, CAST(sum(tp) OVER w AS BIGINT) AS tp, round(sum(tp) OVER w / row_number() OVER w, 9) AS precision, round(sum(tp) OVER w / n_gt, 9) AS recall
    FROM f_cls JOIN t_cls USING (category_id) WINDOW w AS (PARTITION BY category_id ORDER BY score DESC, image_id, pred_id ROWS UNBOUNDED PRECEDING)""")
 def _(s, d):
     t = T(s, d)
@@ -234,7 +235,7 @@ def _(s, d):
     matches = matching.greedy_match(t.predictions, t.gts, 0.5, keys)
     flagged = matching.with_match(t.predictions.select(*keys, "pred_id", "score"), matches)
     curve = metrics.pr_curve(flagged, metrics.truth_counts(t.gts, ["category_id"]), ["category_id"])
-    return curve.select("category_id", "pred_id", "rank", "tp", r6("precision").alias("precision"), r6("recall").alias("recall"))
+    return curve.select("category_id", "pred_id", "rank", "tp", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 @query("met_2_average_precision", f"""WITH RECURSIVE {Q.match('m', False)}, f AS (SELECT p.model_id, p.image_id, p.pred_id, p.score, CASE WHEN m.gt_id IS NULL THEN 0 ELSE 1 END AS tp FROM fx_predictions p LEFT JOIN m USING (pred_id)),
@@ -306,96 +307,146 @@ def _(s, d):
 
 # --- sweeps --------------------------------------------------------------------------------
 
-def _threshold_sql() -> str:
-    """Every configuration computed on its own: suppression, matching and AP per (conf, nms_iou)."""
-    confs, ious = [0.1, 0.5], [0.3, 0.6]
-    parts, rows = [], []
-    for i, c in enumerate(confs):
-        for j, t in enumerate(ious):
-            n = f"{i}{j}"
-            parts += [
-                f"base{n} AS (SELECT * FROM fx_predictions WHERE score >= {c})", Q.nms(f"lost{n}", f"base{n}", t),
-                f"kept{n} AS (SELECT * FROM base{n} WHERE pred_id NOT IN (SELECT pred_id FROM lost{n}))",
-                Q.match(f"m{n}", False, preds=f"kept{n}"), Q.match(f"mc{n}", True, preds=f"kept{n}"),
-                f"fa{n} AS (SELECT image_id, pred_id, score, CASE WHEN pred_id IN (SELECT pred_id FROM m{n}) THEN 1 ELSE 0 END AS tp FROM kept{n})",
-                f"fc{n} AS (SELECT category_id, image_id, pred_id, score, CASE WHEN pred_id IN (SELECT pred_id FROM mc{n}) THEN 1 ELSE 0 END AS tp FROM kept{n})",
-                Q.ap(f"da{n}", f"fa{n}", "t_any"), Q.ap(f"ca{n}", f"fc{n}", "t_cls", "category_id")]
-            rows.append(f"SELECT CAST({c} AS DOUBLE) AS conf, CAST({t} AS DOUBLE) AS nms_iou, (SELECT ap FROM da{n}) AS dm, (SELECT avg(ap) FROM ca{n}) AS cm, (SELECT count(*) FROM kept{n}) AS n_preds")
-    head = "t_any AS (SELECT count(*) AS n_gt FROM fx_annotations), t_cls AS (SELECT category_id, count(*) AS n_gt FROM fx_annotations GROUP BY category_id)"
-    return f"WITH RECURSIVE {head}, {', '.join(parts)}, k AS ({' UNION ALL '.join(rows)}) SELECT conf, nms_iou, round(dm, 6) AS detection_map, round(cm, 6) AS classification_map, round(0.7 * dm + 0.3 * cm, 6) AS hybrid, n_preds FROM k"
-
-
 def _rounded(df, names=("detection_map", "classification_map", "hybrid", "delta")):
     return df.withColumns({c: r6(c) for c in names if c in df.columns})
 
 
-@query("swp_1_threshold_sweep_small", _threshold_sql())
+def _score_sql(preds: str, configs: str, final: str, head: str, caps: bool = False) -> str:
+    """Both maps of ``preds(cfg, image_id, category_id, pred_id, x, y, w, h, score)`` for every ``cfg`` of ``configs``, as ``k``."""
+    return f"""WITH RECURSIVE {head}, {Q.match('m', False, preds=preds, config='cfg')}, {Q.match('mc', True, preds=preds, config='cfg')},
+      fa AS (SELECT f.cfg, f.image_id, f.pred_id, f.score, CASE WHEN m.gt_id IS NULL THEN 0 ELSE 1 END AS tp FROM {preds} f LEFT JOIN m USING (cfg, image_id, pred_id)),
+      fc AS (SELECT f.cfg, f.category_id, f.image_id, f.pred_id, f.score, CASE WHEN mc.gt_id IS NULL THEN 0 ELSE 1 END AS tp FROM {preds} f LEFT JOIN mc USING (cfg, image_id, category_id, pred_id)),
+      t_any AS (SELECT cfg, count(*) AS n_gt FROM fx_annotations CROSS JOIN {configs} GROUP BY cfg),
+      t_cls AS (SELECT cfg, category_id, count(*) AS n_gt FROM fx_annotations CROSS JOIN {configs} GROUP BY cfg, category_id),
+      {Q.ap('da', 'fa', 't_any', 'cfg')}, {Q.ap('ca', 'fc', 't_cls', 'cfg, category_id')},
+      k AS (SELECT {configs}.*, (SELECT ap FROM da WHERE da.cfg = {configs}.cfg) AS dm, (SELECT avg(ap) FROM ca WHERE ca.cfg = {configs}.cfg) AS cm,
+            (SELECT count(*) FROM {preds} z WHERE z.cfg = {configs}.cfg) AS n_preds FROM {configs}) {final}"""
+
+
+_MAPS = "round(dm, 6) AS detection_map, round(cm, 6) AS classification_map, round(0.7 * dm + 0.3 * cm, 6) AS hybrid"
+_DELTA = "round(0.7 * dm + 0.3 * cm - (SELECT 0.7 * dm + 0.3 * cm FROM k WHERE cfg = 0), 6) AS delta"
+
+
+def _threshold_sql(confs, ious) -> str:
+    """Every configuration suppressed, matched and scored on its own."""
+    rows = " UNION ALL ".join(
+        f"SELECT {i * len(ious) + j} AS cfg, CAST({c} AS DOUBLE) AS conf, CAST({t} AS DOUBLE) AS nms_iou" for i, c in enumerate(confs) for j, t in enumerate(ious))
+    head = f"""cfgs AS ({rows}), base AS (SELECT c.cfg, c.nms_iou, p.* FROM fx_predictions p JOIN cfgs c ON p.score >= c.conf),
+      {Q.nms('lost', 'base', 'a.nms_iou', 'cfg, image_id, category_id')}, kept AS (SELECT b.* FROM base b ANTI JOIN lost USING (cfg, image_id, category_id, pred_id))"""
+    return _score_sql("kept", "cfgs", f"SELECT conf, nms_iou, {_MAPS}, n_preds FROM k", head)
+
+
+@query("swp_1_threshold_sweep_small", _threshold_sql([0.1, 0.5], [0.3, 0.6]))
 def _(s, d):
     t = T(s, d)
     return _rounded(sweeps.threshold_sweep(t.predictions, t.gts, [0.1, 0.5], [0.3, 0.6]))
 
 
-@query("swp_1_threshold_sweep")
+@query("swp_1_threshold_sweep", _threshold_sql(CONFS, NMS_IOUS))
 def _(s, d):
     t = T(s, d)
     return _rounded(sweeps.threshold_sweep(t.predictions, t.gts, CONFS, NMS_IOUS))
 
 
-@query("swp_2_wbf_sweep")
-def _(s, d):
-    t = T(s, d)
-    out = sweeps.wbf_sweep(t.predictions.where("model_id < 2"), t.gts, [0.01, 0.05, 0.1, 0.2], [0.5, 0.55, 0.6], [[1.0, 1.0], [1.0, 1.2], [1.0, 1.5]], [100, 300])
+def _wbf_sql(confs, ious, weights, caps) -> str:
+    parts, fused, rows, n = [], [], [], 0
+    for c in confs:
+        for t in ious:
+            for w in weights:
+                z = f"z{n}"
+                parts += [f"{z}_src AS (SELECT * FROM fx_predictions WHERE model_id < 2 AND score >= {c})",
+                          Q.fuse(z, f"{z}_src", t, True, f"score * [{', '.join(f'{x}::DOUBLE' for x in w)}][model_id + 1]")]
+                share = f"least(c.n, {len(w)}) / {float(sum(w))!r}::DOUBLE"
+                parts.append(f"{z}_rank AS (SELECT image_id, category_id, pred_id, c.x AS x, c.y AS y, c.w AS w, c.h AS h, c.s / c.n * ({share}) AS score, row_number() OVER (PARTITION BY image_id ORDER BY c.s / c.n * ({share}) DESC, pred_id) AS rn FROM {z})")
+                for cap in caps:
+                    i = len(rows)
+                    fused.append(f"SELECT {i} AS cfg, image_id, category_id, pred_id, x, y, w, h, score FROM {z}_rank WHERE rn <= {cap}")
+                    rows.append(f"SELECT {i} AS cfg, CAST({c} AS DOUBLE) AS conf, CAST({t} AS DOUBLE) AS wbf_iou, '{'/'.join(str(x) for x in w)}' AS weights, {cap} AS max_preds")
+                n += 1
+    head = f"{', '.join(parts)}, fused AS ({' UNION ALL '.join(fused)}), cfgs AS ({' UNION ALL '.join(rows)})"
+    return _score_sql("fused", "cfgs", f"SELECT conf, wbf_iou, weights, max_preds, {_MAPS}, n_preds FROM k", head)
+
+
+def _wbf(t: T, *grid):
+    out = sweeps.wbf_sweep(t.predictions.where("model_id < 2"), t.gts, *grid)
     return _rounded(out.withColumn("weights", F.concat_ws("/", F.transform("weights", lambda w: w.cast("string")))))
 
 
-def _policy_sql() -> str:
-    configs = [("none", "false", 0.0, 0.0, "score"), ("A", "true", 0.0, 0.7, "score")]
-    for p in "BC":
-        configs += [(p, f"cls_conf >= {c}", c, 0.7, f"CASE WHEN cls_conf >= {c} THEN score * cls_conf ELSE score END" if p == "C" else "score") for c in (0.4, 0.8)]
-    for p in "DE":
-        configs += [(p, f"cls_conf >= {c} AND score < 0.6", c, 0.6, "score") for c in (0.4, 0.8)]
+_SMALL_WBF = ([0.05, 0.2], [0.55], [[1.0, 1.5]], [40, 300])
+
+
+@query("swp_2_wbf_sweep_small", _wbf_sql(*_SMALL_WBF))
+def _(s, d):
+    return _wbf(T(s, d), *_SMALL_WBF)
+
+
+_FULL_WBF = ([0.01, 0.05, 0.1, 0.2], [0.5, 0.55, 0.6], [[1.0, 1.0], [1.0, 1.2], [1.0, 1.5]], [100, 300])
+
+
+@query("swp_2_wbf_sweep", _wbf_sql(*_FULL_WBF))
+def _(s, d):
+    return _wbf(T(s, d), *_FULL_WBF)
+
+
+def _policy_sql(cls_ts, det_ts, best: bool = False) -> str:
+    grid = [("none", 0.0, 0.0), *sweeps.policy_grid(cls_ts, det_ts)]
+    take = {"none": "false", "A": "true", "B": "cls_conf >= {c}", "C": "cls_conf >= {c}", "D": "cls_conf >= {c} AND score < {d}", "E": "cls_conf >= {c} AND score < {d}"}
+    score = lambda p, c: f"CASE WHEN cls_conf >= {c} THEN score * cls_conf ELSE score END" if p == "C" else "score"
     parts = " UNION ALL ".join(
-        f"SELECT '{p}' AS policy, CAST({c} AS DOUBLE) AS cls_t, CAST({dt} AS DOUBLE) AS det_t, {i} AS cfg, image_id, pred_id, x, y, w, h, CASE WHEN {take} THEN cls ELSE category_id END AS category_id, {score} AS score FROM dc"
-        for i, (p, take, c, dt, score) in enumerate(configs))
+        f"SELECT {i} AS cfg, image_id, pred_id, x, y, w, h, CASE WHEN {take[p].format(c=c, d=d)} THEN cls ELSE category_id END AS category_id, {score(p, c)} AS score FROM dc"
+        for i, (p, c, d) in enumerate(grid))
+    rows = " UNION ALL ".join(f"SELECT {i} AS cfg, '{p}' AS policy, CAST({c} AS DOUBLE) AS cls_t, CAST({d} AS DOUBLE) AS det_t" for i, (p, c, d) in enumerate(grid))
     dc = "dc AS (SELECT p.*, coalesce(c.cls, 0) AS cls, coalesce(c.cls_conf, 0.0) AS cls_conf FROM fx_predictions p LEFT JOIN fx_classifier c USING (pred_id))"
-    return f"""WITH RECURSIVE {dc}, fused AS ({parts}), {Q.match('m', False, preds='fused', config='cfg')}, {Q.match('mc', True, preds='fused', config='cfg')},
-      cfgs AS (SELECT DISTINCT cfg, policy, cls_t, det_t FROM fused),
-      fa AS (SELECT f.cfg, f.image_id, f.pred_id, f.score, CASE WHEN m.gt_id IS NULL THEN 0 ELSE 1 END AS tp FROM fused f LEFT JOIN m USING (cfg, pred_id)),
-      fc AS (SELECT f.cfg, f.category_id, f.image_id, f.pred_id, f.score, CASE WHEN mc.gt_id IS NULL THEN 0 ELSE 1 END AS tp FROM fused f LEFT JOIN mc USING (cfg, pred_id)),
-      t_any AS (SELECT cfg, count(*) AS n_gt FROM fx_annotations CROSS JOIN cfgs GROUP BY cfg),
-      t_cls AS (SELECT cfg, category_id, count(*) AS n_gt FROM fx_annotations CROSS JOIN cfgs GROUP BY cfg, category_id),
-      {Q.ap('da', 'fa', 't_any', 'cfg')}, {Q.ap('ca', 'fc', 't_cls', 'cfg, category_id')},
-      k AS (SELECT cfg, policy, cls_t, det_t, (SELECT ap FROM da WHERE da.cfg = cfgs.cfg) AS dm, (SELECT avg(ap) FROM ca WHERE ca.cfg = cfgs.cfg) AS cm FROM cfgs)
-      SELECT policy, cls_t, det_t, round(dm, 6) AS detection_map, round(cm, 6) AS classification_map, round(0.7 * dm + 0.3 * cm, 6) AS hybrid,
-        round(0.7 * dm + 0.3 * cm - (SELECT 0.7 * dm + 0.3 * cm FROM k WHERE cfg = 0), 6) AS delta FROM k"""
+    final = f"SELECT policy, cls_t, det_t, {_MAPS}, {_DELTA} FROM k"
+    if best:
+        final = f"SELECT * FROM ({final}) WHERE policy <> 'none' AND delta > 0 ORDER BY hybrid DESC, policy, cls_t, det_t LIMIT 1"
+    return _score_sql("fused", "cfgs", final, f"{dc}, fused AS ({parts}), cfgs AS ({rows})")
 
 
 def _policies(t: T, cls_ts, det_ts):
     return sweeps.policy_sweep(_answers(t), t.gts, cls_ts, det_ts)
 
 
-@query("swp_3_policy_sweep_small", _policy_sql())
+@query("swp_3_policy_sweep_small", _policy_sql([0.4, 0.8], [0.6]))
 def _(s, d):
     return _rounded(_policies(T(s, d), [0.4, 0.8], [0.6]))
 
 
-@query("swp_3_policy_sweep")
+@query("swp_3_policy_sweep", _policy_sql(CLS_TS, DET_TS))
 def _(s, d):
     return _rounded(_policies(T(s, d), CLS_TS, DET_TS))
 
 
-@query("swp_3_best_policy")
+@query("swp_3_best_policy", _policy_sql([0.5], [0.7], best=True))
 def _(s, d):
     return _rounded(sweeps.best_policy(_policies(T(s, d), [0.5], [0.7])))
 
 
-@query("swp_4_tta_compare")
+def _tta_sql() -> str:
+    one = "one AS (SELECT * FROM fx_predictions WHERE model_id = 0), two AS (SELECT * FROM fx_predictions WHERE model_id < 2)"
+    parts = [one, Q.nms("l0", "one", 0.5), Q.nms("l1", "two", 0.5), Q.fuse("z2", "two", 0.55, False, "score"),
+             Q.nms("l3", "fx_predictions", 0.5, "image_id, category_id, model_id"), "kept3 AS (SELECT * FROM fx_predictions WHERE pred_id NOT IN (SELECT pred_id FROM l3))",
+             Q.fuse("z3", "kept3", 0.55, False, "score")]
+    cols = "image_id, category_id, pred_id, x, y, w, h, score"
+    seq = lambda z, n: f"SELECT {{i}} AS cfg, image_id, category_id, pred_id, c.x, c.y, c.w, c.h, c.s / c.n * least(len(list_distinct(c.src)), {n}) / {n} AS score FROM {z}"
+    fused = " UNION ALL ".join([
+        f"SELECT 0 AS cfg, {cols} FROM one WHERE pred_id NOT IN (SELECT pred_id FROM l0)", f"SELECT 1 AS cfg, {cols} FROM two WHERE pred_id NOT IN (SELECT pred_id FROM l1)",
+        seq("z2", 2).format(i=2), seq("z3", 3).format(i=3)])
+    rows = " UNION ALL ".join(f"SELECT {i} AS cfg, '{m}' AS method" for i, m in enumerate(["nms", "concat_nms", "wbf", "nms_then_wbf"]))
+    return _score_sql("fused", "cfgs", f"SELECT cfg AS config_id, method, {_MAPS}, {_DELTA} FROM k", f"{', '.join(parts)}, fused AS ({fused}), cfgs AS ({rows})")
+
+
+@query("swp_4_tta_compare", _tta_sql())
 def _(s, d):
     t = T(s, d)
     return _rounded(sweeps.tta_compare(_passes(t), t.gts, [("nms", 1), ("concat_nms", 2), ("wbf", 2), ("nms_then_wbf", 3)]))
 
 
-@query("swp_5_ensemble_eval")
+_ENS = f"""sure AS (SELECT * FROM fx_predictions WHERE score >= 0.05), {Q.fuse('fz', 'sure', 0.55, True, 'score * [1.0::DOUBLE, 1.2::DOUBLE, 0.8::DOUBLE][model_id + 1]')},
+   fused AS (SELECT 0 AS cfg, image_id, category_id, pred_id, c.x AS x, c.y AS y, c.w AS w, c.h AS h, c.s / c.n * least(c.n, 3) / 3.0::DOUBLE AS score FROM fz), cfgs AS (SELECT 0 AS cfg)"""
+
+
+@query("swp_5_ensemble_eval", _score_sql("fused", "cfgs", f"SELECT {_MAPS} FROM k", _ENS))
 def _(s, d):
     t = T(s, d)
     models = ensemble_config(s, {"models": [{"file": "a.onnx", "weight": 1.0}, {"file": "b.onnx", "weight": 1.2}, {"file": "c.onnx", "weight": 0.8}]})

@@ -91,7 +91,7 @@ def nms(name: str, preds: str, t: float, keys: str = "image_id, category_id") ->
 
 
 def fuse(name: str, preds: str, t: float, best_fit: bool, weight: str, source: str = "model_id") -> str:
-    """CTE ``<name>(image_id, category_id, c)``: clusters of sequential fusion, by recursion over rank."""
+    """CTE ``<name>(image_id, category_id, pred_id, c)``: clusters of sequential fusion, by recursion over rank."""
     near = "least(q.x + q.w, b.x + b.w) - greatest(q.x, b.x)", "least(q.y + q.h, b.y + b.h) - greatest(q.y, b.y)"
     i = f"(greatest(0.0, {near[0]}) * greatest(0.0, {near[1]}))".replace("b.", "")
     iou = f"({i} / (q.w * q.h + w * h - {i}))"
@@ -110,7 +110,7 @@ def fuse(name: str, preds: str, t: float, best_fit: bool, weight: str, source: s
         SELECT image_id, category_id, rn, CASE WHEN k IS NULL OR k = 0 THEN list_append(st, {first}) ELSE [CASE WHEN j = k THEN {grown} ELSE q END FOR q, j IN st] END
         FROM (SELECT *, {pick} AS k FROM (SELECT c.*, m.st FROM {name}_walk m JOIN {name}_in c ON c.image_id = m.image_id AND c.category_id = m.category_id AND c.rn = m.rn + 1))),
     {name} AS (
-        SELECT image_id, category_id, unnest(st) AS c FROM {name}_walk
+        SELECT image_id, category_id, category_id * CAST(1099511627776 AS BIGINT) + unnest(range(len(st))) AS pred_id, unnest(st) AS c FROM {name}_walk
         WHERE (image_id, category_id, rn) IN (SELECT image_id, category_id, max(rn) FROM {name}_in GROUP BY image_id, category_id))"""
 
 
