@@ -5,14 +5,16 @@ equals: predictions by ``pred_id``, ground truth by ``gt_id``.
 
 Groups with few candidate pairs are decided by one native array fold. Larger groups are
 decided in rounds of two combinable aggregates: a pair whose prediction wants that box most,
-and whose box is wanted by no better prediction, is final; everything it touches leaves.
-Both give the same matching, so the limit only chooses the cheaper way.
+and whose box is wanted by no better prediction, is final; everything it touches leaves. When
+rounds stop paying, the rest is a sorted stream that keeps only the ids taken. All ways give
+the same matching, so the limits only choose the cheaper one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from boxlore.operators.ranking import ranked
 from boxlore.operators.spatial import CELL, fitting_cell, iou_join, overlapping
 from boxlore.session import materialise
 
-FOLD_LIMIT = 2000
+FOLD_LIMIT = 20000
 HOT_ROWS = 5000
+# Rounds go on while each decides at least this share of the remaining pairs.
+WORTHWHILE = 0.2
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
@@ -68,18 +72,49 @@ def resolve_pairs(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_
         return _fold(pairs, keys)
     done = _fold(pairs.join(hot, keys, "left_anti"), keys)
     live = materialise(pairs.join(hot, keys, "left_semi"))
+    left = live.count()
     while True:
+        live = _without_hopeless(live, keys)
         won = materialise(_mutual_best(live, keys))
         done = done.unionByName(won)
         live = materialise(
             live.join(won.select(*keys, "pred_id"), [*keys, "pred_id"], "left_anti")
             .join(won.select(*keys, "gt_id"), [*keys, "gt_id"], "left_anti")
         )
+        before, left = left, live.count()
+        if left > before * (1 - WORTHWHILE):
+            return done.unionByName(_walk(live, keys))
         hot = hot_groups(live, keys, fold_limit)
         if hot is None:
             return done.unionByName(_fold(live, keys))
         done = done.unionByName(_fold(live.join(hot, keys, "left_anti"), keys))
         live = materialise(live.join(hot, keys, "left_semi"))
+        left = live.count()
+
+
+def _walk(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Decide pairs in order as a sorted stream per group; a task holds only the ids already taken.
+
+    For what rounds no longer shrink: long chains of boxes that wait for one another.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, preds, gts = None, set(), set()
+        for pdf in batches:
+            out = []
+            for row in zip(*(pdf[c].tolist() for c in [*keys, "pred_id", "gt_id"])):
+                if row[:-2] != current:
+                    current, preds, gts = row[:-2], set(), set()
+                if row[-2] not in preds and row[-1] not in gts:
+                    preds.add(row[-2])
+                    gts.add(row[-1])
+                    out.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "pred_id", "gt_id"])
+
+    rows = pairs.select(*keys, F.col("pred_id").cast("bigint").alias("pred_id"), F.col("gt_id").cast("bigint").alias("gt_id"), "score", "iou")
+    order = [*keys, F.col("score").desc(), F.col("pred_id").asc(), F.col("iou").desc(), F.col("gt_id").asc()]
+    schema = rows.select(*keys, "pred_id", "gt_id").schema
+    return rows.repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 def _fold(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,6 +134,24 @@ def _fold(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, F.inline(F.arrays_zip(F.col("m.p").alias("pred_id"), F.col("m.g").alias("gt_id"))))
 
 
+def _without_hopeless(live: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop predictions that must come too late.
+
+    Of predictions with the same set of partners the k-th best can match only if all better ones
+    did, and all of those within that set: ranks beyond its size never match. A pile of similar
+    predictions over a few boxes thus shrinks to as many predictions as there are boxes. Sets are
+    compared by size, ends and two independent 64-bit sums of hashes, all combinable.
+    """
+    g = F.col("gt_id")
+    sets = live.groupBy(*keys, "pred_id", "score").agg(
+        F.count("*").alias("_size"), F.min(g).alias("_lo"), F.max(g).alias("_hi"),
+        F.bit_xor(F.xxhash64(g)).alias("_h1"), F.bit_xor(F.xxhash64(g, F.lit(1))).alias("_h2"))
+    same = [*keys, "_size", "_lo", "_hi", "_h1", "_h2"]
+    places = ranked(sets, same, [F.col("score").desc(), F.col("pred_id").asc()], rank="_rank")
+    late = places.where(F.col("_rank") > F.col("_size")).select(*keys, "pred_id")
+    return materialise(live.join(late, [*keys, "pred_id"], "left_anti"))
+
+
 def _mutual_best(live: DataFrame, keys: list[str]) -> DataFrame:
     wants = live.groupBy(*keys, "pred_id").agg(F.min(F.struct((-F.col("iou")).alias("k"), "gt_id")).alias("b"))
     wants = wants.select(*keys, "pred_id", F.col("b.gt_id").alias("gt_id"))

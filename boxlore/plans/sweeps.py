@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from boxlore.functions import geometry as G
 from boxlore.operators import fusion
 from boxlore.operators import metrics as M
-from boxlore.operators.matching import HOT_ROWS, candidate_pairs, hot_groups, resolve_pairs, with_match
+from boxlore.operators.matching import FOLD_LIMIT, HOT_ROWS, candidate_pairs, hot_groups, resolve_pairs, with_match
 from boxlore.operators.spatial import overlapping
 from boxlore.operators.suppression import _before, _losers, nms
 from boxlore.session import materialise
@@ -43,7 +43,7 @@ def nms_grid(preds: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     edges = overlapping(boxes, boxes, keys, condition=_before("a", "b") & (iou > min(thresholds))).select(
         *keys, F.col("a_score").alias("s"), F.col("a_pred_id").alias("hi"), F.col("b_pred_id").alias("lo"), iou.alias("iou"))
     grid = edges.select("*", _values(thresholds, "nms_iou")).where(F.col("iou") > F.col("nms_iou")).drop("iou")
-    losers = _losers(materialise(grid), ["nms_iou", *keys], fold_limit=2000)
+    losers = _losers(materialise(grid), ["nms_iou", *keys], fold_limit=FOLD_LIMIT)
     return preds.select("*", _values(thresholds, "nms_iou")).join(losers, ["nms_iou", *keys, "pred_id"], "left_anti")
 
 

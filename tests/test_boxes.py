@@ -180,3 +180,13 @@ def test_result_does_not_depend_on_partitions(spark):
         seen.add(tuple(round(v, 12) for v in metrics.hybrid_score(p, g).first()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(seen) == 1
+
+
+def test_greedy_match_streams_what_rounds_leave(spark, monkeypatch):
+    monkeypatch.setattr(matching, "WORTHWHILE", 1.1)  # no round ever counts as worthwhile
+    preds, gts = make(6, images=2)
+    got = matching.greedy_match(spark.createDataFrame(preds, PRED), spark.createDataFrame(gts, GT), 0.3, fold_limit=0)
+    want = set()
+    for k in range(2):
+        want |= set(brute.match([(p[0], p[8], p[4:8]) for p in preds if p[2] == k], [(g[0], g[3:7]) for g in gts if g[1] == k], 0.3).items())
+    assert {(r.pred_id, r.gt_id) for r in got.collect()} == want and want
