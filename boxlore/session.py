@@ -39,13 +39,63 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+SCRATCH = "boxlore_scratch"
+
+
+class Scratch:
+    """Owner of intermediate tables: whatever it keeps is dropped by :meth:`close` or a ``with`` block.
 
-    Cuts the lineage of iterative steps, keeps column pruning for later readers, and
-    survives the loss of executors.
+    Tables are managed tables of a scratch database that lies in the shared folder, so that
+    dropping one also removes its files, without any call below the Spark SQL API.
     """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.names: list[str] = []
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH} LOCATION '{shared_dir(spark)}/{SCRATCH}'")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back.
+
+        Cuts the lineage of iterative steps, keeps column pruning for later readers, and
+        survives the loss of executors.
+        """
+        name = f"{SCRATCH}.t_{uuid.uuid4().hex}"
+        df.write.format("parquet").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def drop(self, count: int = 1) -> None:
+        """Drop the ``count`` oldest tables that are still kept."""
+        for _ in range(min(count, len(self.names))):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(0)}")
+
+    def close(self) -> None:
+        self.drop(len(self.names))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+_OPEN: list[Scratch] = []
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Keep ``df`` as a table until :func:`release`; for results that are read after the call."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/boxlore-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _OPEN or _OPEN[-1].spark is not spark:
+        _OPEN.append(Scratch(spark))
+    return _OPEN[-1].keep(df)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop every table that :func:`materialise` wrote for this session.
+
+    Call it when the results that were built on them have been written or collected.
+    """
+    for owner in [o for o in _OPEN if o.spark is spark]:
+        owner.close()
+        _OPEN.remove(owner)
