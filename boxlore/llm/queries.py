@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlore.llm import near_dedup, vector_dedup
+from boxlore.llm import near_dedup, span_dedup, vector_dedup
 from boxlore.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,25 @@ SELECT nodes.id AS vec_id, CAST(coalesce(max(n.k), 0) AS BIGINT) AS n_links, min
 FROM nodes JOIN reach ON reach.a = nodes.id LEFT JOIN n ON n.a = nodes.id GROUP BY nodes.id""")
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.links(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+@query(r"""
+WITH bytes AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+sized AS (SELECT doc_id, x, CAST(length(x) / 2 AS BIGINT) AS n FROM bytes),
+starts AS (SELECT doc_id, unnest(range(0, n - 49)) AS p, x FROM sized WHERE n >= 50),
+strings AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 100)) AS s FROM starts),
+least_doc AS (SELECT s, min(doc_id) AS d FROM strings GROUP BY s),
+hits AS (SELECT doc_id, p FROM strings JOIN least_doc USING (s) WHERE doc_id > d),
+runs AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hits),
+numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS r FROM runs),
+spans AS (SELECT doc_id, r, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, r),
+edges AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nxt, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM spans),
+pieces AS (
+  SELECT e.doc_id, string_agg(CASE WHEN k = 1 THEN substr(x, 1, 2 * a) ELSE '' END || substr(x, 2 * b + 1, 2 * (coalesce(nxt, n) - b)), '' ORDER BY a) AS rest,
+    sum(b - a) AS gone, count(*) AS spans
+  FROM edges e JOIN sized USING (doc_id) GROUP BY e.doc_id)
+SELECT sized.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE rest END)) AS kept_sha256
+FROM sized LEFT JOIN pieces USING (doc_id)""")
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
