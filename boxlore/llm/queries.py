@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlore.llm import near_dedup, span_dedup, vector_dedup
+from boxlore.llm import near_dedup, packing, span_dedup, vector_dedup
 from boxlore.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,15 @@ SELECT sized.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_remove
 FROM sized LEFT JOIN pieces USING (doc_id)""")
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file of the byte-level vocabulary; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), Scratch(spark), tokenizer_path())
