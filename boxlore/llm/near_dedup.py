@@ -148,7 +148,8 @@ def groups(docs: DataFrame, own: Scratch, percent: int = 80, bands: int = 32, ro
     first = band.groupBy("band").agg(F.min("head").alias("a"), F.max("head").alias("z")).where("a < z").select("band", "a")
     maybe = components(band.join(first, "band").select("a", F.col("head").alias("b")), own)
     chunks = in_chunks(maybe, ["component"], "id", chunk).select("id", F.col("component").alias("g"), "_c", "_n")
-    told = chunks.join(base, F.col("doc_id") == F.col("id")).select(
+    # One plan at every size: a broadcast of the candidates would give way to this merge as they grow.
+    told = chunks.hint("merge").join(base, F.col("doc_id") == F.col("id")).select(
         "g", "id", "text", F.col("_c").alias("c"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("o")
     )
     told = told.select("g", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "text")
