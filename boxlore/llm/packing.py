@@ -114,8 +114,8 @@ def _pack(tokenizer: str, size: int, end: int):
 
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                for doc, ids in zip(keys.slice(at, 256).to_pylist(), encoder.encode(texts.slice(at, 256).to_pylist(), end), strict=True):
+            for at in range(0, batch.num_rows, 512):
+                for doc, ids in zip(keys.slice(at, 512).to_pylist(), encoder.encode(texts.slice(at, 512).to_pylist(), end), strict=True):
                     for start in range(0, len(ids), size):
                         note(packer.add((doc, start, len(ids), ids[start : start + size])))
             yield out()

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-MEMO = 250_000
+MEMO = 400_000
 
 
 class Encoder:
@@ -29,17 +29,30 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
         self._memo: dict[str, bytes] = {}
+        blank = self._tok.encode("a b", add_special_tokens=False).tokens[-1][0]
+        self._opens = np.zeros(self._tok.get_vocab_size(), bool)
+        self._opens[[i for t, i in self._tok.get_vocab().items() if t.startswith(blank)]] = True
 
     def _ids(self, texts: Sequence[str]) -> list[bytes]:
         out = self._tok.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in out]
 
+    def _words(self, some: list[str]) -> list[bytes]:
+        """Ids of distinct words behind a blank: encoded in long lines, cut where a token opens with one."""
+        out: list[bytes] = []
+        lines = [some[at : at + 2000] for at in range(0, len(some), 2000)]
+        for words, line in zip(lines, self._ids([" " + " ".join(words) for words in lines]), strict=True):
+            cut = np.flatnonzero(self._opens[np.frombuffer(line, "<u4")]) * 4
+            ends = [*cut[1:].tolist(), len(line)]
+            out += [line[a:b] for a, b in zip(cut.tolist(), ends, strict=True)]
+        return out
+
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text (null as empty), followed by ``end`` if given."""
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         out: list[np.ndarray] = []
-        for at in range(0, len(texts), 256):
-            some = [t or "" for t in texts[at : at + 256]]
+        for at in range(0, len(texts), 512):
+            some = [t or "" for t in texts[at : at + 512]]
             cut = [None if self._RUN.search(t) else t.split(" ") for t in some]
             if len(self._memo) > MEMO:
                 self._memo.clear()
@@ -49,7 +62,7 @@ class Encoder:
                 if words:
                     fresh.update(words[1:])
             fresh = list(fresh.difference(memo))
-            memo.update(zip(fresh, self._ids([" " + w for w in fresh]), strict=True))
+            memo.update(zip(fresh, self._words(fresh), strict=True))
             heads = self._ids([words[0] if words else t for t, words in zip(some, cut, strict=True)])
             get = memo.__getitem__
             for head, words in zip(heads, cut, strict=True):
