@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlore.llm import main_text, near_dedup, packing, quality, span_dedup, toxicity, vector_dedup
+from boxlore.llm import language_model, main_text, near_dedup, packing, quality, span_dedup, toxicity, vector_dedup
 from boxlore.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"), Scratch(spark))
+
+
+@query()
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(_table(spark, sf_dir, "documents"), Scratch(spark))

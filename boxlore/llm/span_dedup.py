@@ -19,20 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlore.llm.store import gaps, pack, unpack
-from boxlore.llm.texts import U64, mix, prefix, slices, span_hash
+from boxlore.llm.store import gaps, pack, pack_texts, unpack
+from boxlore.llm.texts import U64, mix, prefix, ranges, slices, span_hash
 
 GRAM = 8
 _PLACE = 30  # low bits of a trigger key hold its place in the slice
 PART = 4 << 20  # bytes of text per dictionary part and per group of documents
 
 
-def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start, start+1, ... of every range, one after another."""
-    total = int(count.sum())
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
-
-
 def _phrases(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, last string start and trigger hash of every phrase."""
     if len(buf) < width:
@@ -52,7 +46,7 @@ def _phrases(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     trigger = (key & low).astype(np.int64)
     inside = np.ones(len(trigger), bool)
     tail = np.minimum(np.diff(off), width - 1)
-    out = _ranges(off[1:] - tail, tail)
+    out = ranges(off[1:] - tail, tail)
     inside[out[out < len(inside)]] = False
     change = np.ones(len(trigger), bool)
     change[1:] = trigger[1:] != trigger[:-1]
@@ -97,7 +91,7 @@ def _dictionary(parts: int, width: int):
                 to[by] = np.arange(len(h))
                 h = h[by]
                 x = extra[xcut[k] : xcut[k + 1]]
-                text = s.buf[_ranges(start[h], length[h])]
+                text = s.buf[ranges(start[h], length[h])]
                 blobs.append(pack(length[h].astype(np.uint32), gaps(ids[h]), place[h].astype(np.uint32), text, to[owner[xcut[k] : xcut[k + 1]] - cut[k]], ids[x], place[x].astype(np.uint32), level=3))
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
@@ -115,7 +109,7 @@ def _repeats(length: np.ndarray, doc: np.ndarray, text: np.ndarray, width: int)
         to = max(int(np.searchsorted(begin, begin[at] + (2 << 20), side="right")), at + 1)
         stop = begin[to - 1] + length[to - 1]
         pre = prefix(text[begin[at] : stop])
-        p = _ranges(begin[at:to] - begin[at], many[at:to])
+        p = ranges(begin[at:to] - begin[at], many[at:to])
         hashes[ends[at] - many[at] : ends[to - 1]] = mix(span_hash(pre, p, p + width))
         at = to
     repeated = np.zeros(len(hashes), bool)
@@ -173,7 +167,7 @@ def _decide(parts: int, width: int):
         runs = np.bincount(phrase, minlength=len(length))
         first = np.cumsum(runs) - runs
         n = runs[owner[again]]
-        pick = _ranges(first[owner[again]], n)
+        pick = ranges(first[owner[again]], n)
         spot = np.repeat(xplace[again], n)
         ids = np.concatenate([doc[phrase], xdoc[later], np.repeat(xdoc[again], n)])
         start = np.concatenate([place[phrase] + low, xplace[later], spot + low[pick]])
@@ -187,21 +181,6 @@ def _decide(parts: int, width: int):
     return run
 
 
-def _texts(parts: int):
-    """Whole texts, packed by group of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, 3 << 20):
-            group = (mix(s.ids.view(U64)) % U64(parts)).astype(np.int64)
-            length = np.diff(s.off)
-            order = np.argsort(group, kind="stable")
-            which, cut = np.unique(group[order], return_index=True)
-            blobs = [pack(s.ids[o], length[o], s.buf[_ranges(s.off[o], length[o])], level=3) for o in np.split(order, cut[1:])] if len(order) else []
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(blobs, pa.binary())], names=["docs", "blob"])
-
-    return run
-
-
 def _merge(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs out of overlapping or touching spans."""
     order = np.lexsort((start, ids))
@@ -270,7 +249,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     parts = max(16, int(size // part))
     phrases = base.mapInArrow(_dictionary(parts, width), "part bigint, blob binary")
     spans = phrases.groupBy("part").applyInArrow(_decide(parts, width), "docs bigint, blob binary")
-    texts = base.mapInArrow(_texts(parts), "docs bigint, blob binary")
+    texts = base.mapInArrow(pack_texts(parts), "docs bigint, blob binary")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
     return texts.groupBy("docs").cogroup(spans.groupBy("docs")).applyInArrow(_apply(with_text), schema)
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
+from boxlore.llm.texts import U64, mix, ranges, slices
+
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob, byte planes apart so that high zero bytes vanish."""
@@ -36,3 +40,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def gaps(x: np.ndarray) -> np.ndarray:
     """Differences of a sorted array, first value kept."""
     return np.diff(x, prepend=x.dtype.type(0))
+
+
+def pack_texts(parts: int):
+    """Whole texts with their ids, packed by group of documents: rows ``docs, blob``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in slices(batches, 3 << 20):
+            group = (mix(s.ids.view(U64)) % U64(parts)).astype(np.int64)
+            length = np.diff(s.off)
+            order = np.argsort(group, kind="stable")
+            which, cut = np.unique(group[order], return_index=True)
+            blobs = [pack(s.ids[o], length[o], s.buf[ranges(s.off[o], length[o])], level=3) for o in np.split(order, cut[1:])] if len(order) else []
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(blobs, pa.binary())], names=["docs", "blob"])
+
+    return run

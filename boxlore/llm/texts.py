@@ -78,6 +78,11 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = 1 << 21, key: str = "d
             at = end
 
 
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start+1, ... of every range, one after another."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 def prefix(buf: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Prefix sums from which :func:`span_hash` takes the hash of any span."""
     out = np.empty(len(buf) + 1, U64)
