@@ -1,12 +1,17 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model: a word pair's share among what follows its first word, mixed with the word's share in
-the corpus, mixed with the probability of its spelling (three-byte contexts). As an automaton: the
-state is the last word; a known pair is an arc with its own weight; any other word first takes the
-failure arc to the root, which costs what the mixture leaves, and then the root's arc of the word.
-Counts cover all training documents. The automaton as a whole stays a table: a group of documents
-asks for the totals of the words and pairs it holds, gets its part of the automaton, and
-traverses its texts once from left to right.
+The model: a word pair's share among what follows its first word, mixed with the word's add-one
+share in the corpus, in which all unknown words are one. As an automaton: the state is the last
+word, and whether it was reached by a strong arc; a known pair is an arc with its own weight; any
+other word first takes the failure arc to the root, which costs what the mixture leaves, and then
+the root's arc of the word. Counts cover all training documents. The automaton as a whole stays a
+table: a group of documents asks for the totals of the words and pairs it holds, gets its part of
+the automaton, and traverses its texts once from left to right.
+
+The root's divisor needs the number of distinct words, which is known when all is counted. Root
+arcs are therefore summed without it and divided at the end; inside the weight of a pair's arc a
+bound from above (the sum of distinct words of slices) stands for it, so that the weights that
+leave a state sum to at most one.
 """
 
 from __future__ import annotations
@@ -21,66 +26,23 @@ from pyspark.sql import functions as F
 
 from boxlore.llm.labelled import remainder
 from boxlore.llm.store import gaps, pack, pack_texts, unpack
-from boxlore.llm.texts import U64, Slice, mix, prefix, ranges, slices, span_hash, words
+from boxlore.llm.texts import U64, Slice, mix, prefix, slices, span_hash, words
 from boxlore.session import Scratch
 
 END, BEGIN = U64(0x45E0D5E1C0FFEE01), U64(0xB0B5EED5CAFE0003)
-PAIR = 0.4  # weight of a pair's share, where the first word is known
-UNSEEN = 0.03  # weight of the spelling in a word's probability
-SPELL = 4.0  # weight of the shorter context in a spelling
+# Weight of a pair's share, where the first word is known: after a failure or a weak arc, after a strong one.
+PAIR_LOW, PAIR_HIGH = 0.3, 0.85
+STRONG = 0.05  # share of a pair that makes its arc a strong one
 PART = 4 << 20
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three-byte contexts of the distinct words of each slice (blank as begin and end), and its tokens as key -1."""
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each slice, and its distinct ones."""
     for part in slices(batches, 2 << 20):
         low = part.lower()
         start, end, _ = words(low, part.off)
-        tokens = len(start) + len(part)
-        if len(start):
-            first = np.unique(mix(span_hash(prefix(low), start, end)), return_index=True)[1]
-            start, end = start[first], end[first]
-            key, many = np.unique(_spelling(low, start, end - start)[0], return_counts=True)
-        else:
-            key, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[key, -1]), pa.array(np.r_[many, tokens])], names=["key", "n"])
-
-
-def _spelling(low: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three-byte keys of words with two blanks before and one behind, and the word of each."""
-    size = length + 3
-    base = np.cumsum(size) - size
-    flat = np.full(int(size.sum()), 32, np.int64)
-    flat[ranges(base + 2, length)] = low[ranges(start, length)]
-    at = ranges(base, length + 1)
-    return (flat[at] << 16) | (flat[at + 1] << 8) | flat[at + 2], np.repeat(np.arange(len(start)), length + 1)
-
-
-class Speller:
-    """Smoothed probabilities of spellings. At most 256 * 256 contexts of 256 numbers, whatever the corpus."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        one = np.bincount(key & 255, n, 256) + 1.0
-        one /= one.sum()
-        two = np.bincount(key & 0xFFFF, n, 1 << 16).reshape(256, 256)
-        self.two = ((two + SPELL * one) / (two.sum(1, keepdims=True) + SPELL)).astype(np.float32)
-        context, row = np.unique(key >> 8, return_inverse=True)
-        three = np.zeros((len(context), 256))
-        np.add.at(three, (row, key & 255), n)
-        three = (three + SPELL * self.two[context & 255]) / (three.sum(1, keepdims=True) + SPELL)
-        self.row = np.full(1 << 16, -1, np.int32)
-        self.row[context] = np.arange(len(context))
-        self.three = np.log(three).astype(np.float32)
-
-    def log(self, low: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each word's spelling."""
-        out = np.empty(len(start))
-        for at in range(0, len(start), 1 << 16):
-            key, word = _spelling(low, start[at : at + (1 << 16)], length[at : at + (1 << 16)])
-            row = self.row[key >> 8]
-            p = np.where(row >= 0, self.three[row, key & 255] if len(self.three) else 0, np.log(self.two[(key >> 8) & 255, key & 255]))
-            out[at : at + (1 << 16)] = np.bincount(word, p, len(start[at : at + (1 << 16)]))
-        return out
+        distinct = len(np.unique(span_hash(prefix(low), start, end))) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([len(start) + len(part)]), pa.array([distinct])], names=["tokens", "bound"])
 
 
 class Group:
@@ -153,45 +115,36 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"docs": pa.array(docs[order]), "part": part, "blob": pa.array([pack(a, b) for a, b in zip(*totals, strict=True)], pa.binary())})
 
 
-_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, v bigint, base double, score double"
+_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, v bigint, base double, arcs double, failures bigint"
 
 
-def _traverse(speller: Speller, tokens: int, modulus: int, held_out: int):
+def _traverse(most: float, modulus: int, held_out: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         g = Group(left["blob"].to_pylist(), modulus, held_out)
         blobs = right["blob"].to_pylist()
         answers = [unpack(blobs[i]) for i in np.argsort(right["part"].to_numpy(), kind="stable")]
         known = np.concatenate([a[0] for a in answers])
         pairs = np.concatenate([a[1] for a in answers]).astype(float)
-        fresh = int((known & U64(1)).sum())
         c = (known >> U64(1)).astype(float)
-        # The root's arcs: one weight per distinct word.
-        spell = np.full(len(c), np.log(1e-3))  # an end where the corpus has none
-        where = np.zeros(len(c), np.int64)
-        where[g.number[g.at]] = np.arange(len(g.at))
-        real = np.zeros(len(c), bool)
-        real[g.number[g.at]] = True
-        spot = where[real]
-        spell[real] = speller.log(g.low, g.start[spot], (g.end - g.start)[spot])
-        share = c / max(tokens, 1)
-        root = (1 - UNSEEN) * share + UNSEEN * np.exp(spell) if tokens else np.exp(spell)
-        log_root = np.where(root > 1e-290, np.log10(np.maximum(root, 1e-300)), np.log10(UNSEEN) + spell / np.log(10))
+        root = np.log10(c + 1)  # the root's arcs, still without their common divisor
         # The state before each token: the last word's count, and at a text's begin the count of texts.
-        end = int(np.searchsorted(g.word, END))
         state = np.empty(len(g.number))
         state[1:] = c[g.number[:-1]]
-        state[g.opens] = c[end]
+        state[g.opens] = c[int(np.searchsorted(g.word, END))]
         seen = pairs[g.pair_number]
-        arc = np.log10(PAIR * seen / np.maximum(state, 1) + (1 - PAIR) * root[g.number] + 1e-300)
-        fail = np.where(state > 0, np.log10(1 - PAIR), 0.0) + log_root[g.number]
-        weight = np.where((seen > 0) & (state > 0), arc, fail)
+        share = np.where(state > 0, seen / np.maximum(state, 1), 0)
+        strong = np.r_[False, share[:-1] >= STRONG] & ~g.opens
+        pair = np.where(strong, PAIR_HIGH, PAIR_LOW)
+        hit = share > 0
+        arc = np.log10(pair * share + (1 - pair) * (c + 1)[g.number] / most + 1e-300)
+        fail = np.where(state > 0, np.log10(1 - pair), 0.0) + root[g.number]
         n = len(g.ids)
         v = np.zeros(n, np.int64)
-        v[:1] = fresh
+        v[:1] = int((known & U64(1)).sum())
+        count = lambda which: np.bincount(g.doc[which], minlength=n).astype(np.int64)
         return pa.table({
-            "doc_id": g.ids, "held_out": g.held, "n_tokens": np.bincount(g.doc, minlength=n).astype(np.int64),
-            "n_known": np.bincount(g.doc[c[g.number] > 0], minlength=n).astype(np.int64), "v": v,
-            "base": np.bincount(g.doc, np.log10(c + 1)[g.number], n), "score": np.bincount(g.doc, weight, n),
+            "doc_id": g.ids, "held_out": g.held, "n_tokens": count(slice(None)), "n_known": count(c[g.number] > 0), "v": v,
+            "base": np.bincount(g.doc, root[g.number], n), "arcs": np.bincount(g.doc, np.where(hit, arc, fail), n), "failures": count(~hit),
         })
 
     return run
@@ -209,19 +162,17 @@ def scores(docs: DataFrame, own: Scratch, modulus: int = 7, held_out: int = 2, k
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, int(size // part))
     learnt = base.where(F.coalesce(remainder("doc_id", modulus) != held_out, F.lit(True)))
-    # At most 256**3 keys, and a few ten thousand in any real script.
-    spelt = learnt.mapInArrow(_trigrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    letters = spelt[spelt.key >= 0].sort_values("key")
-    speller = Speller(letters.key.to_numpy(), letters.n.to_numpy())
-    tokens = int(spelt.n[spelt.key < 0].sum())
+    sizes = learnt.mapInArrow(_sizes, "tokens bigint, bound bigint").agg(F.sum("tokens"), F.sum("bound")).first()
+    tokens, most = int(sizes[0] or 0), int(sizes[0] or 0) + int(sizes[1] or 0) + 1
     texts = base.mapInArrow(pack_texts(parts), "docs bigint, blob binary")
     tables = max(16, parts // 4)
     asked = texts.groupBy("docs").applyInArrow(_ask(tables, modulus, held_out), "part bigint, docs bigint, blob binary")
     told = asked.groupBy("part").applyInArrow(_answer, "docs bigint, part bigint, blob binary")
-    done = own.keep(texts.groupBy("docs").cogroup(told.groupBy("docs")).applyInArrow(_traverse(speller, tokens, modulus, held_out), _SCHEMA))
+    done = own.keep(texts.groupBy("docs").cogroup(told.groupBy("docs")).applyInArrow(_traverse(float(most), modulus, held_out), _SCHEMA))
     distinct = done.agg(F.sum("v")).first()[0] or 0
     total = F.log10(F.lit(float(tokens + distinct + 1)))
     return done.select(
         F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * total).alias("base_score"), "score",
+        (F.col("base") - F.col("n_tokens") * total).alias("base_score"),
+        (F.col("arcs") - F.col("failures") * total).alias("score"),
     )
