@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlore.llm import decontaminate, language_model, main_text, near_dedup, packing, quality, span_dedup, toxicity, vector_dedup
+from boxlore.llm import decontaminate, language_model, main_text, near_dedup, packing, quality, span_dedup, token_file, toxicity, vector_dedup
 from boxlore.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
+@query()
+def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.digest(token_file.write(_table(spark, sf_dir, "documents"), Scratch(spark), tokenizer_path()))
