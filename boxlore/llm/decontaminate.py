@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxlore.llm.store import fresh_name
 from boxlore.session import Scratch
 
 SHINGLE = 5
@@ -73,7 +74,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, own: Scratch, threshold: floa
 
     ``start`` counts words from 0. Items of fewer than five words match as a whole run of words;
     null, empty and blank texts and items match nothing. Ties go to the earlier window. Rows of one
-    document key count as one document, rows of one item id as one item with several texts.
+    document key count as one document, rows of one item id as one item with several texts. A null
+    document key matches nothing.
     """
     items = own.keep(
         benchmark.select(F.col(item).alias("item_id"), word_hashes(F.col(item_text).cast("string")).alias("w"))
@@ -92,7 +94,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, own: Scratch, threshold: floa
     marks = own.keep(own_shingles.select("item_row", "n", "width", F.posexplode("s").alias("o", "h")))
     small = marks.count() <= BROADCAST_ROWS
     hinted = F.broadcast(marks) if small else marks.hint("merge")
-    base = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     hits = None
     for width in widths:
         placed = base.select("doc_id", F.posexplode(shingles(word_hashes(F.col("text")), width)).alias("p", "h"))
@@ -126,6 +128,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, own: Scratch, threshold: floa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, own: Scratch, threshold: float = 0.8, key: str = "doc_id", **how: object) -> DataFrame:
-    """The documents that hold no item, all columns as they were."""
-    found = matches(docs, benchmark, own, threshold, key=key, **how).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[key] == F.col("_found"), "left_anti")
+    """The documents that hold no item, and those without a key; all columns as they were."""
+    name = fresh_name(docs, "found")
+    found = matches(docs, benchmark, own, threshold, key=key, **how).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found.hint("merge"), docs[key] == found[name], "left_anti")

@@ -156,12 +156,12 @@ def scores(docs: DataFrame, own: Scratch, modulus: int = 7, held_out: int = 2, k
     Tokens are lower-cased words and one end per text; null, empty and blank texts are an end alone.
     Learns from all documents whose crc32(id) mod ``modulus`` is not ``held_out``. Words count by
     64-bit hashes, pairs by 48-bit ones. Without training documents every word is unknown. Rows
-    that share a key are scored each for itself.
+    that share a key are scored each for itself; a null key gets no result.
     """
-    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, int(size // part))
-    learnt = base.where(F.coalesce(remainder("doc_id", modulus) != held_out, F.lit(True)))
+    learnt = base.where(remainder("doc_id", modulus) != held_out)
     sizes = learnt.mapInArrow(_sizes, "tokens bigint, bound bigint").agg(F.sum("tokens"), F.sum("bound")).first()
     tokens, most = int(sizes[0] or 0), int(sizes[0] or 0) + int(sizes[1] or 0) + 1
     texts = base.mapInArrow(pack_texts(parts), "docs bigint, blob binary")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlore.llm.graph import components, forest, in_chunks
+from boxlore.llm.store import fresh_name
 from boxlore.llm.texts import U64, Slice, mix, shingle_sets, slices
 from boxlore.session import Scratch
 
@@ -133,7 +134,7 @@ def groups(docs: DataFrame, own: Scratch, percent: int = 80, bands: int = 32, ro
 
     ``key`` is unique; other columns are ignored. Sets are the distinct five-word shingles of the
     whole lower-cased text (64-bit hashes of them). Null, empty and blank texts have an empty set
-    and link with nothing.
+    and link with nothing. Rows with a null key get no result; rows that share a key each get one.
 
     Equal sets are one class from here on, so copies never meet in pairs. Classes that share a
     band are candidates; bands are chained by union-find, and inside a candidate group all full
@@ -141,7 +142,7 @@ def groups(docs: DataFrame, own: Scratch, percent: int = 80, bands: int = 32, ro
     similarity s a linked pair shares no band with probability (1 - s**rows)**bands: at the limits,
     below 1e-7 for (80, 32, 4) and below 1e-6 for (85, 25, 5), and a group needs only one chain.
     """
-    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     marks = own.keep(base.mapInArrow(_signatures(bands, rows), "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"))
     classes = marks.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("head"), F.first("bands").alias("bands"))
     band = own.keep(classes.select("head", F.explode("bands").alias("band")))
@@ -162,6 +163,7 @@ def groups(docs: DataFrame, own: Scratch, percent: int = 80, bands: int = 32, ro
 
 
 def keep_first(docs: DataFrame, own: Scratch, percent: int = 80, key: str = "doc_id", **how: object) -> DataFrame:
-    """The documents that open their group, all columns as they were."""
-    stay = groups(docs, own, percent, key=key, **how).where("kept").select(F.col(key).alias("_kept_id"))
-    return docs.join(stay, docs[key] == F.col("_kept_id"), "left_semi")
+    """The documents that open their group, and those without a key; all columns as they were."""
+    name = fresh_name(docs, "later")
+    later = groups(docs, own, percent, key=key, **how).where("NOT kept").select(F.col(key).alias(name))
+    return docs.join(later.hint("merge"), docs[key] == later[name], "left_anti")

@@ -161,8 +161,8 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold:
     is not ``held_out`` (a documented bound; texts over 64 KiB are not learnt from). Their vectors
     (at most 2 * per_class rows of 40 numbers, under 1 MB) go to every task, which computes all
     cosines of all its documents in blocks. Null and empty texts get the label's share, but not
-    more than half the threshold.
+    more than half the threshold. Rows that share a key are scored each; a null key gets no result.
     """
     model = fit(*sample(docs, labels, label, modulus, held_out, per_class, key, text))
-    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     return base.mapInArrow(_score(model, modulus, held_out, threshold), _SCHEMA)

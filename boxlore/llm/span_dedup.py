@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlore.llm.store import gaps, pack, pack_texts, unpack
+from boxlore.llm.store import fresh_name, gaps, pack, pack_texts, unpack
 from boxlore.llm.texts import U64, mix, prefix, ranges, slices, span_hash
 
 GRAM = 8
@@ -238,13 +238,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
     Texts are UTF-8 bytes, null is empty. A byte goes if a ``width``-byte string that covers it
     also starts in a document with a smaller key; strings are judged on the input. Texts shorter
     than ``width`` lose nothing. ``kept_text`` leaves out bytes of characters that were cut in two.
-    Rows that share a key must share their text; they get the same result.
+    Rows that share a key must share their text; they get the same result. A null key gets none.
 
     A slice of a task sends each distinct phrase once, with all places it has there, so a passage
     that every document holds is a few bytes per occurrence, spread over as many parts as it has
     triggers. Strings are equal if their 64-bit hashes under one trigger are.
     """
-    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, int(size // part))
     phrases = base.mapInArrow(_dictionary(parts, width), "part bigint, blob binary")
@@ -255,7 +255,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text:
 
 
 def without_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the rest of each text; other columns as they were."""
-    rest = remove_repeats(docs, width, key, text, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_rest_id"), F.col("kept_text").alias("_rest"))
-    joined = docs.join(rest, docs[key] == F.col("_rest_id"), "left")
-    return joined.select(*[F.when(F.col("_rest_id").isNotNull(), F.col("_rest")).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
+    """``docs`` with the rest of each text; other columns, and rows without a key, as they were."""
+    name, rest = fresh_name(docs, "rest_id"), fresh_name(docs, "rest")
+    cut = remove_repeats(docs, width, key, text, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias(name), F.col("kept_text").alias(rest)).dropDuplicates([name])
+    joined = docs.join(cut.hint("merge"), docs[key] == cut[name], "left")
+    return joined.select(*[F.when(cut[name].isNotNull(), cut[rest]).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
 from boxlore.llm.texts import U64, mix, ranges, slices
 
@@ -42,6 +43,14 @@ def gaps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as make it new to ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pack_texts(parts: int):
     """Whole texts with their ids, packed by group of documents: rows ``docs, blob``."""
 

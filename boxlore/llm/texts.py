@@ -68,7 +68,7 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterable[pa.RecordBatch], size: int = 1 << 21, key: str = "doc_id", text: str = "text") -> Iterator[Slice]:
     """Cut record batches into slices of about ``size`` bytes; a longer text is a slice alone. Null is empty."""
     for batch in batches:
-        ids = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = batch.column(key).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         buf, off = _binary(batch.column(text))
         at = 0
         while at < len(ids):

@@ -310,14 +310,34 @@ _SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 def _score(model: Model, modulus: int, held_out: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1 << 20):
-            z = best_logits(model.net, part).astype(float)
-            score = np.where(np.isfinite(z), 1 / (1 + np.exp(-np.clip(model.slope * np.where(np.isfinite(z), z, 0) + model.shift, -30, 30))), min(model.prior, threshold / 2))
+            score = _probability(model, part, threshold)
             rest = np.array([zlib.crc32(str(i).encode()) % modulus == held_out for i in part.ids.tolist()], bool)
             yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(rest), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
 
+def _probability(model: Model, part: Slice, threshold: float) -> np.ndarray:
+    z = best_logits(model.net, part).astype(float)
+    ok = np.isfinite(z)
+    return np.where(ok, 1 / (1 + np.exp(-np.clip(model.slope * np.where(ok, z, 0) + model.shift, -30, 30))), min(model.prior, threshold / 2))
+
+
+def _filter(model: Model, threshold: float, key: str, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_probability(model, part, threshold) < threshold for part in slices([batch], 1 << 20, key, text)]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return run
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.3, modulus: int = 4, held_out: int = 2, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that :func:`scores` does not predict to be toxic, all columns as they were; nothing is shuffled."""
+    model = fit(*sample(docs, labels, label, modulus, held_out, per_class, key, text))
+    return docs.mapInArrow(_filter(model, threshold, key, text), docs.schema)
+
+
 def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.3, modulus: int = 4, held_out: int = 2, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Per document: ``doc_id, held_out, score, predicted``.
 
@@ -326,7 +346,8 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold:
     model (about 300 kB, a fixed size) scores every overlapping window of 32 words, 16 apart, of
     every whole text; a text's score is its worst window's. Null, empty and blank texts get the
     label's share, but not more than half the threshold. Without labels of both kinds all texts do.
+    Rows that share a key are scored each for itself; a null key gets no result.
     """
     model = fit(*sample(docs, labels, label, modulus, held_out, per_class, key, text))
-    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
     return base.mapInArrow(_score(model, modulus, held_out, threshold), _SCHEMA)

@@ -101,9 +101,11 @@ def links(
     threshold stands for. Cells join alone, chunk against chunk, so neither a hot label nor a dense
     cell is one task. Null labels, and null, zero, non-finite, empty or ragged vectors, link with
     nothing and come back as rows of their own; vectors of other lengths only meet their own kind.
+    Rows that share a key count as copies if they are equal. A null key gets no result.
     """
-    base = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    good = base.where(F.col("label").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+    base = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector")).where("id IS NOT NULL")
+    fit = F.col("label").isNotNull() & usable(F.col("vector"))
+    good = base.where(fit).withColumn("dim", F.size("vector"))
     classes = own.keep(good.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     member = own.keep(good.join(classes.select("label", "dim", "vector", F.col("id").alias("head"), "copies"), ["label", "dim", "vector"]).select("id", "head", "copies"))
     radius = float(np.sqrt(2 - 2 * threshold))
@@ -128,7 +130,8 @@ def links(
     found = own.keep(found)
     counts = found.groupBy(F.col("id").alias("head")).agg(F.sum("n").alias("n"))
     group = components(found, own, "id", "to").select(F.col("id").alias("head"), "component")
-    full = base.select("id").join(member, "id", "left").join(counts, "head", "left").join(group, "head", "left")
+    alone = base.where(~fit).select("id", F.lit(None).cast("bigint").alias("head"), F.lit(1).cast("bigint").alias("copies"))
+    full = member.unionByName(alone).join(counts, "head", "left").join(group, "head", "left")
     component = F.coalesce("component", "head", "id")
     return full.select(
         F.col("id").alias(key),

@@ -14,9 +14,7 @@ from boxlore.session import Scratch, shared_dir
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict to be toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = toxicity.scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad.hint("merge"), docs["doc_id"] == F.col("_bad"), "left_anti")
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +23,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that also start in an earlier document; texts that lose all go."""
-    return span_dedup.without_repeats(docs)
+    """Texts without the 50-byte strings that also start in an earlier document; ``n_chars`` follows."""
+    return span_dedup.without_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
