@@ -140,12 +140,14 @@ def _repeats(length: np.ndarray, doc: np.ndarray, text: np.ndarray, width: int)
         least = source[first][np.cumsum(first) - 1]
         repeated[index[source > least]] = True
     hit = np.flatnonzero(repeated)
+    if not len(hit):
+        return hit, hit, hit
     phrase = np.searchsorted(ends, hit, side="right")
     brk = np.ones(len(hit), bool)
     brk[1:] = (hit[1:] != hit[:-1] + 1) | (phrase[1:] != phrase[:-1])
     lead = np.flatnonzero(brk)
     tail = np.r_[lead[1:], len(hit)] - 1
-    zero = (ends - many)[phrase[lead]] if len(lead) else hit
+    zero = (ends - many)[phrase[lead]]
     return phrase[lead], hit[lead] - zero, hit[tail] - zero + width
 
 
