@@ -41,8 +41,9 @@ _ENDS = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[a-z0-9]+")
 
 
@@ -62,13 +63,16 @@ def parse(page: str) -> Node:
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
-        if not m:  # a quote that never closes: the tag ends at its first >
+        if m:
+            at = m.end()
+            close, name, attrs, done, text = m.groups()
+        else:  # no name, or a quote that never closes: it ends at its first >
             stop = page.find(">", at)
-            m = _TOKEN.match(page[: stop + 1].replace('"', " ").replace("'", " "), at) if stop >= 0 else None
-            if not m:
+            if stop < 0:
                 break
-        at = m.end()
-        close, name, attrs, done, text = m.groups()
+            m = _BROKEN.match(page, at, stop)
+            close, name = m.groups() if m else ("", None)
+            attrs, done, text, at = "", ">", None, stop + 1
         if text:
             stack[-1].kids.append(text)
             continue
