@@ -94,11 +94,22 @@ def grid_values(text: Column) -> Column:
     return F.explode(F.transform(F.split(text, ","), lambda v: F.trim(v).cast("double")))
 
 
-def mixed(value: Column, seed: int, modulus: int = 1000003) -> Column:
-    """A repeatable scatter of whole ids: plain arithmetic, so other engines agree on it."""
-    return ((value % modulus) * 7919 + (value % 8191) * 104729 + seed * 31) % modulus
+PRIME = 2147483647
+ROUNDS = (1103515245, 1597334677, 747796405)
+
+
+def mixed(value: Column, seed: int) -> Column:
+    """A repeatable scatter of whole ids over 0 .. PRIME - 1.
+
+    Rounds of shift, xor and multiplication modulo a prime, all within 64-bit arithmetic that
+    other engines share. Neighbouring ids and neighbouring seeds give unrelated numbers.
+    """
+    x = (value % PRIME + PRIME + F.lit(seed).cast("bigint") * 69069) % PRIME
+    for k, a in enumerate(ROUNDS):
+        x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(a).cast("bigint") + (k + 1)) % PRIME
+    return x
 
 
 def unit(value: Column, seed: int) -> Column:
     """A repeatable number in [0, 1) from a whole id."""
-    return mixed(value, seed) / F.lit(1000003.0)
+    return mixed(value.cast("bigint"), seed) / F.lit(float(PRIME))

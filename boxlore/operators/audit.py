@@ -77,11 +77,23 @@ def percentile_linear(df: DataFrame, col: str, q: float):
     return low + (high - low) * (position - F.floor(position))
 
 
-def runtime_stats(runs: DataFrame, col: str = "seconds") -> DataFrame:
-    """Mean, p95 and maximum per stage plus the time 50 images would take."""
-    return runs.agg(
-        F.avg(col).alias("mean_sec"), F.max(col).alias("max_sec"), (F.avg(col) * 50).alias("sec_for_50")
-    ).select("*", percentile_linear(runs, col, 0.95).alias("p95_sec"))
+def runtime_stats(runs: DataFrame, col: str = "seconds", stage: str | None = None, q: float = 0.95) -> DataFrame:
+    """Mean, p95 and maximum, per value of ``stage`` if given, plus the time 50 images would take.
+
+    The percentile is exact: it lies between two values whose ranks come from one pass over the
+    distinct values of all stages.
+    """
+    keys = [stage or "_all"]
+    runs = runs if stage else runs.withColumn("_all", F.lit(0))
+    known = runs.where(F.col(col).isNotNull())
+    totals = runs.groupBy(*keys).agg(F.avg(col).alias("mean_sec"), F.max(col).alias("max_sec"), (F.avg(col) * 50).alias("sec_for_50"), ((F.count(col) - 1) * F.lit(q)).alias("_at"))
+    order = ranked(known.groupBy(*keys, col).agg(F.count("*").alias("n")), keys, [F.col(col).asc()], {"n": "_upto"}).select(*keys, F.col(col).alias("_v"), "_upto")
+    both = totals.join(order, keys, "left")
+    least = lambda edge: F.min(F.when(F.col("_upto") > edge, F.col("_v")))
+    low, high = least(F.floor("_at")), least(F.ceil("_at"))
+    named = [*([stage] if stage else []), "mean_sec", "max_sec", "sec_for_50"]
+    return both.groupBy(*keys, *[c for c in named if c != stage], "_at").agg(low.alias("_low"), high.alias("_high")).select(
+        *named, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("p95_sec"))
 
 
 def match_totals(status: DataFrame) -> DataFrame:

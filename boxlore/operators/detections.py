@@ -13,10 +13,11 @@ from boxlore.operators.ranking import cap_per_group
 BEST_FIRST = ("score", "pred_id")
 
 
-def decode_detections(raw: DataFrame, images: DataFrame, size: int, conf: float, *, flipped: bool = False) -> DataFrame:
+def decode_detections(raw: DataFrame, images: DataFrame, size: int, conf: float, *, flipped: bool = False, flip_before_clip: bool = True) -> DataFrame:
     """Rows ``cx, cy, w, h, class_scores`` in model space to normalised corners with class and score.
 
-    The confidence filter comes before any coordinate work.
+    The confidence filter comes before any coordinate work. ``flipped`` rows come from a mirrored
+    image and are mirrored back, before or after they are clipped.
     """
     score, cls = G.argmax_class(F.col("class_scores"))
     rows = raw.withColumns({"score": score, "category_id": cls}).where(F.col("score") >= conf)
@@ -24,14 +25,33 @@ def decode_detections(raw: DataFrame, images: DataFrame, size: int, conf: float,
     w, h = F.col("width"), F.col("height")
     corners = G.centre_to_corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))
     corners = G.unletterbox(corners, G.letterbox(w, h, size))
-    if flipped:
+    if flipped and flip_before_clip:
         corners = G.flip_corners(corners, w)
     norm = G.clip_corners_norm(corners, w, h)
+    if flipped and not flip_before_clip:
+        norm = G.flip_corners(norm)
     out = rows.select(*[c for c in ("pred_id", "model_id", "image_id") if c in raw.columns], "category_id", "score",
                       *[c.alias(n) for c, n in zip(norm, ("x1", "y1", "x2", "y2"))])
     return out.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
 
 
+def decode_boxes(raw: DataFrame, images: DataFrame, size: int, conf: float, *, flipped: bool = False, flip_before_clip: bool = True) -> DataFrame:
+    """The same rows to pixel boxes ``x, y, w, h``, clipped as boxes: first the corner, then the size."""
+    score, cls = G.argmax_class(F.col("class_scores"))
+    rows = raw.withColumns({"score": score, "category_id": cls}).where(F.col("score") >= conf)
+    rows = rows.join(images.select("image_id", "width", "height"), "image_id")
+    w, h = F.col("width"), F.col("height")
+    c = G.unletterbox(G.centre_to_corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("h")), G.letterbox(w, h, size))
+    box = G.Box(c.x1, c.y1, c.x2 - c.x1, c.y2 - c.y1)
+    if flipped and flip_before_clip:
+        box = G.flip_box(box, w)
+    box = G.clip_box(box, w, h)
+    if flipped and not flip_before_clip:
+        box = G.flip_box(box, w)
+    out = rows.select(*[n for n in ("pred_id", "model_id", "image_id") if n in raw.columns], "category_id", "score", *[v.alias(n) for v, n in zip(box, "xywh")])
+    return out.where((F.col("w") > 0) & (F.col("h") > 0))
+
+
 def sanitize(preds: DataFrame, images: DataFrame, n_classes: int) -> DataFrame:
     """Drop broken rows, clamp boxes, scores and classes."""
     b, score = G.box_of(), F.col("score")

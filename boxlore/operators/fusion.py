@@ -32,6 +32,7 @@ class _Clusters:
     def __init__(self, min_iou: float, best_fit: bool, cell: float):
         self.min_iou, self.best_fit, self.cell = min_iou, best_fit, cell
         self.boxes: list[tuple] = []
+        self.seeds: list[int] = []
         self.sums: list[list] = []
         self.cells: dict[tuple, set] = {}
 
@@ -51,7 +52,7 @@ class _Clusters:
             ih = min(y + h, cy + ch) - max(y, cy)
             if iw <= 0 or ih <= 0:
                 continue
-            inter = iw * ih
+            inter = iw * ih  # above 0, so the union is too
             iou = inter / (w * h + cw * ch - inter)
             if self.best_fit:
                 if iou > level:
@@ -60,12 +61,13 @@ class _Clusters:
                 return k
         return found
 
-    def add(self, x, y, w, h, weight, source):
+    def add(self, x, y, w, h, weight, source, pred_id):
         touched = self._touched(x, y, w, h)
         k = self._find(x, y, w, h, touched)
         if k is None:
             k = len(self.boxes)
             self.boxes.append((x, y, w, h))
+            self.seeds.append(pred_id)
             self.sums.append([0.0, 0.0, 0.0, 0.0, 0.0, 0, set()])
         else:
             touched = None
@@ -89,8 +91,8 @@ class _Clusters:
             self.cells.setdefault(c, set()).add(k)
 
     def rows(self):
-        for k, (box, s) in enumerate(zip(self.boxes, self.sums)):
-            yield (k, *box, s[4], s[5], len(s[6]))
+        for seed, box, s in zip(self.seeds, self.boxes, self.sums):
+            yield (seed, *box, s[4], s[5], len(s[6]))
 
 
 def _walk(keys: list[str], best_fit: bool, cell: float):
@@ -101,7 +103,7 @@ def _walk(keys: list[str], best_fit: bool, cell: float):
         current, clusters, out = None, None, []
         for pdf in batches:
             groups = list(zip(*(pdf[k].tolist() for k in keys)))
-            cols = [pdf[c].tolist() for c in ("x", "y", "w", "h", "_weight", "_source", "_min_iou")]
+            cols = [pdf[c].tolist() for c in ("x", "y", "w", "h", "_weight", "_source", "pred_id", "_min_iou")]
             for key, *values, min_iou in zip(groups, *cols):
                 if key != current:
                     if clusters is not None:
@@ -156,7 +158,9 @@ def cluster_boxes(
 
     ``best_fit``: join the cluster of highest IoU above ``min_iou``; otherwise the earliest
     cluster at or above it. ``min_iou`` may be a column that is constant per group. ``cell`` is
-    the unit of the cluster index, in box units.
+    the unit of the cluster index, in box units. ``cluster`` is the ``pred_id`` of the box that
+    opened the cluster, so neither the order of groups nor cutting a group changes it. Boxes
+    without area touch nothing and stay alone.
     """
     if not isinstance(min_iou, Column):
         if min_iou <= 0:
@@ -165,7 +169,6 @@ def cluster_boxes(
     keys = list(keys)
     rows = dets.select(
         *keys, "pred_id", *"xywh", weight.alias("_weight"), F.col(source).alias("_source"), min_iou.alias("_min_iou"))
-    rows = rows.where((F.col("w") > 0) & (F.col("h") > 0))
     hot = hot_groups(rows, keys, hot_rows)
     walk_keys = keys
     if hot is not None:
@@ -181,16 +184,12 @@ def cluster_boxes(
     ])
     ordered = rows.repartition(*walk_keys).sortWithinPartitions(*walk_keys, F.col("_weight").desc(), F.col("pred_id").asc())
     out = ordered.mapInPandas(_walk(walk_keys, best_fit, cell), schema)
-    if hot is None:
-        return out
-    # Clusters are numbered per strip; make the number unique per group again.
-    strip = F.col("_sx") * (STRIPS + 1) + F.col("_sy")
-    return out.withColumn("cluster", strip.cast("bigint") * (1 << 28) + F.col("cluster")).drop("_sx", "_sy")
+    return out.drop("_sx", "_sy")
 
 
 def fused_id(clusters: DataFrame) -> DataFrame:
-    """A ``pred_id`` unique per image: class and cluster number."""
-    return clusters.withColumn("pred_id", F.col("category_id").cast("bigint") * (1 << 40) + F.col("cluster"))
+    """The ``pred_id`` of a fused box: that of its first member."""
+    return clusters.withColumn("pred_id", F.col("cluster"))
 
 
 def wbf_sequential(
@@ -212,11 +211,13 @@ def wbf_weighted(
     """Best-fit fusion of models with weights (the published weighted-boxes-fusion rule).
 
     ``weights[i]`` belongs to model ``i``. Scores below ``skip`` are left out before weighting.
-    Fused score: mean weighted score times ``min(members, models) / sum(weights)``.
+    Fused score: mean weighted score times ``min(members, models) / sum(weights)``. Boxes without
+    area are left out.
     """
     table = F.array(*[F.lit(float(w)) for w in weights])
     weight = F.col("score") * F.element_at(table, (F.col(source) + 1).cast("int"))
-    clusters = cluster_boxes(dets.where(F.col("score") >= skip), weight, source, min_iou, keys, best_fit=True, **options)
+    usable = dets.where((F.col("score") >= skip) & (F.col("w") > 0) & (F.col("h") > 0))
+    clusters = cluster_boxes(usable, weight, source, min_iou, keys, best_fit=True, **options)
     return fused_id(clusters).select(
         *keys, "pred_id", *"xywh",
         (F.col("weight_sum") / F.col("members") * F.least(F.col("members"), F.lit(len(weights))) / F.lit(float(sum(weights)))).alias("score"),

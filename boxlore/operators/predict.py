@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _answers(fn: Callable, part: pd.DataFrame, names: list[str], default: Mapping[str, object]) -> pd.DataFrame:
+    """Outputs of one batch with ``error``; a batch that fails is tried row by row."""
+    try:
+        out = fn(part)[names].reset_index(drop=True).assign(error=None)
+        if len(out) == len(part):
+            return out
+        failure: Exception = ValueError("model returned another number of rows")
+    except Exception as e:  # the model is foreign code
+        failure = e
+    if len(part) > 1:
+        return pd.concat([_answers(fn, part.iloc[[i]].reset_index(drop=True), names, default) for i in range(len(part))], ignore_index=True)
+    return pd.DataFrame([{**{n: default.get(n) for n in names}, "error": str(failure)}])
+
+
 def batch_predict(
     df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], id_col: str, outputs: T.StructType | str,
     default: Mapping[str, object], batch_size: int = 64,
@@ -24,24 +38,12 @@ def batch_predict(
     names = [f.name for f in out.fields]
     schema = T.StructType([df.schema[id_col], *out.fields, T.StructField("error", T.StringType())])
 
-    def one(fn, row: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return fn(row)[names].assign(error=None)
-        except Exception as e:  # the model is foreign code
-            return pd.DataFrame([{**{n: default.get(n) for n in names}, "error": str(e)[:200]}])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size].reset_index(drop=True)
-                try:
-                    res = fn(part)[names].reset_index(drop=True).assign(error=None)
-                    if len(res) != len(part):
-                        raise ValueError("model returned another number of rows")
-                except Exception:
-                    res = pd.concat([one(fn, part.iloc[[i]].reset_index(drop=True)) for i in range(len(part))], ignore_index=True)
-                yield pd.concat([part[[id_col]], res], axis=1)[[id_col, *names, "error"]]
+                yield pd.concat([part[[id_col]], _answers(fn, part, names, default)], axis=1)[[id_col, *names, "error"]]
 
     return df.mapInPandas(run, schema)
 
@@ -49,15 +51,23 @@ def batch_predict(
 def multi_voter(df: DataFrame, voters: Mapping[int, Callable], id_col: str = "ann_id", batch_size: int = 64) -> DataFrame:
     """Several voters over the same rows, long format ``ann_id, voter, match, reason``.
 
-    A voter that fails on a row gives no vote and the reason why.
+    One pass: every batch is shown to all voters. A voter that fails on a row gives no vote and
+    the reason why.
     """
-    out = None
-    for number, factory in voters.items():
-        votes = batch_predict(df, factory, id_col, "match boolean, reason string", {"match": None, "reason": None}, batch_size)
-        reason = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), F.substring("error", 1, 50))).otherwise(F.col("reason"))
-        part = votes.select(id_col, F.lit(number).alias("voter"), "match", reason.alias("reason"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    schema = T.StructType([df.schema[id_col], T.StructField("voter", T.IntegerType()), T.StructField("match", T.BooleanType()), T.StructField("reason", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {number: factory() for number, factory in voters.items()}
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_size):
+                part = pdf.iloc[start:start + batch_size].reset_index(drop=True)
+                for number, fn in models.items():
+                    votes = _answers(fn, part, ["match", "reason"], {})
+                    failed = votes["error"].notna()
+                    votes.loc[failed, "reason"] = "error: " + votes.loc[failed, "error"].astype(str).str[:50]
+                    yield pd.DataFrame({id_col: part[id_col], "voter": number, "match": votes["match"].astype(object), "reason": votes["reason"].astype(object)})
+
+    return df.mapInPandas(run, schema)
 
 
 def ensemble_config(spark: SparkSession, config: Mapping) -> DataFrame:

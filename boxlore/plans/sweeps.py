@@ -80,7 +80,7 @@ def wbf_sweep(
     rows = rows.select("*", "c.config_id", "c.wbf_iou", F.col("score") * F.element_at(F.col("c.weights"), F.col("model_id") + 1)).toDF(
         *rows.columns, "config_id", "_t", "_w")
     keys = ["config_id", "image_id", "category_id"]
-    clusters = fusion.fused_id(fusion.cluster_boxes(rows, F.col("_w"), "model_id", F.col("_t"), keys, best_fit=True))
+    clusters = fusion.fused_id(fusion.cluster_boxes(rows.where("w > 0 AND h > 0"), F.col("_w"), "model_id", F.col("_t"), keys, best_fit=True))
     of_config = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("config_id") + 1)
     share = F.least(F.col("members"), of_config([len(w) for _, _, w in configs])) / of_config([float(sum(w)) for _, _, w in configs])
     fused = clusters.select(*keys, "pred_id", *"xywh", (F.col("weight_sum") / F.col("members") * share).alias("score"))

@@ -9,22 +9,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxlore import schemas
 from boxlore.functions import geometry as G
-from boxlore.operators.ranking import last_wins
+from boxlore.operators.ranking import last_wins, ranked
 
 
 def _json(spark: SparkSession, schema, path: str | Sequence[str], lines: bool = False) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", not lines).json(path if isinstance(path, str) else list(path))
 
 
+def _in_order(spark: SparkSession, schema, paths: str | Sequence[str], lines: bool = False) -> DataFrame:
+    """Rows with ``_order``: position of their path in the list, file, block and row in it."""
+    out = None
+    for i, path in enumerate([paths] if isinstance(paths, str) else paths):
+        rows = _json(spark, schema, path, lines).select(
+            "*", F.input_file_name().alias("_file"),
+            F.struct(F.lit(i).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("_order"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no path given")
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    """Whether Spark finds anything at ``path``."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def flat_boxes(df: DataFrame, bbox: str = "bbox") -> DataFrame:
@@ -42,9 +62,9 @@ def coco_scan(spark: SparkSession, path: str, lines: bool = False) -> tuple[Data
 
 
 def predictions_scan(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
-    """Predictions of a JSON array. ``pred_id`` follows the order of the file."""
-    rows = _json(spark, schemas.PREDICTION, path, lines).withColumn("pred_id", F.monotonically_increasing_id())
-    return flat_boxes(rows)
+    """Predictions of JSON arrays. ``pred_id`` counts from 0 in the order of the paths and of their rows."""
+    rows = _in_order(spark, schemas.PREDICTION, path, lines).drop("_file")
+    return flat_boxes(ranked(rows, [], [F.col("_order").asc()], rank="pred_id").withColumn("pred_id", F.col("pred_id") - 1).drop("_order"))
 
 
 def product_metadata_scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -55,15 +75,15 @@ def product_metadata_scan(spark: SparkSession, path: str, lines: bool = False) -
     """
     both = T.StructType([*schemas.PRODUCT.fields, T.StructField("products", T.ArrayType(schemas.PRODUCT))])
     if not exists(spark, path):
-        return _named(spark.createDataFrame([], both))
-    return _named(_json(spark, both, path, lines))
+        return _named(spark.createDataFrame([], both).withColumn("_order", F.lit(0)))
+    return _named(_in_order(spark, both, path, lines).drop("_file"))
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    own = [c for c in rows.columns if c != "products"]
+    own = [c for c in rows.columns if c not in ("products", "_order")]
     doc = F.coalesce("products", F.array(F.struct(*own)))
-    flat = rows.withColumn("_d", F.monotonically_increasing_id()).select("_d", F.posexplode(doc).alias("_p", "r")).select("_d", "_p", "r.*")
-    filled = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    flat = rows.select(F.col("_order").alias("_d"), F.posexplode(doc).alias("_p", "r")).select("_d", "_p", "r.*")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
     flat = flat.withColumn("product_name", F.coalesce(filled("product_name"), filled("name"), filled("display_name"))).drop("name", "display_name")
     flat = flat.where(F.col("product_name").isNotNull()).withColumn("ordinal", F.struct("_d", "_p")).drop("_d", "_p")
     return last_wins(flat, ["product_name"], "ordinal").drop("ordinal")
@@ -81,9 +101,11 @@ def all_train(split: DataFrame) -> DataFrame:
 
 
 def corrections_scan(spark: SparkSession, paths: Sequence[str], lines: bool = False) -> DataFrame:
-    """Corrections of several files with the file they come from and their order in it."""
-    return _json(spark, schemas.CORRECTION, paths, lines).select(
-        "*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ordinal"))
+    """Corrections of several files with the file they come from, in the order of ``paths``.
+
+    ``ordinal`` is a struct that sorts by path, file and row, so the later path wins.
+    """
+    return _in_order(spark, schemas.CORRECTION, paths, lines).withColumnRenamed("_file", "file").withColumnRenamed("_order", "ordinal")
 
 
 def verification_scan(spark: SparkSession, final_path: str, checkpoint_path: str, lines: bool = False) -> DataFrame:

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxlore.functions import geometry as G
-from boxlore.operators.matching import hot_groups
-from boxlore.operators.ranking import ranked
-
-TEXT_LINES = 1000
 
 
 def to_tables(frames: dict[str, DataFrame], folder: str) -> None:
@@ -29,24 +26,33 @@ def yolo_lines(anns: DataFrame, images: DataFrame, single_class: bool = False) -
     return rows.select("image_id", "ann_id", yolo_line(category, box).alias("line"))
 
 
-def yolo_labels(anns: DataFrame, images: DataFrame, split: DataFrame, single_class: bool = False, text_lines: int = TEXT_LINES) -> DataFrame:
-    """Label text per image in annotation order; images without boxes get an empty text.
+def _label_file(name: str = "file_name") -> Column:
+    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(".txt"))
+
+
+def yolo_labels(anns: DataFrame, images: DataFrame, split: DataFrame, single_class: bool = False) -> DataFrame:
+    """One label text per image, in annotation order; images without boxes get an empty text.
 
-    A text holds at most ``text_lines`` lines. Images with more get several rows, numbered in
-    ``part``, so no image is gathered whole.
+    A text is a value of a row, as long as its image has boxes. :func:`write_yolo_labels` writes
+    the same lines without building texts.
     """
     lines = yolo_lines(anns, images, single_class)
-    if hot_groups(lines, ["image_id"], text_lines) is None:
-        lines = lines.withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        numbered = ranked(lines, ["image_id"], [F.col("ann_id").asc()], rank="_n")
-        lines = numbered.withColumn("part", F.floor((F.col("_n") - 1) / F.lit(float(text_lines))))
-    texts = lines.groupBy("image_id", "part").agg(F.array_sort(F.collect_list(F.struct("ann_id", "line"))).alias("l"))
-    texts = texts.select("image_id", "part", F.concat_ws("\n", F.transform("l", lambda s: s["line"])).alias("labels"))
-    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    texts = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ann_id", "line"))).alias("l"))
+    texts = texts.select("image_id", F.concat_ws("\n", F.transform("l", lambda s: s["line"])).alias("labels"))
     return images.join(split, "image_id").join(texts, "image_id", "left").select(
-        "split", "image_id", F.coalesce("part", F.lit(0)).alias("part"),
-        F.concat(stem, F.lit(".txt")).alias("label_file"), F.coalesce("labels", F.lit("")).alias("labels"))
+        "split", "image_id", _label_file().alias("label_file"), F.coalesce("labels", F.lit("")).alias("labels"))
+
+
+def write_yolo_labels(anns: DataFrame, images: DataFrame, split: DataFrame, folder: str, single_class: bool = False) -> None:
+    """Label files under ``folder/split=.../label_file=<name>.txt/``, one text file each.
+
+    Lines are sorted within tasks and streamed to the file of their image; no image is gathered.
+    Images without boxes get an empty line.
+    """
+    named = images.join(split, "image_id").select("image_id", "split", _label_file().alias("label_file"))
+    rows = named.join(yolo_lines(anns, images, single_class), "image_id", "left")
+    ordered = rows.repartition("split", "label_file").sortWithinPartitions("split", "label_file", "ann_id")
+    ordered.select("split", "label_file", F.coalesce("line", F.lit("")).alias("value")).write.mode("overwrite").partitionBy("split", "label_file").text(folder)
 
 
 def prediction_rows(preds: DataFrame) -> DataFrame:
@@ -69,18 +75,24 @@ def write_manifest(oversampled: DataFrame, path: str, folder: str = "") -> None:
     train_manifest(oversampled, folder).write.mode("overwrite").text(path)
 
 
-def json_report(summary: DataFrame, **lists: DataFrame) -> DataFrame:
-    """One row of JSON: the summary's columns and one array per named short list.
+def json_report(summary: DataFrame, top: int = 1000, **lists: tuple[DataFrame, list[Column]]) -> DataFrame:
+    """One row of JSON: the summary's columns and one array per named list.
 
-    Lists are report extracts (top-k tables); long detail tables are written on their own.
+    A list is a frame and the columns that order it; its first ``top`` rows enter, in that order.
+    Long detail tables are written on their own.
     """
     out = summary
-    for name, rows in lists.items():
-        packed = rows.agg(F.collect_list(F.struct(*rows.columns))).scalar()
-        out = out.withColumn(name, packed)
+    for name, (rows, order) in lists.items():
+        first = rows.orderBy(*order).limit(top).withColumn("_n", F.row_number().over(W.orderBy(*order)))
+        packed = first.agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(*rows.columns).alias("r")))).alias("l"))
+        out = out.withColumn(name, packed.select(F.transform("l", lambda x: x["r"])).scalar())
     return out.select(F.to_json(F.struct(*out.columns)).alias("report"))
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    report.select(F.col("report").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def tile_metadata(tiles: DataFrame, path: str) -> None:
     tiles.write.mode("overwrite").parquet(path)
 

@@ -6,39 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlore import schemas
-from boxlore.operators.consensus import unprocessed, vote_consensus
-from boxlore.operators.ranking import last_wins
-from boxlore.sources.readers import exists
+from boxlore.operators.consensus import vote_consensus
 
-RESULT = "ann_id bigint, yes bigint, no bigint, consensus string, batch_id bigint"
+STORED = "ann_id bigint, voter int, vote boolean, at timestamp, file string, row bigint, batch_id bigint"
+_ORDER = ("at", "file", "row")
 
 
 def incremental_consensus(spark: SparkSession, votes_dir: str, results_dir: str, checkpoint_dir: str, files_per_batch: int = 10) -> int:
-    """Process all vote files that have arrived, then stop; call again to go on.
+    """Take up all vote files that have arrived, then stop; call again to go on.
 
-    An annotation is decided by the votes of the batch it first appears in; items decided in an
-    earlier batch are skipped. Every batch owns its folder and overwrites it when it is replayed
-    after a failure, so nothing is stored twice. Returns the number of batches this call ran.
+    The state is one vote per annotation and voter and batch, in a folder per batch that a replay
+    of the batch overwrites. A batch only writes its own votes. :func:`results` decides from all
+    of them, the last vote of a voter counts, so neither batch size, order of arrival nor a
+    restart changes the answer. Returns the number of batches this call ran.
     """
     ran = []
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch
-        if exists(spark, results_dir):
-            done = results(spark, results_dir, raw=True).where(F.col("batch_id") != batch_id)
-            fresh = unprocessed(batch, done)
-        out = vote_consensus(fresh).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        out.write.mode("overwrite").parquet(f"{results_dir}/part={batch_id}")
+        last = _last(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        last.write.mode("overwrite").parquet(f"{results_dir}/part={batch_id}")
         ran.append(batch_id)
 
     votes = spark.readStream.schema(schemas.VOTE).option("maxFilesPerTrigger", files_per_batch).parquet(votes_dir)
+    placed = votes.select(
+        "ann_id", "voter", "vote", F.col("_metadata.file_modification_time").alias("at"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+    )
     query = (
-        votes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+        placed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return len(ran)
 
 
-def results(spark: SparkSession, results_dir: str, raw: bool = False) -> DataFrame:
-    rows = spark.read.schema(RESULT).parquet(results_dir).select("ann_id", "yes", "no", "consensus", "batch_id")
-    return rows if raw else last_wins(rows, ["ann_id"], "batch_id")
+def _last(votes: DataFrame) -> DataFrame:
+    """The latest vote of each voter on each annotation: by file time, file name and row."""
+    picked = votes.groupBy("ann_id", "voter").agg(F.max(F.struct(*_ORDER, "vote")).alias("v"))
+    return picked.select("ann_id", "voter", "v.vote", *[f"v.{c}" for c in _ORDER])
+
+
+def stored_votes(spark: SparkSession, results_dir: str) -> DataFrame:
+    """One row per annotation and voter over all batches."""
+    return _last(spark.read.schema(STORED).parquet(results_dir).select("ann_id", "voter", "vote", *_ORDER))
+
+
+def results(spark: SparkSession, results_dir: str) -> DataFrame:
+    """Consensus of every annotation voted on so far: ``ann_id, yes, no, consensus``."""
+    return vote_consensus(stored_votes(spark, results_dir).select("ann_id", "voter", "vote"))

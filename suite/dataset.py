@@ -561,13 +561,13 @@ def _(s, d):
     return tiling.empty_tile_cap(tiling.tile_counts(t.annotations.where("category_id < 6"), t.images, 640, 480)).select("tile", "image_id")
 
 
-_SPLIT = f"""sole AS (SELECT DISTINCT min(image_id) AS image_id FROM fx_annotations WHERE category_id NOT BETWEEN 40 AND 1000000 OR category_id % 5 = 0 GROUP BY category_id HAVING count(DISTINCT image_id) = 1),
+_SPLIT = f"""sole AS (SELECT DISTINCT min(image_id) AS image_id FROM fx_annotations GROUP BY category_id HAVING count(DISTINCT image_id) = 1),
    ord AS (SELECT image_id, row_number() OVER (ORDER BY {Q.mixed('image_id')}, image_id) AS rn FROM fx_images WHERE image_id NOT IN (SELECT image_id FROM sole)),
    split AS (SELECT i.image_id AS image_id, CASE WHEN o.rn <= greatest(1, floor((SELECT count(*) FROM fx_images) * 0.2::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM fx_images i LEFT JOIN ord o USING (image_id))"""
 
 
 def _split(t: T):
-    return sampling.val_split(t.images, t.annotations.where("category_id NOT BETWEEN 40 AND 1000000 OR category_id % 5 = 0"))
+    return sampling.val_split(t.images, t.annotations)
 
 
 @query("til_2_tile_dataset", f"""WITH {_SPLIT}, train AS (SELECT i.* FROM fx_images i JOIN split USING (image_id) WHERE split = 'train'), {_TC.replace("'fx_images'", "'train'").replace('FROM fx_images', 'FROM train')}
@@ -670,7 +670,7 @@ def _(s, d):
     t = T(s, d)
     boost = _boost(t)
     top = sampling.boosted_classes(boost).limit(5).select("category_id", "repeat")
-    return writers.json_report(sampling.boost_report(boost, _repeats(t)).select("n_images", "entries"), boosted=top.orderBy(F.col("repeat").desc(), "category_id"))
+    return writers.json_report(sampling.boost_report(boost, _repeats(t)).select("n_images", "entries"), boosted=(top, [F.col("repeat").desc(), F.col("category_id")]))
 
 
 _REAL = "real AS (SELECT file_name, split, image_id FROM fx_images JOIN split USING (image_id)), syn AS (SELECT CASE WHEN image_id % 3 = 0 THEN file_name ELSE concat('syn_', file_name) END AS file_name, 'train' AS split, image_id + 100000 AS image_id FROM fx_images WHERE image_id % 2 = 0)"
@@ -695,7 +695,7 @@ def _(s, d):
 
 
 def _u(key: str, s: int) -> str:
-    return f"({Q.mixed(f'({key}) * 4 + {s}')} / 1000003.0::DOUBLE * 2 - 1)"
+    return f"({Q.mixed(f'({key}) * 4 + {s}')} / 2147483647.0::DOUBLE * 2 - 1)"
 
 
 _JIT = f"""tries AS (SELECT ann_id, image_id, category_id, x, y, w, h, unnest(range(0, 6)) AS attempt FROM fx_annotations),
@@ -758,10 +758,11 @@ _YOLO = "printf('%d %.6f %.6f %.6f %.6f', {c}, (x + w / 2) / 4000, (y + h / 2) /
 for _name, _single in (("snk_1_yolo_labels", False), ("snk_1_yolo_labels_single_class", True)):
     def _yolo(s, d, single=_single):
         t = T(s, d)
-        anns = t.annotations.where("image_id % 7 <> 3")
-        return writers.yolo_labels(anns, t.images, _split(t), single).select("split", "image_id", "part", "label_file", "labels")
-    query(_name, f"""WITH {_SPLIT}, l AS (SELECT image_id, string_agg({_YOLO.format(c='0' if _single else 'category_id')}, E'\\n' ORDER BY ann_id) AS labels FROM fx_annotations WHERE image_id % 7 <> 3 GROUP BY image_id)
-      SELECT split, i.image_id AS image_id, 0 AS part, replace(i.file_name, '.jpg', '.txt') AS label_file, coalesce(labels, '') AS labels FROM fx_images i JOIN split USING (image_id) LEFT JOIN l USING (image_id)""")(_yolo)
+        # A seventh of the images has given its boxes away.
+        anns = t.annotations.withColumn("image_id", F.when(F.expr("image_id % 7 = 3"), F.col("image_id") + 1).otherwise(F.col("image_id")))
+        return writers.yolo_labels(anns, t.images, _split(t), single).select("split", "image_id", "label_file", "labels")
+    query(_name, f"""WITH {_SPLIT}, l AS (SELECT image_id, string_agg({_YOLO.format(c='0' if _single else 'category_id')}, E'\\n' ORDER BY ann_id) AS labels FROM (SELECT * REPLACE (CASE WHEN image_id % 7 = 3 THEN image_id + 1 ELSE image_id END AS image_id) FROM fx_annotations) GROUP BY image_id)
+      SELECT split, i.image_id AS image_id, replace(i.file_name, '.jpg', '.txt') AS label_file, coalesce(labels, '') AS labels FROM fx_images i JOIN split USING (image_id) LEFT JOIN l USING (image_id)""")(_yolo)
 
 
 @query("snk_2_predictions_json", "SELECT image_id, category_id, x, y, w, h, score FROM fx_predictions")
@@ -772,11 +773,11 @@ def _(s, d):
     return readers.flat_boxes(rows)
 
 
-@query("src_2_predictions_scan", "SELECT image_id, category_id, x, y, w, h, score FROM fx_predictions")
+@query("src_2_predictions_scan", "SELECT row_number() OVER (ORDER BY pred_id) - 1 AS pred_id, image_id, category_id, x, y, w, h, score FROM fx_predictions")
 def _(s, d):
     path = _scratch(s)
-    writers.predictions_json(T(s, d).predictions, path)
-    return readers.predictions_scan(s, path, lines=True).drop("pred_id")
+    writers.predictions_json(T(s, d).predictions.orderBy("pred_id"), path)  # files and rows in order
+    return readers.predictions_scan(s, path, lines=True)
 
 
 def _coco_doc(t: T, path: str) -> None:
@@ -824,11 +825,24 @@ def _(s, d):
     return readers.split_scan(s, path, lines=True)
 
 
-@query("src_5_corrections_scan", f"WITH {_CORR} SELECT ann_id, old_cat, new_cat, 'json' AS file FROM corr")
-def _(s, d):
+def _winners(s, d, order):
+    """The winning correction of two paths of unequal size, read in the given order."""
     path = _scratch(s)
-    _corrections(T(s, d)).select("ann_id", "old_cat", "new_cat").write.json(path)
-    return readers.corrections_scan(s, [path], lines=True).select("ann_id", "old_cat", "new_cat", F.element_at(F.split("file", r"\."), -1).alias("file"))
+    rows = _corrections(T(s, d))
+    for n in (1, 2):
+        rows.where(F.col("ordinal") == n).select("ann_id", "old_cat", "new_cat").write.json(f"{path}/{n}")
+    read = readers.corrections_scan(s, [f"{path}/{n}" for n in order], lines=True)
+    return ranking.last_wins(read.drop("source", "file"), ["ann_id"], "ordinal").select("ann_id", "old_cat", "new_cat")
+
+
+@query("src_5_corrections_scan", f"WITH {_NEW} SELECT ann_id, old_cat, new_cat FROM lastc")
+def _(s, d):
+    return _winners(s, d, (1, 2))
+
+
+@query("src_5_corrections_scan_reversed", f"WITH {_CORR} SELECT ann_id, arg_min(old_cat, ordinal) AS old_cat, arg_min(new_cat, ordinal) AS new_cat FROM corr GROUP BY ann_id")
+def _(s, d):
+    return _winners(s, d, (2, 1))
 
 
 @query("src_6_verification_scan", f"WITH {_CONS} SELECT ann_id, consensus FROM verdict WHERE consensus = 'mismatch'")
@@ -892,7 +906,7 @@ def _(s, d):
 def _(s, d):
     path = _scratch(s)
     votes = T(s, d).votes.select("ann_id", "voter", "vote")
-    for i in range(2):  # a second run takes up what arrived since
-        votes.where(F.floor(F.col("ann_id") / 4.0) % 2 == i).repartition(3, "ann_id").write.parquet(f"{path}/votes/day={i}")
+    for i in range(2):  # a second run takes up what arrived since; an item's votes come in several files and runs
+        votes.where((F.col("ann_id") + F.col("voter")) % 2 == i).repartition(3, "voter").write.parquet(f"{path}/votes/day={i}")
         consensus_stream.incremental_consensus(s, f"{path}/votes/*", f"{path}/results", f"{path}/progress", files_per_batch=2)
     return consensus_stream.results(s, f"{path}/results").select("ann_id", "yes", "no", "consensus")

@@ -118,12 +118,12 @@ def _passes(t: T):
 
 
 def _shape(df):
-    return df.select("image_id", "category_id", *[F.round(c, 4).alias(c) for c in "xywh"], r6("score").alias("score"))
+    return df.select("image_id", "category_id", "pred_id", *[F.round(c, 4).alias(c) for c in "xywh"], r6("score").alias("score"))
 
 
 def _fused_sql(preds: str, t: float, best_fit: bool, weight: str, score: str, keep: str = "true", source: str = "model_id", head: str = "") -> str:
     return f"""WITH RECURSIVE {head}{Q.fuse('fz', preds, t, best_fit, weight, source)}
-      SELECT image_id, category_id, round(c.x, 4) AS x, round(c.y, 4) AS y, round(c.w, 4) AS w, round(c.h, 4) AS h, round({score}, 6) AS score FROM fz WHERE {keep}"""
+      SELECT image_id, category_id, pred_id, round(c.x, 4) AS x, round(c.y, 4) AS y, round(c.w, 4) AS w, round(c.h, 4) AS h, round({score}, 6) AS score FROM fz WHERE {keep}"""
 
 
 _SEQ_SCORE = "c.s / c.n * least(len(list_distinct(c.src)), 3) / 3"
@@ -165,7 +165,7 @@ def _(s, d):
 
 
 @query("fus_8_tile_fusion_wbf", f"""WITH RECURSIVE {Q.fuse('fz', 'fx_predictions', 0.55, True, 'score', '0')}, r AS (SELECT image_id, category_id, pred_id, c, row_number() OVER (PARTITION BY image_id ORDER BY c.s / c.n DESC, pred_id) AS rn FROM fz)
-   SELECT image_id, category_id, round(c.x, 4) AS x, round(c.y, 4) AS y, round(c.w, 4) AS w, round(c.h, 4) AS h, round(c.s / c.n, 6) AS score FROM r WHERE rn <= 60""")
+   SELECT image_id, category_id, pred_id, round(c.x, 4) AS x, round(c.y, 4) AS y, round(c.w, 4) AS w, round(c.h, 4) AS h, round(c.s / c.n, 6) AS score FROM r WHERE rn <= 60""")
 def _(s, d):
     return _shape(fusion.tile_fusion(_tiled(T(s, d)), "wbf", 0.55, 60))
 
@@ -468,14 +468,9 @@ def _(s, d):
     return ranking.last_wins(T(s, d).events.select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
-@query("agg_18_runtime_stats", """SELECT event_type AS stage, round(avg(value), 6) AS mean_sec, max(value) AS max_sec, round(avg(value) * 50, 4) AS sec_for_50, round(quantile_cont(value, 0.95), 6) AS p95_sec
-   FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type
-   UNION ALL SELECT 'total', round(avg(value), 6), max(value), round(avg(value) * 50, 4), round(quantile_cont(value, 0.95), 6) FROM events""")
+@query("agg_18_runtime_stats", """SELECT coalesce(event_type, 'total') AS stage, round(avg(value), 6) AS mean_sec, max(value) AS max_sec, round(avg(value) * 50, 4) AS sec_for_50, round(quantile_cont(value, 0.95), 6) AS p95_sec
+   FROM events GROUP BY GROUPING SETS ((event_type), ())""")
 def _(s, d):
     events = T(s, d).events
-    out = None
-    for stage, rows in (("click", events.where("event_type = 'click'")), ("view", events.where("event_type = 'view'")), ("total", events)):
-        part = audit.runtime_stats(rows, "value").select(
-            F.lit(stage).alias("stage"), r6("mean_sec").alias("mean_sec"), "max_sec", F.round("sec_for_50", 4).alias("sec_for_50"), r6("p95_sec").alias("p95_sec"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    shape = lambda df, stage: df.select(stage.alias("stage"), r6("mean_sec").alias("mean_sec"), "max_sec", F.round("sec_for_50", 4).alias("sec_for_50"), r6("p95_sec").alias("p95_sec"))
+    return shape(audit.runtime_stats(events, "value", "event_type"), F.col("event_type")).unionByName(shape(audit.runtime_stats(events, "value"), F.lit("total")))

@@ -97,22 +97,27 @@ def fuse(name: str, preds: str, t: float, best_fit: bool, weight: str, source: s
     iou = f"({i} / (q.w * q.h + w * h - {i}))"
     pick = (f"CASE WHEN list_max([{iou} FOR q IN st]) > {t} THEN list_position([{iou} FOR q IN st], list_max([{iou} FOR q IN st])) END" if best_fit
             else f"list_position([{iou} >= {t} FOR q IN st], true)")
-    first = "{'x': x, 'y': y, 'w': w, 'h': h, 'sx': wt * x, 'sy': wt * y, 'sw': wt * w, 'sh': wt * h, 's': wt, 'n': 1, 'src': [src]}"
+    first = "{'id': pred_id, 'x': x, 'y': y, 'w': w, 'h': h, 'sx': wt * x, 'sy': wt * y, 'sw': wt * w, 'sh': wt * h, 's': wt, 'n': 1, 'src': [src]}"
     mean = lambda c: f"CASE WHEN q.s + wt > 0 THEN (q.s{c} + wt * {c}) / (q.s + wt) ELSE q.{c} END"
-    grown = ("{" + ", ".join(f"'{c}': {mean(c)}" for c in "xywh") + ", " + ", ".join(f"'s{c}': q.s{c} + wt * {c}" for c in "xywh")
+    area = "WHERE w > 0 AND h > 0" if best_fit else ""
+    grown = ("{'id': q.id, " + ", ".join(f"'{c}': {mean(c)}" for c in "xywh") + ", " + ", ".join(f"'s{c}': q.s{c} + wt * {c}" for c in "xywh")
              + ", 's': q.s + wt, 'n': q.n + 1, 'src': list_append(q.src, src)}")
     return f"""{name}_in AS (
-        SELECT image_id, category_id, {weight} AS wt, {source} AS src, x, y, w, h,
-               row_number() OVER (PARTITION BY image_id, category_id ORDER BY {weight} DESC, pred_id) AS rn FROM {preds} WHERE w > 0 AND h > 0),
+        SELECT image_id, category_id, pred_id, {weight} AS wt, {source} AS src, x, y, w, h,
+               row_number() OVER (PARTITION BY image_id, category_id ORDER BY {weight} DESC, pred_id) AS rn FROM {preds} {area}),
     {name}_walk AS (
         SELECT image_id, category_id, rn, [{first}] AS st FROM {name}_in WHERE rn = 1
         UNION ALL
         SELECT image_id, category_id, rn, CASE WHEN k IS NULL OR k = 0 THEN list_append(st, {first}) ELSE [CASE WHEN j = k THEN {grown} ELSE q END FOR q, j IN st] END
         FROM (SELECT *, {pick} AS k FROM (SELECT c.*, m.st FROM {name}_walk m JOIN {name}_in c ON c.image_id = m.image_id AND c.category_id = m.category_id AND c.rn = m.rn + 1))),
     {name} AS (
-        SELECT image_id, category_id, category_id * CAST(1099511627776 AS BIGINT) + unnest(range(len(st))) AS pred_id, unnest(st) AS c FROM {name}_walk
+        SELECT image_id, category_id, c.id AS pred_id, c FROM (SELECT image_id, category_id, rn, unnest(st) AS c FROM {name}_walk)
         WHERE (image_id, category_id, rn) IN (SELECT image_id, category_id, max(rn) FROM {name}_in GROUP BY image_id, category_id))"""
 
 
 def mixed(v: str, seed: int = 42) -> str:
-    return f"(((({v}) % 1000003) * 7919 + (({v}) % 8191) * 104729 + {seed} * 31) % 1000003)"
+    """The repeatable scatter of ``scalars.mixed``."""
+    out = f"((({v}) % 2147483647 + 2147483647 + {seed} * CAST(69069 AS BIGINT)) % 2147483647)"
+    for k, a in enumerate((1103515245, 1597334677, 747796405)):
+        out = f"((xor({out}, {out} >> 15) * CAST({a} AS BIGINT) + {k + 1}) % 2147483647)"
+    return out

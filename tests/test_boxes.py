@@ -94,6 +94,20 @@ def test_fusion(spark, best_fit, hot_rows):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("hot_rows", [20000, 0])
+def test_fused_ids_are_those_of_the_first_members(spark, hot_rows):
+    preds = [(i, 0, 1, 3, 600.0 * (i % 8), 700.0 * (i // 8), 100.0, 80.0, 0.5) for i in range(40)]
+    preds += [(100 + i, 1, 1, 3, 600.0 * (i % 8) + 2, 700.0 * (i // 8), 100.0, 80.0, 0.5) for i in range(40)]
+    preds += [(200, 0, 1, 3, 50.0, 50.0, 0.0, 5.0, 0.9), (201, 1, 1, 3, 50.0, 50.0, 0.0, 5.0, 0.8)]
+    df = spark.createDataFrame(preds, PRED)
+    fused = fusion.wbf_weighted(df, [1.0, 1.0], 0.5, hot_rows=hot_rows).collect()
+    assert sorted((r.pred_id, r.members) for r in fused) == [(i, 2) for i in range(40)]
+    first_fit = fusion.wbf_sequential(df, 2, 0.5, source="model_id", hot_rows=hot_rows)
+    assert sorted(r.pred_id for r in first_fit.collect()) == [*range(40), 200, 201]
+    capped = ranking.cap_per_group(first_fit.where("pred_id < 200"), ["image_id"], [F.col("score").desc(), F.col("pred_id").asc()], 5)
+    assert sorted(r.pred_id for r in capped.collect()) == [0, 1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("cell", [64, 512, 5000])
 def test_best_overlap_and_cells(spark, cell):
     preds, gts = make(11)

@@ -67,16 +67,18 @@ def test_image_listing_reads_names_only(spark, tmp_path):
     assert got == {(7, 10), (8, 10), (10, 10)}
 
 
-def test_label_texts_split_crowded_images(spark):
-    anns = [(i, 1, i % 3, float(i), 5.0, 10.0, 10.0) for i in range(25)] + [(99, 2, 1, 0.0, 0.0, 8.0, 6.0)]
+def test_label_texts_and_files(spark, tmp_path):
+    anns = [(i, 1, i % 3, float(i), 5.0, 10.0, 10.0) for i in range(2500)] + [(99, 2, 1, 0.0, 0.0, 8.0, 6.0)]
     images = [(1, "img_1.jpg", 100, 50), (2, "img_2.jpg", 100, 50), (3, "img_3.jpg", 100, 50)]
     split = spark.createDataFrame([(1, "train"), (2, "val"), (3, "val")], "image_id long, split string")
     a, i = spark.createDataFrame(anns, ANN), spark.createDataFrame(images, IMG)
-    whole = {(r.image_id, r.part): r.labels for r in writers.yolo_labels(a, i, split).collect()}
-    assert whole[(3, 0)] == "" and whole[(2, 0)] == "1 0.040000 0.060000 0.080000 0.120000"
-    parts = {(r.image_id, r.part): r.labels for r in writers.yolo_labels(a, i, split, text_lines=10).collect()}
-    assert sorted(k for k in parts if k[0] == 1) == [(1, 0), (1, 1), (1, 2)]
-    assert "\n".join(parts[(1, p)] for p in range(3)) == whole[(1, 0)]
+    rows = writers.yolo_labels(a, i, split).collect()
+    whole = {r.label_file: r.labels for r in rows}
+    assert len(rows) == 3 and whole["img_3.txt"] == "" and whole["img_2.txt"] == "1 0.040000 0.060000 0.080000 0.120000"
+    assert whole["img_1.txt"].count("\n") == len(anns) - 2
+    writers.write_yolo_labels(a, i, split, str(tmp_path / "labels"))
+    files = {p.parent.name.split("=")[1]: p.read_text().rstrip("\n") for p in (tmp_path / "labels").rglob("part-*") if p.suffix == ".txt"}
+    assert files == whole
 
 
 def _tiles(w, h, tile, stride):
