@@ -94,22 +94,17 @@ def grid_values(text: Column) -> Column:
     return F.explode(F.transform(F.split(text, ","), lambda v: F.trim(v).cast("double")))
 
 
-PRIME = 2147483647
-ROUNDS = (1103515245, 1597334677, 747796405)
+SPREAD = 1 << 32
 
 
 def mixed(value: Column, seed: int) -> Column:
-    """A repeatable scatter of whole ids over 0 .. PRIME - 1.
-
-    Rounds of shift, xor and multiplication modulo a prime, all within 64-bit arithmetic that
-    other engines share. Neighbouring ids and neighbouring seeds give unrelated numbers.
+    """A repeatable scatter of whole ids over 0 .. 2**32 - 1: the head of an MD5 sum, which other
+    engines compute as well. Neighbouring ids and neighbouring seeds give unrelated numbers.
     """
-    x = (value % PRIME + PRIME + F.lit(seed).cast("bigint") * 69069) % PRIME
-    for k, a in enumerate(ROUNDS):
-        x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(a).cast("bigint") + (k + 1)) % PRIME
-    return x
+    text = F.concat(F.lit(f"{seed}:"), value.cast("bigint").cast("string"))
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(8)), 16, 10).cast("bigint")
 
 
 def unit(value: Column, seed: int) -> Column:
     """A repeatable number in [0, 1) from a whole id."""
-    return mixed(value.cast("bigint"), seed) / F.lit(float(PRIME))
+    return mixed(value, seed) / F.lit(float(SPREAD))

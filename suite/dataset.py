@@ -695,7 +695,7 @@ def _(s, d):
 
 
 def _u(key: str, s: int) -> str:
-    return f"({Q.mixed(f'({key}) * 4 + {s}')} / 2147483647.0::DOUBLE * 2 - 1)"
+    return f"({Q.mixed(f'({key}) * 4 + {s}')} / 4294967296.0::DOUBLE * 2 - 1)"
 
 
 _JIT = f"""tries AS (SELECT ann_id, image_id, category_id, x, y, w, h, unnest(range(0, 6)) AS attempt FROM fx_annotations),

@@ -117,7 +117,4 @@ def fuse(name: str, preds: str, t: float, best_fit: bool, weight: str, source: s
 
 def mixed(v: str, seed: int = 42) -> str:
     """The repeatable scatter of ``scalars.mixed``."""
-    out = f"((({v}) % 2147483647 + 2147483647 + {seed} * CAST(69069 AS BIGINT)) % 2147483647)"
-    for k, a in enumerate((1103515245, 1597334677, 747796405)):
-        out = f"((xor({out}, {out} >> 15) * CAST({a} AS BIGINT) + {k + 1}) % 2147483647)"
-    return out
+    return f"CAST('0x' || left(md5('{seed}:' || CAST(({v}) AS BIGINT)), 8) AS BIGINT)"

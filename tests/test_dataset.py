@@ -4,10 +4,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from boxlore.functions import geometry as G
+from boxlore.functions.scalars import unit
 from boxlore.operators import audit, catalog, cleaning, consensus, detections, predict, ranking, sampling, tiling
 from boxlore.sources import readers, writers
 
@@ -226,3 +228,88 @@ def test_batch_predict_runs_model_once_per_batch(spark):
     df = spark.createDataFrame([(i,) for i in range(20)], "k long").coalesce(1)
     got = {r.k: (r.n, r.error) for r in predict.batch_predict(df, factory, "k", "n int", {"n": -1}, batch_size=10).collect()}
     assert got[0] == (10, None) and got[13] == (-1, "bad row") and got[15] == (1, None) and len(got) == 20
+
+
+def test_scatter_has_no_pattern(spark):
+    n = 4000
+    cols = [unit(F.col("id") * 4 + s, seed).alias(f"u{s}_{seed}") for s in range(4) for seed in (1, 2)]
+    x = np.array(spark.range(n).select(*cols).toPandas())
+    assert x.min() >= 0 and x.max() < 1 and np.abs(x.mean(0) - 0.5).max() < 0.03
+    r = np.corrcoef(x.T) - np.eye(x.shape[1])
+    assert np.abs(r).max() < 0.07
+    assert np.abs(np.corrcoef(x[1:, 0], x[:-1, 0])[0, 1]) < 0.07
+    assert len(np.unique(x)) > x.size - 5
+
+
+def test_rows_follow_paths_and_files(spark, tmp_path):
+    short = [{"ann_id": 1, "old_cat": 5, "new_cat": 6}, {"ann_id": 1, "old_cat": 5, "new_cat": 7}]
+    long = [{"ann_id": 1, "old_cat": 5, "new_cat": 8}] + [{"ann_id": k, "old_cat": 1, "new_cat": 2} for k in range(10, 400)]
+    a, b = str(tmp_path / "a.json"), str(tmp_path / "b.json")
+    for path, rows in ((a, short), (b, long)):
+        (tmp_path / path).write_text(json.dumps(rows))
+    for paths, winner in (([a, b], 8), ([b, a], 7)):
+        read = readers.corrections_scan(spark, paths)
+        last = ranking.last_wins(read.drop("source", "file"), ["ann_id"], "ordinal")
+        assert last.where("ann_id = 1").first().new_cat == winner
+    preds = [{"image_id": k, "category_id": 1, "bbox": [0, 0, 1, 1], "score": 0.5} for k in range(50)]
+    (tmp_path / "p1.json").write_text(json.dumps(preds[:3]))
+    (tmp_path / "p2.json").write_text(json.dumps(preds[3:]))
+    got = readers.predictions_scan(spark, [str(tmp_path / "p1.json"), str(tmp_path / "p2.json")]).select("pred_id", "image_id").collect()
+    assert sorted(map(tuple, got)) == [(k, k) for k in range(50)]
+
+
+def test_report_lists_keep_their_order_and_bound(spark, tmp_path):
+    top = spark.createDataFrame([(i, (i * 7) % 10) for i in range(10)], "k int, v int").repartition(4)
+    report = writers.json_report(spark.range(1).select(F.lit(3).alias("n")), top=4, best=(top, [F.col("v").desc()]))
+    writers.write_report(report, str(tmp_path / "r"))
+    text = next(p for p in (tmp_path / "r").glob("part-*")).read_text()
+    assert [r["v"] for r in json.loads(text)["best"]] == [9, 8, 7, 6]
+
+
+@pytest.mark.parametrize("before", [True, False])
+def test_decoding_flips_before_or_after_the_clip(spark, before):
+    raw = spark.createDataFrame([(1, 1, 20.0, 100.0, 80.0, 40.0, [0.1, 0.9]), (2, 1, 320.0, 320.0, 100.0, 60.0, [0.8, 0.1]), (3, 1, 9.0, 9.0, 1.0, 1.0, [0.1, 0.2])],
+        "pred_id long, image_id long, cx double, cy double, w double, h double, class_scores array<double>")
+    images = spark.createDataFrame([(1, 640, 640)], "image_id long, width int, height int")
+    norm = {r.pred_id: [round(v * 640, 6) for v in (r.x1, r.y1, r.x2, r.y2)] for r in detections.decode_detections(raw, images, 640, 0.5, flipped=True, flip_before_clip=before).collect()}
+    assert norm == {1: [580.0, 80.0, 640.0, 120.0], 2: [270.0, 290.0, 370.0, 350.0]}
+    boxes = {r.pred_id: (r.category_id, r.x, r.w) for r in detections.decode_boxes(raw, images, 640, 0.5, flipped=True, flip_before_clip=before).collect()}
+    # Clipped as a box, a corner left of the image moves without shrinking the width.
+    assert boxes == {1: (1, 580.0, 60.0) if before else (1, 560.0, 80.0), 2: (0, 270.0, 100.0)}
+
+
+def test_voters_see_every_row_once(spark, tmp_path):
+    log = str(tmp_path / "seen")
+
+    def voter(number):
+        def factory():
+            def vote(pdf):
+                with open(f"{log}-{number}", "a") as f:
+                    f.write("".join(f"{i}\n" for i in pdf["ann_id"]))
+                if number == 2 and (pdf["ann_id"] == 3).any():
+                    raise ValueError("x" * 300)
+                return pdf.assign(match=True, reason="ok")[["match", "reason"]]
+            return vote
+        return factory
+
+    seen = []
+
+    def source(batches):
+        for pdf in batches:
+            with open(f"{log}-source", "a") as f:
+                f.write("".join(f"{i}\n" for i in pdf["ann_id"]))
+            yield pdf
+
+    rows = spark.range(20).withColumnRenamed("id", "ann_id").mapInPandas(source, "ann_id bigint")
+    got = {(r.ann_id, r.voter): (r.match, r.reason) for r in predict.multi_voter(rows, {1: voter(1), 2: voter(2)}, batch_size=5).collect()}
+    assert len(got) == 40 and got[(3, 2)] == (None, "error: " + "x" * 50) and got[(4, 2)] == (True, "ok")
+    seen = sorted(int(i) for i in open(f"{log}-source"))
+    assert seen == list(range(20)) and sorted(int(i) for i in open(f"{log}-1")) == list(range(20))
+    failed = predict.batch_predict(rows, voter(2), "ann_id", "match boolean, reason string", {"match": None, "reason": None}).where("error IS NOT NULL").collect()
+    assert [(r.ann_id, r.error) for r in failed] == [(3, "x" * 300)]
+
+
+def test_stages_have_their_own_statistics(spark):
+    rows = [("a", 1.0), ("a", 3.0), ("b", 10.0), ("b", None), ("c", None)]
+    got = {r.stage: (r.mean_sec, r.p95_sec, r.max_sec) for r in audit.runtime_stats(spark.createDataFrame(rows, "stage string, seconds double"), stage="stage").collect()}
+    assert got == {"a": (2.0, pytest.approx(2.9), 3.0), "b": (10.0, 10.0, 10.0), "c": (None, None, None)}

@@ -1,5 +1,8 @@
 """Stream restarts, sweeps against single runs, and the driver contract."""
 
+import os
+import subprocess
+import sys
 import time
 
 import duckdb
@@ -77,3 +80,20 @@ def test_queries_match_sql(spark, name):
     res = db.execute(entry.oracle_sql()[name])
     names = [d[0] for d in res.description]
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, res.fetchall())
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """A session started elsewhere, whose Python workers cannot import the package, runs functions that need Python."""
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+import __spark_entry__ as entry
+from boxlore.session import local_session
+spark = local_session(2, 2)
+for name in ("fus_6_wbf_weighted", "join_12_topk_similarity", "udf_1_batch_predict"):
+    key = next(k for k in entry.queries() if k.startswith(name[:6]) and name.split("_")[0] in k)
+    print(key, entry.queries()[key](spark, {SF!r}).count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert all(int(line.split()[1]) > 0 for line in out.stdout.splitlines() if line.count(" ") == 1)
