@@ -209,17 +209,20 @@ def best_logits(net: Network, part: Slice) -> np.ndarray:
 
 def _odds(parts: list[tuple[Words, np.ndarray]]) -> np.ndarray:
     """Log-odds of words and grams by the texts that hold them, drawn to 0 where few do."""
+    counts = np.zeros((2, 2, BUCKETS))
+    for w, label in parts:
+        edge = np.searchsorted(w.doc, np.arange(0, len(label) + 64, 64))
+        for at, to in zip(edge[:-1], edge[1:], strict=True):  # some texts at a time: grams are many
+            doc, number = w.doc[at:to], w.number[at:to]
+            for k, (bucket, owner) in enumerate([(w.bucket[number], doc), _spread(w, doc, number)]):
+                seen = np.unique(owner * BUCKETS + bucket)
+                for value in (0, 1):
+                    counts[k, value] += np.bincount(seen[label[seen // BUCKETS] == value] % BUCKETS, minlength=BUCKETS)
+    many = np.array([[sum((y == value).sum() for _, y in parts)] for value in (0, 1)])
     odds = np.zeros((2, BUCKETS), np.float32)
     for k in (0, 1):
-        counts = np.zeros((2, BUCKETS))
-        for w, label in parts:
-            bucket, owner = (w.bucket[w.number], w.doc) if k == 0 else _spread(w)
-            seen = np.unique(owner * BUCKETS + bucket)
-            for value in (0, 1):
-                counts[value] += np.bincount(seen[label[seen // BUCKETS] == value] % BUCKETS, minlength=BUCKETS)
-        many = np.array([[sum((y == value).sum() for _, y in parts)] for value in (0, 1)])
-        share = (counts + 0.5) / (many + 1)
-        total = counts.sum(0)
+        share = (counts[k] + 0.5) / (many + 1)
+        total = counts[k].sum(0)
         odds[k] = np.clip(np.log(share[1] / share[0]), -3, 3) * total / (total + 8)
     return odds
 
@@ -286,11 +289,11 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 8, se
     return Model(net, slope, shift, prior)
 
 
-def _spread(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Character-gram buckets of every word and the text they stand in."""
-    length = np.diff(np.r_[w.begin, len(w.gram)])[w.number]
-    at = np.repeat(w.begin[w.number] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    return w.gram[at], np.repeat(w.doc, length)
+def _spread(w: Words, doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Character-gram buckets of words and the text they stand in."""
+    length = np.diff(np.r_[w.begin, len(w.gram)])[number]
+    at = np.repeat(w.begin[number] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    return w.gram[at], np.repeat(doc, length)
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
