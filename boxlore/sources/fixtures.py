@@ -71,14 +71,13 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, v = F.col("ann_id"), F.col("voter")
     return (
         annotations(spark, sf_dir)
-        .where(a % 4 == 0)
         .withColumn("voter", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
         .select(
             "ann_id",
             "voter",
             F.when((a * 17 + v * 7) % 11 < 2, F.lit(None).cast("boolean"))
             .otherwise((a * 29 + v * 13) % 5 < 3).alias("vote"),
-            ((F.col("category_id") + (a * 3 + v) % 3) % 40).cast("int").alias("cat_id"),
+            ((F.col("category_id") + F.when(a % 5 == 0, v % 3).when(v == 3, a % 3).otherwise(a % 2)) % 40).cast("int").alias("cat_id"),
         )
     )
 

@@ -43,9 +43,8 @@ _FX = {
         SELECT a.ann_id AS ann_id, v.voter AS voter,
                CASE WHEN (a.ann_id * 17 + v.voter * 7) % 11 < 2 THEN NULL
                     ELSE (a.ann_id * 29 + v.voter * 13) % 5 < 3 END AS vote,
-               CAST((a.category_id + (a.ann_id * 3 + v.voter) % 3) % 40 AS INT) AS cat_id
-        FROM fx_annotations a CROSS JOIN (SELECT 1 AS voter UNION ALL SELECT 2 UNION ALL SELECT 3) v
-        WHERE a.ann_id % 4 = 0""",
+               CAST((a.category_id + CASE WHEN a.ann_id % 5 = 0 THEN v.voter % 3 WHEN v.voter = 3 THEN a.ann_id % 3 ELSE a.ann_id % 2 END) % 40 AS INT) AS cat_id
+        FROM fx_annotations a CROSS JOIN (SELECT 1 AS voter UNION ALL SELECT 2 UNION ALL SELECT 3) v""",
     "fx_counts": "SELECT category_id, count(*) AS n FROM fx_annotations GROUP BY category_id",
     "fx_products": """
         SELECT c.category_id AS category_id, concat('product ', CAST(c.category_id AS VARCHAR)) AS product_name,

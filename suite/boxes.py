@@ -267,13 +267,13 @@ def _(s, d):
 
 _BEST = f"""best AS (SELECT g.ann_id, g.image_id, g.category_id, p.pred_id, p.category_id AS pred_category, p.score, {Q.iou('p', 'g')} AS iou,
      row_number() OVER (PARTITION BY g.ann_id ORDER BY {Q.iou('p', 'g')} DESC, p.pred_id) AS rn
-     FROM fx_annotations g JOIN fx_predictions p ON p.image_id = g.image_id AND p.model_id = 1 AND {Q.touch('p', 'g')}),
+     FROM fx_annotations g JOIN fx_predictions p ON p.image_id = g.image_id AND {Q.touch('p', 'g')}),
    bo AS (SELECT g.ann_id AS gt_id, g.image_id AS image_id, g.category_id AS category_id, coalesce(b.pred_category, -1) AS pred_category, coalesce(b.iou, 0.0) AS iou, coalesce(b.score, 0.0) AS pred_score
      FROM fx_annotations g LEFT JOIN best b ON b.ann_id = g.ann_id AND b.rn = 1)"""
 
 
 def _best(t: T):
-    return spatial.best_overlap(t.predictions.where("model_id = 1"), t.gts)
+    return spatial.best_overlap(t.predictions, t.gts)
 
 
 @query("join_6_best_overlap", f"WITH {_BEST} SELECT gt_id, category_id, pred_category, round(iou, 6) AS iou, pred_score FROM bo")

@@ -39,9 +39,9 @@ def _(s, d):
     return out.withColumns({c: r6(c) for c in out.columns if c.startswith("mean")})
 
 
-@query("agg_3_anns_per_image", "SELECT min(n) AS min_boxes, max(n) AS max_boxes, round(avg(n), 6) AS mean_boxes FROM (SELECT image_id, count(*) AS n FROM fx_annotations WHERE category_id < 20 GROUP BY image_id)")
+@query("agg_3_anns_per_image", "SELECT min(n) AS min_boxes, max(n) AS max_boxes, round(avg(n), 6) AS mean_boxes FROM (SELECT image_id, count(*) AS n FROM fx_annotations GROUP BY image_id)")
 def _(s, d):
-    return audit.anns_per_image(T(s, d).annotations.where("category_id < 20")).withColumn("mean_boxes", r6("mean_boxes"))
+    return audit.anns_per_image(T(s, d).annotations).withColumn("mean_boxes", r6("mean_boxes"))
 
 
 @query("agg_4_category_frequency", "SELECT category_id, n FROM fx_counts")
@@ -73,10 +73,10 @@ def _(s, d):
     return audit.area_stats(rows).withColumn("mean_area", F.round("mean_area", 4)).withColumn("tiny_percent", r6("tiny_percent"))
 
 
-@query("win_1_id_gaps", """WITH i AS (SELECT DISTINCT o_custkey AS id FROM orders), l AS (SELECT lag(id) OVER (ORDER BY id) AS previous_id, id AS next_id FROM i)
+@query("win_1_id_gaps", """WITH i AS (SELECT DISTINCT o_orderkey + o_orderkey // 7 * 3 AS id FROM orders), l AS (SELECT lag(id) OVER (ORDER BY id) AS previous_id, id AS next_id FROM i)
    SELECT previous_id, next_id, next_id - previous_id - 1 AS missing FROM l WHERE next_id - previous_id > 1""")
 def _(s, d):
-    return ranking.id_gaps(T(s, d).orders, "o_custkey")
+    return ranking.id_gaps(T(s, d).orders.select(F.expr("o_orderkey + o_orderkey div 7 * 3").alias("id")), "id")
 
 
 @query("agg_23_sole_source_images", "SELECT DISTINCT min(image_id) AS image_id FROM fx_annotations GROUP BY category_id HAVING count(DISTINCT image_id) = 1")
@@ -210,7 +210,7 @@ def _(s, d):
 
 # --- label cleaning ------------------------------------------------------------------------
 
-_EMB = """views AS (SELECT label AS category_id, [CAST(e AS DOUBLE) FOR e IN embedding] AS v FROM embeddings WHERE vec_id % 3 = 0 AND label < 8),
+_EMB = """views AS (SELECT CASE WHEN label < 8 THEN label ELSE label + 100 END AS category_id, [CAST(e AS DOUBLE) FOR e IN embedding] AS v FROM embeddings),
    unit AS (SELECT category_id, v, sqrt(list_sum([e * e FOR e IN v])) AS norm FROM views),
    pos AS (SELECT category_id, unnest(range(1, len(v) + 1)) AS i, unnest([e / norm FOR e IN v]) AS e FROM unit),
    mean AS (SELECT category_id, i, avg(e) AS e FROM pos GROUP BY category_id, i),
@@ -224,7 +224,8 @@ _EMB = """views AS (SELECT label AS category_id, [CAST(e AS DOUBLE) FOR e IN emb
 
 
 def _centroids(t: T):
-    return cleaning.reference_centroid(t.embeddings.where("vec_id % 3 = 0 AND label < 8").select(F.col("label").alias("category_id"), "embedding"))
+    # Two classes have their references under other ids, so that their crops have none.
+    return cleaning.reference_centroid(t.embeddings.select(F.when(F.col("label") < 8, F.col("label")).otherwise(F.col("label") + 100).alias("category_id"), "embedding"))
 
 
 def _crops(t: T):
@@ -542,23 +543,28 @@ def _(s, d):
     return tiling.tile_annotations(t.annotations, t.images, 1280, 960)
 
 
-_TC = f"""{_grid_sql('fx_images', 640, 480)}, {_held_sql(640)},
+_TC = f"""left_boxes AS (SELECT * REPLACE (x / 2 AS x) FROM fx_annotations), {_grid_sql('fx_images', 640, 480)}, {_held_sql(640).replace('fx_annotations', 'left_boxes')},
    tc AS (SELECT format('tile_{{:05d}}_{{:04d}}_{{:04d}}', g.image_id, g.tile_x, g.tile_y) AS tile, g.image_id AS image_id, g.tile_x AS tile_x, g.tile_y AS tile_y, count(i.ann_id) AS n_annotations
-     FROM grid g LEFT JOIN inside_tile i ON i.image_id = g.image_id AND i.tile_x = g.tile_x AND i.tile_y = g.tile_y AND i.category_id < 6 GROUP BY g.image_id, g.tile_x, g.tile_y),
+     FROM grid g LEFT JOIN inside_tile i ON i.image_id = g.image_id AND i.tile_x = g.tile_x AND i.tile_y = g.tile_y GROUP BY g.image_id, g.tile_x, g.tile_y),
    ec AS (SELECT *, row_number() OVER (ORDER BY {Q.mixed('image_id * 10007 + tile_x * 101 + tile_y')}, image_id, tile_x, tile_y) AS rn FROM tc WHERE n_annotations = 0),
    emp AS (SELECT * FROM ec WHERE rn <= floor((SELECT count_if(n_annotations > 0) FROM tc) * 0.2::DOUBLE))"""
 
 
+def _left(t: T):
+    """All boxes, moved to the left half of their image, so that tiles on the right are empty."""
+    return t.annotations.withColumn("x", F.col("x") / 2)
+
+
 @query("snk_5_tile_metadata", f"WITH {_TC} SELECT tile, image_id, tile_x, tile_y, n_annotations FROM tc")
 def _(s, d):
     t = T(s, d)
-    return tiling.tile_counts(t.annotations.where("category_id < 6"), t.images, 640, 480).select("tile", "image_id", "tile_x", "tile_y", "n_annotations")
+    return tiling.tile_counts(_left(t), t.images, 640, 480).select("tile", "image_id", "tile_x", "tile_y", "n_annotations")
 
 
 @query("smp_6_empty_tile_cap", f"WITH {_TC} SELECT tile, image_id FROM emp")
 def _(s, d):
     t = T(s, d)
-    return tiling.empty_tile_cap(tiling.tile_counts(t.annotations.where("category_id < 6"), t.images, 640, 480)).select("tile", "image_id")
+    return tiling.empty_tile_cap(tiling.tile_counts(_left(t), t.images, 640, 480)).select("tile", "image_id")
 
 
 _SPLIT = f"""sole AS (SELECT DISTINCT min(image_id) AS image_id FROM fx_annotations GROUP BY category_id HAVING count(DISTINCT image_id) = 1),
@@ -574,7 +580,7 @@ def _split(t: T):
    SELECT tile, n_annotations FROM tc WHERE n_annotations > 0 UNION ALL SELECT tile, n_annotations FROM emp""")
 def _(s, d):
     t = T(s, d)
-    return tiling.tile_dataset(t.annotations.where("category_id < 6"), t.images, _split(t), 640, 480).select("tile", "n_annotations")
+    return tiling.tile_dataset(_left(t), t.images, _split(t), 640, 480).select("tile", "n_annotations")
 
 
 # --- splits and sampling -------------------------------------------------------------------

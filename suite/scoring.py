@@ -292,10 +292,10 @@ for _name, _order, _fn in (("met_8_worst_classes", "ap, n_gt, category_id", metr
     query(_name, f"WITH RECURSIVE {_CLS} SELECT category_id, n_gt, round(ap, 6) AS ap FROM ca ORDER BY round(ap, 6) {'DESC' if 'DESC' in _order else ''}, n_gt, category_id LIMIT 20")(_extreme)
 
 
-@query("set_3_image_universe", "SELECT image_id FROM fx_predictions WHERE image_id % 2 = 0 UNION SELECT image_id FROM fx_annotations WHERE image_id % 3 = 0")
+@query("set_3_image_universe", "SELECT image_id * 2 AS image_id FROM fx_predictions UNION SELECT image_id * 3 FROM fx_annotations")
 def _(s, d):
     t = T(s, d)
-    return t.predictions.where("image_id % 2 = 0").select("image_id").union(t.annotations.where("image_id % 3 = 0").select("image_id")).distinct()
+    return t.predictions.select((F.col("image_id") * 2).alias("image_id")).union(t.annotations.select(F.col("image_id") * 3)).distinct()
 
 
 @query("set_1_union_passes", "SELECT pred_id, x FROM fx_predictions WHERE model_id = 0 UNION ALL SELECT pred_id, 4000 - x - w FROM fx_predictions WHERE model_id = 1")
