@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from boxlore.functions import geometry as G
 from boxlore.operators.matching import hot_groups
 from boxlore.operators.suppression import nms
+from boxlore.session import materialise
 
 HOT_ROWS = 20000
 INDEX_CELL = 512.0
@@ -169,6 +170,7 @@ def cluster_boxes(
     keys = list(keys)
     rows = dets.select(
         *keys, "pred_id", *"xywh", weight.alias("_weight"), F.col(source).alias("_source"), min_iou.alias("_min_iou"))
+    rows = materialise(rows)  # the input is evaluated once
     hot = hot_groups(rows, keys, hot_rows)
     walk_keys = keys
     if hot is not None:

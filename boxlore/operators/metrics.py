@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from boxlore.functions.scalars import bucket_label, bucket_ordinal
 from boxlore.operators.matching import candidate_pairs, greedy_match, resolve_pairs, with_match
 from boxlore.operators.ranking import rank_slices, slice_by
+from boxlore.session import materialise
 
 TAIL_BUCKETS = [(1, 1), (2, 3), (4, 5), (6, 10), (11, 25), (26, None)]
 DETECTION_SHARE = 0.7
@@ -149,8 +150,13 @@ def hybrid_of(detection: Column, classification: Column) -> Column:
 
 
 def hybrid_score(preds: DataFrame, gts: DataFrame, min_iou: float = 0.5, config: Sequence[str] = (), **options) -> DataFrame:
-    """Both maps and their blend. One overlap join and one stored score order serve both."""
+    """Both maps and their blend. One overlap join and one stored score order serve both.
+
+    The inputs are evaluated once and stored; everything else reads what was stored.
+    """
     config = list(config)
+    preds = materialise(preds.select(*config, "image_id", "category_id", "pred_id", "score", *"xywh"))
+    gts = materialise(gts.select(*config, "image_id", "category_id", "gt_id", *"xywh"))
     pairs = candidate_pairs(preds, gts, min_iou, [*config, "image_id"])
     return hybrid_of_flags(flag_matches(preds, pairs, config, **options), gts, config)
 

@@ -44,14 +44,15 @@ def nms(
     hot_rows: int = HOT_ROWS,
     cell: int = CELL,
 ) -> DataFrame:
-    """The surviving rows of ``preds``, all columns kept."""
+    """The surviving rows of ``preds``, all columns kept. ``preds`` is evaluated once and stored."""
     keys = list(keys)
+    preds = materialise(preds)
     boxes = preds.select(*keys, "pred_id", "score", *"xywh")
     hot = hot_groups(boxes, keys, hot_rows)
     dropped = None
     if hot is not None:
         cell = fitting_cell(boxes, cell)
-        boxes, dropped = _peel(materialise(boxes), hot, threshold, keys, hot_rows, cell)
+        boxes, dropped = _peel(boxes, hot, threshold, keys, hot_rows, cell)
     edges = materialise(
         overlapping(boxes, boxes, keys, cell=cell, condition=_before("a", "b") & _conflict(threshold))
         .select(*keys, F.col("a_score").alias("s"), F.col("a_pred_id").alias("hi"), F.col("b_pred_id").alias("lo"))

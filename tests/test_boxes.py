@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from boxlore import session
 from boxlore.operators import fusion, matching, metrics, ranking, spatial, suppression
 from tests import brute
 
@@ -204,3 +205,30 @@ def test_greedy_match_streams_what_rounds_leave(spark, monkeypatch):
     for k in range(2):
         want |= set(brute.match([(p[0], p[8], p[4:8]) for p in preds if p[2] == k], [(g[0], g[3:7]) for g in gts if g[1] == k], 0.3).items())
     assert {(r.pred_id, r.gt_id) for r in got.collect()} == want and want
+
+
+@pytest.mark.parametrize("name", ["nms", "sequential", "weighted", "suppress_then_fuse", "hybrid"])
+def test_inputs_are_evaluated_once_and_nothing_stays(spark, tmp_path, name):
+    preds, gts = make(31, images=2, n=20, m=8)
+    log = tmp_path / "seen"
+
+    def source(batches):
+        for pdf in batches:
+            with open(log, "a") as f:
+                f.write("".join(f"{i}\n" for i in pdf["pred_id"]))
+            yield pdf
+
+    df = spark.createDataFrame(preds, PRED).mapInPandas(source, PRED)
+    run = {
+        "nms": lambda: suppression.nms(df, 0.5),
+        "sequential": lambda: fusion.wbf_sequential(df, 3, 0.5, source="model_id"),
+        "weighted": lambda: fusion.wbf_weighted(df, [1.0, 1.0, 1.0], 0.5),
+        "suppress_then_fuse": lambda: fusion.nms_then_wbf(df.withColumn("pass_id", F.col("model_id")), 3, 0.5, 0.5),
+        "hybrid": lambda: metrics.hybrid_score(df, spark.createDataFrame(gts, GT)),
+    }[name]
+    session.release(spark)
+    assert run().collect()
+    assert sorted(map(int, log.read_text().split())) == sorted(p[0] for p in preds)
+    session.release(spark)
+    left = spark.sql(f"SHOW TABLES IN {session.SCRATCH}").collect()
+    assert [t.tableName for t in left if not t.isTemporary] == []
