@@ -49,14 +49,14 @@ def read_words(part: Slice) -> Words:
     grams, owner = [], []
     for n in GRAMS:
         many = np.maximum(e - s - n + 1, 0)
-        who = np.repeat(np.arange(len(s)), many)
+        who = np.repeat(np.arange(len(s), dtype=np.int32), many)
         at = np.repeat(s - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        grams.append(mix(span_hash(pre, at, at + n), n) % U64(BUCKETS))
+        grams.append((mix(span_hash(pre, at, at + n), n) % U64(BUCKETS)).astype(np.int32))
         owner.append(who)
     short = np.flatnonzero(e - s < GRAMS[0])
-    grams.append(mix(distinct[short], 9) % U64(BUCKETS))
-    owner.append(short)
-    gram, owner = np.concatenate(grams).astype(np.int64), np.concatenate(owner)
+    grams.append((mix(distinct[short], 9) % U64(BUCKETS)).astype(np.int32))
+    owner.append(short.astype(np.int32))
+    gram, owner = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     begin = np.searchsorted(owner[order], np.arange(len(s)))
     return Words(doc, number, (mix(distinct, 7) % U64(BUCKETS)).astype(np.int64), gram[order], begin)
@@ -184,7 +184,7 @@ def _index(w: Words, first: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """(WINDOW, rows) word numbers of windows, -1 behind a text's end."""
     stop = np.cumsum(np.bincount(w.doc, minlength=n))[text]
     at = first + np.arange(WINDOW)[:, None]
-    return np.where(at < stop, w.number[np.minimum(at, max(len(w.number) - 1, 0))], -1)
+    return np.where(at < stop, w.number[np.minimum(at, max(len(w.number) - 1, 0))], -1).astype(np.int32)
 
 
 @dataclass
@@ -201,8 +201,8 @@ def best_logits(net: Network, part: Slice) -> np.ndarray:
     best = np.full(len(part), -np.inf, np.float32)
     first, text = windows(w.doc, len(part))
     x = net.inputs(w)
-    for at in range(0, len(first), 4096):
-        f, t = first[at : at + 4096], text[at : at + 4096]
+    for at in range(0, len(first), 2048):
+        f, t = first[at : at + 2048], text[at : at + 2048]
         np.maximum.at(best, t, net.forward(x, _index(w, f, t, len(part))))
     return best
 
@@ -240,8 +240,8 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 8, se
         return Model(net, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), prior)
     rng = np.random.default_rng(seed)
     use = rng.permutation(len(texts)) % 5 // 2
-    parts = [_from_texts([t for t, own in zip(texts, use, strict=True) if own == k]) for k in range(3)]
-    seen = [(read_words(p), y[use == k]) for k, p in enumerate(parts[:2])]
+    parts = [_from_texts([t for t, own in zip(texts, use, strict=True) if own == k]) for k in range(2)]
+    seen = [(read_words(p), y[use == k]) for k, p in enumerate(parts)]
     views = []
     for k, (w, label) in enumerate(seen):
         net.odds = _odds([seen[1 - k]])
@@ -261,7 +261,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 8, se
             # What the network itself now finds most telling, in toxic and in clean texts.
             w, net.odds, index, chosen, target, text, label = view
             x = net.inputs(w)
-            logit = np.concatenate([net.forward(x, index[:, at : at + 4096]) for at in range(0, index.shape[1], 4096)] or [np.zeros(0)])
+            logit = np.concatenate([net.forward(x, index[:, at : at + 1024]) for at in range(0, index.shape[1], 1024)] or [np.zeros(0)])
             order = np.lexsort((-logit, text))
             rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
             more = order[(rank < 1) | (rank < 4) & (label[text[order]] == 0)]
@@ -283,7 +283,8 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 8, se
                 v[name] = 0.99 * v[name] + 0.01 * g * g
                 net.p[name] = (net.p[name] - 0.01 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     net.odds = _odds(seen)
-    z = best_logits(net, parts[2]).astype(float)
+    last = [t for t, own in zip(texts, use, strict=True) if own == 2]
+    z = np.concatenate([best_logits(net, _from_texts(last[at : at + 128])) for at in range(0, len(last), 128)]).astype(float)
     ok = np.isfinite(z)
     slope, shift = _calibrate(z[ok], y[use == 2][ok], weight[use == 2][ok])
     return Model(net, slope, shift, prior)
