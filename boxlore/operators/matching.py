@@ -139,16 +139,12 @@ def _without_hopeless(live: DataFrame, keys: list[str]) -> DataFrame:
 
     Of predictions with the same set of partners the k-th best can match only if all better ones
     did, and all of those within that set: ranks beyond its size never match. A pile of similar
-    predictions over a few boxes thus shrinks to as many predictions as there are boxes. Sets are
-    compared by size, ends and two independent 64-bit sums of hashes, all combinable.
+    predictions over a few boxes thus shrinks to as many predictions as there are boxes. A set is
+    the sorted list of the boxes one prediction overlaps.
     """
-    g = F.col("gt_id")
-    sets = live.groupBy(*keys, "pred_id", "score").agg(
-        F.count("*").alias("_size"), F.min(g).alias("_lo"), F.max(g).alias("_hi"),
-        F.bit_xor(F.xxhash64(g)).alias("_h1"), F.bit_xor(F.xxhash64(g, F.lit(1))).alias("_h2"))
-    same = [*keys, "_size", "_lo", "_hi", "_h1", "_h2"]
-    places = ranked(sets, same, [F.col("score").desc(), F.col("pred_id").asc()], rank="_rank")
-    late = places.where(F.col("_rank") > F.col("_size")).select(*keys, "pred_id")
+    sets = live.groupBy(*keys, "pred_id", "score").agg(F.array_sort(F.collect_set("gt_id")).alias("_set"))
+    places = ranked(sets, [*keys, "_set"], [F.col("score").desc(), F.col("pred_id").asc()], rank="_rank")
+    late = places.where(F.col("_rank") > F.size("_set")).select(*keys, "pred_id")
     return materialise(live.join(late, [*keys, "pred_id"], "left_anti"))
 
 

@@ -5,20 +5,22 @@ descending, then ``pred_id``.
 
 Groups of ordinary size list their conflicting pairs; boxes without conflicts never enter
 the decision. Conflicts are decided by a native fold, or in distributed rounds when a group
-has many. Very large groups are peeled first: the best box of every small cell is compared
+has many; what rounds no longer shrink is a sorted stream. Very large groups are peeled first: the best box of every small cell is compared
 with its surroundings, which is linear in the group, and a pile of near-copies goes in one
 round. No group is ever gathered whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxlore.functions import geometry as G
-from boxlore.operators.matching import FOLD_LIMIT, HOT_ROWS, hot_groups
+from boxlore.operators.matching import FOLD_LIMIT, HOT_ROWS, WORTHWHILE, hot_groups
 from boxlore.operators.spatial import CELL, cell_index, fitting_cell, overlapping
 from boxlore.session import materialise
 
@@ -68,7 +70,8 @@ def _losers(edges: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
         return _fold(edges, keys)
     out = _fold(edges.join(hot, keys, "left_anti"), keys)
     live = materialise(edges.join(hot, keys, "left_semi"))
-    while not live.isEmpty():
+    left = live.count()
+    while left:
         # Boxes nothing undecided stands above are final; so is the loss of whatever they hit.
         winners = live.select(*keys, F.col("hi").alias("id")).distinct().join(
             live.select(*keys, F.col("lo").alias("id")).distinct(), [*keys, "id"], "left_anti")
@@ -81,9 +84,36 @@ def _losers(edges: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
             live.join(lost.withColumnRenamed("pred_id", "hi"), [*keys, "hi"], "left_anti")
             .join(lost.withColumnRenamed("pred_id", "lo"), [*keys, "lo"], "left_anti")
         )
+        before, left = left, live.count()
+        if left > before * (1 - WORTHWHILE):
+            return out.unionByName(_walk(live, keys))
     return out
 
 
+def _walk(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Decide edges as a stream per group, best box first; a task holds only the ids already lost.
+
+    For long chains of boxes, which rounds decide one box at a time: when a box comes up, all
+    edges into it are behind.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, lost = None, set()
+        for pdf in batches:
+            out = []
+            for key, hi, lo in zip(zip(*(pdf[k].tolist() for k in keys)), pdf["hi"].tolist(), pdf["lo"].tolist()):
+                if key != current:
+                    current, lost = key, set()
+                if hi not in lost and lo not in lost:
+                    lost.add(lo)
+                    out.append((*key, lo))
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "pred_id"])
+
+    fields = {f.name: f for f in edges.schema.fields}
+    schema = T.StructType([*[fields[k] for k in keys], T.StructField("pred_id", fields["lo"].dataType)])
+    return edges.repartition(*keys).sortWithinPartitions(*keys, F.col("s").desc(), F.col("hi").asc()).mapInPandas(run, schema)
+
+
 def _fold(edges: DataFrame, keys: list[str]) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "hi", "lo")))
 
@@ -107,7 +137,7 @@ def _peel(boxes: DataFrame, hot: DataFrame, threshold: float, keys: list[str], h
     live = boxes.join(hot, keys, "left_semi")
     fx = cell_index(F.col("x") + F.col("w") / 2, PEEL_CELL)
     fy = cell_index(F.col("y") + F.col("h") / 2, PEEL_CELL)
-    suppressed = None
+    suppressed, left = None, live.count()
     while True:
         best = F.min(F.struct((-F.col("score")).alias("k"), "pred_id", "score", *"xywh")).alias("b")
         heads = live.groupBy(*keys, fx.alias("_fx"), fy.alias("_fy")).agg(best).select(
@@ -123,7 +153,8 @@ def _peel(boxes: DataFrame, hot: DataFrame, threshold: float, keys: list[str], h
         gone = lost.unionByName(kept.withColumnRenamed("head", "pred_id"))
         live = materialise(live.join(gone, [*keys, "pred_id"], "left_anti"))
         hot = hot_groups(live, keys, hot_rows)
-        if hot is None:
+        before, left = left, live.count()
+        if hot is None or left > before * (1 - WORTHWHILE):  # not a pile: pairs are few
             return calm.unionByName(live), suppressed
         calm = calm.unionByName(live.join(hot, keys, "left_anti"))
         live = live.join(hot, keys, "left_semi")

@@ -232,3 +232,15 @@ def test_inputs_are_evaluated_once_and_nothing_stays(spark, tmp_path, name):
     session.release(spark)
     left = spark.sql(f"SHOW TABLES IN {session.SCRATCH}").collect()
     assert [t.tableName for t in left if not t.isTemporary] == []
+
+
+@pytest.mark.parametrize("limits", [{"fold_limit": 0}, {"fold_limit": 0, "hot_rows": 0}])
+def test_suppression_of_long_chains_takes_few_jobs(spark, limits):
+    jobs = []
+    for n in (40, 200):
+        preds = [(i, 0, 1, 1, 20.0 * i, 0.0, 60.0, 50.0, 1 - i / 1000) for i in range(n)]
+        spark.sparkContext.setJobGroup(f"chain-{n}", "")
+        got = suppression.nms(spark.createDataFrame(preds, PRED), 0.4, **limits).collect()
+        assert {r.pred_id for r in got} == brute.nms([(p[0], p[8], p[4:8]) for p in preds], 0.4)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}")))
+    assert jobs[1] <= jobs[0] + 10
