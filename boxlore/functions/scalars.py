@@ -74,6 +74,11 @@ def catalogue_name(category_id: Column, code: Column) -> Column:
     return F.concat(F.format_string("cat%03d_", category_id), code)
 
 
+def truncated(text: Column, length: int) -> Column:
+    """The first ``length`` characters."""
+    return F.left(text, F.lit(length))
+
+
 BLANKS = " \t\n\r\x0b\x0c"
 
 

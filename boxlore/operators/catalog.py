@@ -108,3 +108,15 @@ def download_tasks(codes: DataFrame, base_url: str, stores: list[str], sizes: li
         "category_id", "product_code", F.col("t.store").alias("store"), F.col("t.size").alias("size"),
         F.concat_ws("/", F.lit(base_url), F.col("t.store"), F.col("t.size"), F.concat(F.col("product_code"), F.lit(".jpg"))).alias("url"),
         F.concat(catalogue_name(F.col("category_id"), F.col("product_code")), F.col("t.suffix"), F.lit(".jpg")).alias("file_name"))
+
+
+def annotation_images(anns: DataFrame, images: DataFrame) -> DataFrame:
+    """Annotations with name and size of their image."""
+    return anns.join(images.select("image_id", "file_name", "width", "height"), "image_id")
+
+
+def annotation_names(anns: DataFrame, categories: DataFrame) -> DataFrame:
+    """Annotations with the name of their class: ``?`` and, as a label, ``cat_<id>`` where it has none."""
+    named = anns.join(categories.select("category_id", F.col("name").alias("_name")), "category_id", "left")
+    label = F.coalesce("_name", F.concat(F.lit("cat_"), F.col("category_id").cast("string")))
+    return named.withColumns({"name": F.coalesce("_name", F.lit("?")), "label": label}).drop("_name")

@@ -83,3 +83,33 @@ def cap_per_image(preds: DataFrame, cap: int = 500, *, drop_empty: str | None =
 def selective(dets: DataFrame, det_t: float) -> DataFrame:
     """Detections unsure enough to be worth a second look; filter before any model call."""
     return dets.where(F.col("score") < det_t)
+
+
+def confident(dets: DataFrame, conf: float) -> DataFrame:
+    return dets.where(F.col("score") >= conf)
+
+
+def min_side(boxes: DataFrame, side: float) -> DataFrame:
+    """Boxes whose two sides reach ``side``."""
+    return boxes.where((F.col("w") >= side) & (F.col("h") >= side))
+
+
+def min_side_counts(boxes: DataFrame, side: float) -> DataFrame:
+    """How many boxes :func:`min_side` keeps and skips, in one row."""
+    ok = (F.col("w") >= side) & (F.col("h") >= side)
+    return boxes.agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped"))
+
+
+def union_passes(original: DataFrame, flipped: DataFrame, images: DataFrame) -> DataFrame:
+    """Both passes as rows of one table, the boxes of the second mirrored back."""
+    width = images.select("image_id", "width")
+    back = flipped.join(width, "image_id").withColumn("x", G.flip_box(G.box_of(), F.col("width")).x)
+    return original.unionByName(back.select(*original.columns))
+
+
+def image_universe(*tables: DataFrame) -> DataFrame:
+    """Ids of all images that any of the tables mentions."""
+    out = tables[0].select("image_id")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("image_id"))
+    return out.distinct()

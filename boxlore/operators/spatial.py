@@ -129,3 +129,8 @@ def label_disagreement(best: DataFrame, min_iou: float = 0.5, min_score: float =
     iou, score = F.col("iou"), F.col("pred_score")
     enough = (iou > min_iou) & (score > min_score) if strict else (iou >= min_iou) & (score >= min_score)
     return best.where(enough & (F.col("pred_category") != F.col("category_id")))
+
+
+def rank_disagreements(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` disagreements the detector is surest of; Spark trims every partition first."""
+    return rows.orderBy(F.col("pred_score").desc(), F.col("gt_id").asc()).limit(k)

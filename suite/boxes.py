@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from boxlore.functions import geometry as G
 from boxlore.functions import scalars as S
-from boxlore.operators import detections as D
+from boxlore.operators import catalog, detections as D
 from boxlore.operators import spatial
 
 from boxlore.sources import readers
@@ -221,7 +221,7 @@ def _(s, d):
 
 @query("flt_1_conf_filter", "SELECT pred_id, score FROM fx_predictions WHERE score >= 0.4")
 def _(s, d):
-    return T(s, d).predictions.where(F.col("score") >= 0.4).select("pred_id", "score")
+    return D.confident(T(s, d).predictions, 0.4).select("pred_id", "score")
 
 
 @query("flt_2_split_filter", "SELECT pred_id, image_id FROM fx_predictions WHERE image_id % 5 = 2")
@@ -238,8 +238,7 @@ def _(s, d):
 
 @query("flt_4_min_side", "SELECT count_if(w - 205 >= 3 AND h - 203 >= 3) AS kept, count_if(w - 205 < 3 OR h - 203 < 3) AS skipped FROM fx_annotations")
 def _(s, d):
-    ok = (F.col("w") - 205 >= 3) & (F.col("h") - 203 >= 3)
-    return T(s, d).annotations.agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped"))
+    return D.min_side_counts(T(s, d).annotations.withColumns({"w": F.col("w") - 205, "h": F.col("h") - 203}), 3)
 
 
 @query("flt_5_selective_classify", "SELECT p.pred_id AS pred_id, coalesce(c.cls, -1) AS cls FROM fx_predictions p LEFT JOIN fx_classifier c ON p.pred_id = c.pred_id AND p.score < 0.7")
@@ -295,22 +294,21 @@ def _(s, d):
    ORDER BY pred_score DESC, gt_id LIMIT 30""")
 def _(s, d):
     rows = spatial.label_disagreement(_best(T(s, d)))
-    return rows.orderBy(F.col("pred_score").desc(), F.col("gt_id").asc()).limit(30).select("gt_id", "pred_category", "pred_score")
+    return spatial.rank_disagreements(rows, 30).select("gt_id", "pred_category", "pred_score")
 
 
 @query("join_1_ann_image", "SELECT a.ann_id AS ann_id, i.file_name AS file_name, i.width AS width, i.height AS height FROM fx_annotations a JOIN fx_images i ON a.image_id = i.image_id")
 def _(s, d):
     t = T(s, d)
-    return t.annotations.join(t.images, "image_id").select("ann_id", "file_name", "width", "height")
+    return catalog.annotation_images(t.annotations, t.images).select("ann_id", "file_name", "width", "height")
 
 
 @query("join_2_ann_category_name", """SELECT a.ann_id AS ann_id, coalesce(c.name, '?') AS name, coalesce(c.name, concat('cat_', CAST(a.category_id AS VARCHAR))) AS label
    FROM fx_annotations a LEFT JOIN fx_categories c ON a.category_id = c.category_id AND c.category_id % 6 <> 1""")
 def _(s, d):
     t = T(s, d)
-    known = t.categories.where("category_id % 6 <> 1")
-    return t.annotations.select("ann_id", "category_id").join(known, "category_id", "left").select(
-        "ann_id", F.coalesce("name", F.lit("?")).alias("name"), F.coalesce("name", F.concat(F.lit("cat_"), F.col("category_id").cast("string"))).alias("label"))
+    known = t.categories.where("category_id % 6 <> 1")  # the others have no name
+    return catalog.annotation_names(t.annotations, known).select("ann_id", "name", "label")
 
 
 @query("join_21_existing_files", "SELECT image_id, file_name FROM fx_images WHERE image_id % 3 <> 1")

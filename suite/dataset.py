@@ -378,7 +378,7 @@ def _(s, d):
 
 @query("fn_6_truncate_text", "SELECT doc_id, left(text, 40) AS head FROM documents")
 def _(s, d):
-    return T(s, d).documents.select("doc_id", F.substring("text", 1, 40).alias("head"))
+    return T(s, d).documents.select("doc_id", S.truncated(F.col("text"), 40).alias("head"))
 
 
 @query("fn_4_normalise_name", "SELECT p_partkey, upper(p_name) AS wanted, replace(upper(concat(p_name, '  ', p_type)), '  ', ' ') AS hit FROM part")

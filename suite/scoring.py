@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxlore.operators import audit, fusion, matching, metrics, ranking, suppression
+from boxlore.operators import audit, detections, fusion, matching, metrics, ranking, suppression
 from boxlore.operators.predict import ensemble_config
 from boxlore.plans import sweeps
 from suite import sqltext as Q
@@ -295,14 +295,15 @@ for _name, _order, _fn in (("met_8_worst_classes", "ap, n_gt, category_id", metr
 @query("set_3_image_universe", "SELECT image_id * 2 AS image_id FROM fx_predictions UNION SELECT image_id * 3 FROM fx_annotations")
 def _(s, d):
     t = T(s, d)
-    return t.predictions.select((F.col("image_id") * 2).alias("image_id")).union(t.annotations.select(F.col("image_id") * 3)).distinct()
+    times = lambda df, k: df.withColumn("image_id", F.col("image_id") * k)
+    return detections.image_universe(times(t.predictions, 2), times(t.annotations, 3))
 
 
 @query("set_1_union_passes", "SELECT pred_id, x FROM fx_predictions WHERE model_id = 0 UNION ALL SELECT pred_id, 4000 - x - w FROM fx_predictions WHERE model_id = 1")
 def _(s, d):
-    p = T(s, d).predictions
-    flipped = p.where("model_id = 1").select("pred_id", (4000 - F.col("x") - F.col("w")).alias("x"))
-    return p.where("model_id = 0").select("pred_id", "x").unionByName(flipped)
+    t = T(s, d)
+    p = t.predictions
+    return detections.union_passes(p.where("model_id = 0"), p.where("model_id = 1"), t.images).select("pred_id", "x")
 
 
 # --- sweeps --------------------------------------------------------------------------------
