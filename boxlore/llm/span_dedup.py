@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxlore.llm.store import fresh_name, gaps, pack, pack_texts, unpack
-from boxlore.llm.texts import U64, mix, prefix, ranges, slices, span_hash
+from boxlore.llm.texts import U64, mix, prefix, ranges, slices, span_hash, window_hash
 
 GRAM = 8
 _PLACE = 30  # low bits of a trigger key hold its place in the slice
+SLICE = 1 << 20  # bytes of text that are cut into phrases at a time
 PART = 4 << 20  # bytes of text per dictionary part and per group of documents
 
 
@@ -33,10 +35,9 @@ def _phrases(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, U64)
     gram = min(GRAM, width)
-    at = np.arange(len(buf) - gram + 1)
-    g = mix(span_hash(prefix(buf), at, at + gram))
+    g = mix(window_hash(prefix(buf), gram))
     low = U64((1 << _PLACE) - 1)
-    key = (g & ~low) | at.astype(U64)
+    key = (g & ~low) | np.arange(len(g), dtype=U64)
     size, span = width - gram + 1, 1
     while span * 2 <= size:
         key = np.minimum(key[:-span], key[span:])
@@ -62,7 +63,7 @@ def _dictionary(parts: int, width: int):
     """Distinct phrases of each slice with their occurrences, packed by dictionary part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, 3 << 20):
+        for s in slices(batches, SLICE):
             start, last, trigger = _phrases(s.buf, s.off, width)
             if not len(start):
                 continue
@@ -106,14 +107,14 @@ def _repeats(length: np.ndarray, doc: np.ndarray, text: np.ndarray, width: int)
     hashes = np.empty(int(ends[-1]), U64)
     at = 0
     while at < len(length):  # a few megabytes of prefix sums at a time
-        to = max(int(np.searchsorted(begin, begin[at] + (2 << 20), side="right")), at + 1)
+        to = max(int(np.searchsorted(begin, begin[at] + (1 << 20), side="right")), at + 1)
         stop = begin[to - 1] + length[to - 1]
         pre = prefix(text[begin[at] : stop])
         p = ranges(begin[at:to] - begin[at], many[at:to])
         hashes[ends[at] - many[at] : ends[to - 1]] = mix(span_hash(pre, p, p + width))
         at = to
     repeated = np.zeros(len(hashes), bool)
-    turns = len(hashes) // (1 << 23) + 1
+    turns = len(hashes) // (1 << 21) + 1
     low = U64((1 << 24) - 1)
     for turn in range(turns):
         mine = np.flatnonzero(hashes % U64(turns) == U64(turn)) if turns > 1 else None
@@ -197,68 +198,107 @@ def _merge(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return ids[lead], start[lead], (reach[tail] - number[tail] * step) if len(lead) else end
 
 
-def _apply(with_text: bool):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        spans = [unpack(b) for b in right["blob"].to_pylist()]
-        ids = np.concatenate([np.cumsum(r[0]) for r in spans]) if spans else np.zeros(0, np.int64)
-        start = np.concatenate([r[1] for r in spans]).astype(np.int64) if spans else ids
-        size = np.concatenate([r[2] for r in spans]).astype(np.int64) if spans else ids
-        ids, start, end = _merge(ids, start, start + size)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-        for blob in left["blob"].to_pylist():
-            own, length, raw = unpack(blob)
-            at = np.cumsum(length) - length
-            lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
-            for i in range(len(own)):
-                text = raw[at[i] : at[i] + length[i]]
-                keep, n, gone = [], hi[i] - lo[i], 0
-                if n:
-                    done = 0
-                    for k in range(lo[i], hi[i]):
-                        keep.append(text[done : start[k]].tobytes())
-                        done = int(end[k])
-                        gone += done - int(start[k])
-                    keep.append(text[done:].tobytes())
-                    rest = b"".join(keep)
-                else:
-                    rest = text.tobytes()
-                out["doc_id"].append(int(own[i]))
-                out["n_bytes"].append(int(length[i]))
-                out["n_removed"].append(gone)
-                out["n_spans"].append(int(n))
-                out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
-                out["kept_text"].append(rest.decode("utf-8", "ignore") if with_text else None)
-        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items() if with_text or k != "kept_text"})
+def _spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = [unpack(b) for b in table["blob"].to_pylist()]
+    if not rows:
+        return (np.zeros(0, np.int64),) * 3
+    ids = np.concatenate([np.cumsum(r[0]) for r in rows])
+    start = np.concatenate([r[1] for r in rows]).astype(np.int64)
+    return _merge(ids, start, start + np.concatenate([r[2] for r in rows]).astype(np.int64))
 
-    return run
+
+def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
+    ids, start, end = _spans(right)
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    out: dict[str, list] = {k: [] for k in kinds}
+    for blob in left["blob"].to_pylist():
+        own, length, raw = unpack(blob)
+        at = np.cumsum(length) - length
+        lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+        for i in range(len(own)):
+            text, done, gone, rest = raw[at[i] : at[i] + length[i]], 0, 0, hashlib.sha256()
+            for k in range(lo[i], hi[i]):
+                rest.update(text[done : start[k]])
+                done = int(end[k])
+                gone += done - int(start[k])
+            rest.update(text[done:])
+            for name, value in zip(kinds, (int(own[i]), int(length[i]), gone, int(hi[i] - lo[i]), rest.hexdigest()), strict=True):
+                out[name].append(value)
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
+
+
+def _removed(base: DataFrame, width: int, part: int) -> tuple[DataFrame, int]:
+    """Spans to remove, packed by group of documents, and the number of groups."""
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(16, int(size // part))
+    phrases = base.mapInArrow(_dictionary(parts, width), "part bigint, blob binary")
+    return phrases.groupBy("part").applyInArrow(_decide(parts, width), "docs bigint, blob binary"), parts
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text", with_text: bool = False, part: int = PART) -> DataFrame:
-    """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text``).
+def remove_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
+    """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a ``width``-byte string that covers it
     also starts in a document with a smaller key; strings are judged on the input. Texts shorter
-    than ``width`` lose nothing. ``kept_text`` leaves out bytes of characters that were cut in two.
+    than ``width`` lose nothing.
     Rows that share a key must share their text; they get the same result. A null key gets none.
 
     A slice of a task sends each distinct phrase once, with all places it has there, so a passage
     that every document holds is a few bytes per occurrence, spread over as many parts as it has
     triggers. Strings are equal if their 64-bit hashes under one trigger are.
     """
-    base = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(16, int(size // part))
-    phrases = base.mapInArrow(_dictionary(parts, width), "part bigint, blob binary")
-    spans = phrases.groupBy("part").applyInArrow(_decide(parts, width), "docs bigint, blob binary")
+    base = _keyed(docs, key, text)
+    spans, parts = _removed(base, width, part)
     texts = base.mapInArrow(pack_texts(parts), "docs bigint, blob binary")
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return texts.groupBy("docs").cogroup(spans.groupBy("docs")).applyInArrow(_apply(with_text), schema)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return texts.groupBy("docs").cogroup(spans.groupBy("docs")).applyInArrow(_apply, schema)
+
 
+def _grouped(key: str, parts: int, group_name: str):
+    """Rows with the number of their group of documents; rows without a key are spread."""
 
-def without_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the rest of each text; other columns, and rows without a key, as they were."""
-    name, rest = fresh_name(docs, "rest_id"), fresh_name(docs, "rest")
-    cut = remove_repeats(docs, width, key, text, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias(name), F.col("kept_text").alias(rest)).dropDuplicates([name])
-    joined = docs.join(cut.hint("merge"), docs[key] == cut[name], "left")
-    return joined.select(*[F.when(cut[name].isNotNull(), cut[rest]).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(key).cast(pa.int64())
+            group = (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(U64)) % U64(parts)).astype(np.int64)
+            group = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.arange(len(group)) % parts, group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group)], names=[*batch.schema.names, group_name])
+
+    return run
+
+
+def _cut(key: int, text: int):
+    """Rows of a group of documents with what is left of each text; columns by their place."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, start, end = _spans(right)
+        left = left.select(list(range(left.num_columns - 1)))
+        own = left.column(key).to_pylist()
+        texts = left.column(text).to_pylist()
+        for i, (doc, value) in enumerate(zip(own, texts, strict=True)):
+            lo, hi = (0, 0) if doc is None else (np.searchsorted(ids, doc), np.searchsorted(ids, doc, side="right"))
+            if hi > lo:
+                raw, done, keep = value.encode("utf-8", "surrogatepass"), 0, []
+                for k in range(lo, hi):
+                    keep.append(raw[done : start[k]])
+                    done = int(end[k])
+                texts[i] = b"".join([*keep, raw[done:]]).decode("utf-8", "ignore")
+        return left.set_column(text, left.field(text), pa.array(texts, left.field(text).type))
+
+    return run
+
+
+def without_repeats(docs: DataFrame, width: int = 50, key: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
+    """``docs`` with the rest of each text; other columns, and rows without a key, as they were.
+
+    Bytes of characters that were cut in two are left out. Rows travel once, to the spans that go.
+    """
+    spans, parts = _removed(_keyed(docs, key, text), width, part)
+    group = fresh_name(docs, "docs")
+    placed = docs.mapInArrow(_grouped(key, parts, group), T.StructType([*docs.schema.fields, T.StructField(group, T.LongType())]))
+    at = [docs.columns.index(key), docs.columns.index(text)]
+    return placed.groupBy(group).cogroup(spans.groupBy("docs")).applyInArrow(_cut(*at), docs.schema)

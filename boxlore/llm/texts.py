@@ -14,7 +14,16 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-_POWERS: dict[int, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """A cache that stays where it was filled: it is sent to tasks empty."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_POWERS = _Kept()
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -30,9 +39,12 @@ def powers(base: int, n: int) -> np.ndarray:
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Bit mixer for 64-bit numbers."""
     x = x + U64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x ^= x >> U64(30)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 @dataclass
@@ -87,7 +99,10 @@ def prefix(buf: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Prefix sums from which :func:`span_hash` takes the hash of any span."""
     out = np.empty(len(buf) + 1, U64)
     out[0] = 0
-    np.cumsum((buf.astype(U64) + U64(1)) * powers(base, len(buf))[: len(buf)], out=out[1:])
+    rest = out[1:]
+    np.add(buf, U64(1), out=rest, dtype=U64, casting="unsafe")
+    rest *= powers(base, len(buf))[: len(buf)]
+    np.cumsum(rest, out=rest)
     return out
 
 
@@ -97,6 +112,13 @@ def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _
     return (pre[end] - pre[start]) * powers(inverse, len(pre))[start]
 
 
+def window_hash(pre: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
+    """:func:`span_hash` of all spans of ``size`` bytes, without index arrays."""
+    out = pre[size:] - pre[: len(pre) - size]
+    out *= powers(pow(base, -1, 2**64), len(pre))[: len(out)]
+    return out
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word: runs of bytes other than blank and 0x09-0x0D."""
     solid = (buf != 32) & ((buf < 9) | (buf > 13))
