@@ -4,9 +4,9 @@ Windows of a document that are as long as a benchmark item get SimHash fingerpri
 within a radius are found by equal blocks of bits (with one block more than the radius, two
 fingerprints that near must agree in a whole block); an exact weighted-shingle similarity decides.
 
-A window can only be similar if it shares a shingle with the item. So windows are placed where a
-shared shingle puts the item: no other start can pass. Equal windows of many documents are
-fingerprinted and verified once.
+A window can only be similar if it shares a shingle with the item. So windows are placed where
+shared shingles put the item: words that were put in or left out give two starts, and both are
+tried. Equal windows of many documents are fingerprinted and verified once.
 """
 
 from __future__ import annotations
