@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from boxlore.session import Scratch
 
-RECURS = 5  # pages of a host that make a subtree a template
+RECURS = 5  # distinct pages of a host that a template stands on at least,
+SHARE = 0.5  # and their share of the host's distinct pages
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -123,7 +124,7 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def hash_subtrees(root: Node) -> None:
-    """Digest of each element: name, attributes and content, white space squeezed."""
+    """Digest of each element: name, attributes and content, white space squeezed; size is that of the text without noise."""
     for node, out in _walk(root):
         if out:
             h = blake2b(node.tag.encode(), digest_size=8)
@@ -137,6 +138,8 @@ def hash_subtrees(root: Node) -> None:
                     node.size += len(words)
                     h.update(b"\1" + words.encode("utf-8", "surrogatepass"))
             node.digest = int.from_bytes(h.digest(), "little", signed=True)
+            if _noise(node, True):
+                node.size = 0
 
 
 def _noise(node: Node, in_article: bool) -> bool:
@@ -171,7 +174,8 @@ def main_roots(root: Node) -> list[Node]:
 
 
 def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]:
-    """Texts of blocks in page order without noise and templates."""
+    """Texts of blocks in page order without noise and templates; one that holds most of the page's text stays whole."""
+    most = sum(top.size for top in roots)
     out: list[str] = []
     run: list[str] = []
 
@@ -184,13 +188,19 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]
     for top in roots:
         article = top.tag == "article" or top.tag == "main" or top.attrs.get("role") == "main"
         todo: list[Node | str | None] = [top]
+        whole = 0  # length of todo below a subtree that stays whole
         while todo:
             node = todo.pop()
+            if len(todo) < whole:
+                whole = 0
+            found = isinstance(node, Node) and not whole and not article and node is not top and node.digest in templates
+            if found and 2 * node.size > most:
+                found, whole = False, len(todo) + 1
             if node is None:
                 flush()
             elif isinstance(node, str):
                 run.append(node)
-            elif node is not top and (_noise(node, article) or not article and node.digest in templates):
+            elif node is not top and (found or _noise(node, article)):
                 if node.tag in BLOCK:
                     flush()
             else:
@@ -208,22 +218,28 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the block elements of each page outside its article, each once."""
+    """Digest of each page's text, and of its block elements outside its article, each once."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            sets = []
+            texts, sets = [], []
             for page in part.column("html").to_pylist():
                 root = parse(page or "")
                 hash_subtrees(root)
-                article = [k for r in main_roots(root) if r is not root for k, out in _walk(r) if out]
+                roots = main_roots(root)
+                text = "\n\n".join(blocks(roots, frozenset()))
+                texts.append(int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+                article = [k for r in roots if r is not root for k, out in _walk(r) if out]
                 inside = set(map(id, article))
                 seen: set[int] = set()
                 for node, out in _walk(root):
-                    if out and node.size and node.tag in BLOCK and id(node) not in inside:
+                    if out and node.size and node.tag in BLOCK and node.tag not in ("html", "body") and id(node) not in inside:
                         seen.add(node.digest)
                 sets.append(sorted(seen))
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("host"), pa.array(sets, pa.list_(pa.int64()))], names=["page_id", "host", "hashes"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("site"), pa.array(texts, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                names=["page_id", "site", "content", "hashes"],
+            )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,24 +259,32 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def extract(pages: DataFrame, own: Scratch, recurs: int = RECURS, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def extract(pages: DataFrame, own: Scratch, recurs: int = RECURS, share: float = SHARE, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Per page: ``page_id, url, text, n_chars``.
 
     Blocks of text in page order joined by an empty line; null, empty and text-less pages give an
     empty text. The main part is the page's articles, else its main element; there the elements
     that are never article text go. A page with neither is stripped of its host's templates:
-    block elements whose whole subtree stands, outside any article, on at least ``recurs`` pages of
-    the host. A subtree twice on a page counts once; rows that share a key count each. Inside an
-    article nothing is taken for a template, because copies and quoted lines recur there as well.
+    block elements whose whole subtree stands, outside any article, on at least ``recurs`` and a
+    ``share`` of the host's pages. Pages of one text are one page, whatever their keys. Neither the
+    body nor an element with most of the page's text is taken for a template, nor anything on a
+    page without a host. Inside an article nothing is taken for a template, because copies and
+    quoted lines recur there as well.
     """
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     base = pages.select(
         F.col(key).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"),
-        F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
+        F.when(host != "", F.xxhash64(host)).alias("site"),
     )
-    trees = own.keep(base.select("page_id", "host", "html").mapInArrow(_subtrees, "page_id bigint, host string, hashes array<bigint>").where(F.size("hashes") > 0))
-    each = trees.select("page_id", "host", F.explode("hashes").alias("h"))
-    templates = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= recurs).select("host", "h")
-    gone = each.join(templates, ["host", "h"]).groupBy("page_id").agg(F.collect_set("h").alias("gone"))
+    schema = "page_id bigint, site bigint, content bigint, hashes array<bigint>"
+    trees = own.keep(base.where("site IS NOT NULL").select("page_id", "site", "html").mapInArrow(_subtrees, schema))
+    sites = trees.groupBy("site").agg(F.count_distinct("content").alias("pages"))
+    each = trees.select("site", "content", F.explode("hashes").alias("h"))
+    often = each.groupBy("site", "h").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= recurs)
+    # At most blocks of a page / share for each site, so a site's templates are one row.
+    templates = often.join(sites, "site").where(F.col("n") >= share * F.col("pages")).groupBy("site").agg(F.collect_list("h").alias("known"))
+    gone = trees.join(templates, "site").select("page_id", "site", F.explode(F.array_intersect("hashes", "known")).alias("h"))
+    gone = gone.groupBy("page_id", "site").agg(F.collect_set("h").alias("gone"))
     # One plan at every size; a page's set is no longer than the page.
-    joined = base.drop("host").join(gone.hint("merge"), "page_id", "left").select("page_id", "url", "html", "gone")
+    joined = base.join(gone.hint("merge"), ["page_id", "site"], "left").select("page_id", "url", "html", "gone")
     return joined.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

@@ -63,6 +63,26 @@ def test_templates_of_a_host(spark, own):
     assert main_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string"), own).count() == 0
 
 
+def texts_of(spark, own, pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    return [r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), own).orderBy("page_id").collect()]
+
+
+def test_templates_are_a_share_of_distinct_pages(spark, own):
+    site = "<div><p>Site notice for all</p></div>"
+    own_text = lambda i: f"own words of the page number {i} and some more of them"
+    pages = [("http://big.example/", f"<body>{site}<p>{own_text(i)}</p>{'<h2>Often</h2>' if i < 8 else ''}</body>") for i in range(40)]
+    got = texts_of(spark, own, pages)
+    assert got[0] == own_text(0) + "\n\nOften" and got[30] == own_text(30)
+    # copies are one page, under one key or many; pages without a host, or on a relative url, are no host
+    copy = "<body><p>copied words one</p><p>copied words two</p></body>"
+    assert texts_of(spark, own, [("http://copy.example/", f"<!-- {i} -->{copy}") for i in range(9)]) == ["copied words one\n\ncopied words two"] * 9
+    assert texts_of(spark, own, [(u, f"<body>{site}<p>{i}</p></body>") for i, u in enumerate([None, "/a", "b", "", None, "/c"])])[0] == "Site notice for all\n\n0"
+    # what holds most of a page stays whole
+    most = "<div><p>a long text that every page holds</p><p>and another part of that text</p></div>"
+    assert texts_of(spark, own, [("http://most.example/", f"<body>{most}<p>{i}</p></body>") for i in range(6)])[0].startswith("a long text that every page holds\n\nand another")
+
+
 @pytest.mark.parametrize("chunk,pivots", [(2048, 24), (7, 3)])
 def test_vector_links(spark, own, chunk, pivots):
     rng = np.random.default_rng(4)
