@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +56,7 @@ class Node:
     kids: list[Node | str] = field(default_factory=list)
     digest: int = 0
     size: int = 0
+    place: int = 0
 
 
 def parse(page: str) -> Node:
@@ -124,10 +126,15 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def hash_subtrees(root: Node) -> None:
-    """Digest of each element: name, attributes and content, white space squeezed; size is that of the text without noise."""
+    """Digest of each element: name, attributes and content, white space squeezed, and the names of
+    the elements around it; size is that of the text without noise."""
     for node, out in _walk(root):
-        if out:
-            h = blake2b(node.tag.encode(), digest_size=8)
+        if not out:
+            for k in node.kids:
+                if isinstance(k, Node):
+                    k.place = crc32(k.tag.encode("utf-8", "surrogatepass"), node.place)
+        else:
+            h = blake2b(f"{node.place} {node.tag}".encode("utf-8", "surrogatepass"), digest_size=8)
             h.update(repr(sorted(node.attrs.items())).encode("utf-8", "surrogatepass"))
             for k in node.kids:
                 if isinstance(k, Node):
@@ -193,7 +200,7 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]
             node = todo.pop()
             if len(todo) < whole:
                 whole = 0
-            found = isinstance(node, Node) and not whole and not article and node is not top and node.digest in templates
+            found = isinstance(node, Node) and not whole and node is not top and node.digest in templates
             if found and 2 * node.size > most:
                 found, whole = False, len(todo) + 1
             if node is None:
@@ -218,7 +225,7 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int]) -> list[str]
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of each page's text, and of its block elements outside its article, each once."""
+    """Digest of each page's text, and of its block elements that are no noise, each once."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -229,12 +236,15 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 roots = main_roots(root)
                 text = "\n\n".join(blocks(roots, frozenset()))
                 texts.append(int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-                article = [k for r in roots if r is not root for k, out in _walk(r) if out]
-                inside = set(map(id, article))
+                tops = set(map(id, roots))
                 seen: set[int] = set()
-                for node, out in _walk(root):
-                    if out and node.size and node.tag in BLOCK and node.tag not in ("html", "body") and id(node) not in inside:
-                        seen.add(node.digest)
+                todo = [root]
+                while todo:
+                    node = todo.pop()
+                    if node.size:  # neither noise nor empty
+                        if node.tag in BLOCK and node.tag not in ("html", "body") and id(node) not in tops:
+                            seen.add(node.digest)
+                        todo.extend(k for k in node.kids if isinstance(k, Node))
                 sets.append(sorted(seen))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("site"), pa.array(texts, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
@@ -250,7 +260,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist(), strict=True):
                 root = parse(page or "")
                 roots = main_roots(root)
-                if roots == [root]:
+                if gone:
                     hash_subtrees(root)
                 texts.append("\n\n".join(blocks(roots, set(gone or ()))))
             yield pa.RecordBatch.from_arrays(
@@ -263,13 +273,12 @@ def extract(pages: DataFrame, own: Scratch, recurs: int = RECURS, share: float =
     """Per page: ``page_id, url, text, n_chars``.
 
     Blocks of text in page order joined by an empty line; null, empty and text-less pages give an
-    empty text. The main part is the page's articles, else its main element; there the elements
-    that are never article text go. A page with neither is stripped of its host's templates:
-    block elements whose whole subtree stands, outside any article, on at least ``recurs`` and a
-    ``share`` of the host's pages. Pages of one text are one page, whatever their keys. Neither the
-    body nor an element with most of the page's text is taken for a template, nor anything on a
-    page without a host. Inside an article nothing is taken for a template, because copies and
-    quoted lines recur there as well.
+    empty text. The main part is the page's articles, else its main element, else the page; there
+    the elements that are never article text go, and the host's templates: block elements whose
+    whole subtree stands under elements of the same names on at least ``recurs`` and a ``share`` of
+    the host's pages. Pages of one text are one page, whatever their keys, so copied articles stay.
+    Neither the body, the main part, nor an element with most of the page's text is taken for a
+    template, nor anything on a page without a host.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     base = pages.select(

@@ -83,6 +83,18 @@ def test_templates_are_a_share_of_distinct_pages(spark, own):
     assert texts_of(spark, own, [("http://most.example/", f"<body>{most}<p>{i}</p></body>") for i in range(6)])[0].startswith("a long text that every page holds\n\nand another")
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_templates_inside_the_main_part(spark, own, tag):
+    box = "<div><p>Join our list</p></div>"
+    quote = "<p>To be or not</p>"
+    own_text = lambda i: f"own words of the page number {i} and some more of them"
+    pages = [("http://in.example/", f"<body><{tag}><p>{own_text(i)}</p>{quote if i < 8 else ''}{box}</{tag}></body>") for i in range(20)]
+    pages += [("http://in.example/copy", pages[0][1])] * 30
+    got = texts_of(spark, own, pages)
+    assert got[:8] == [own_text(i) + "\n\nTo be or not" for i in range(8)] and got[8:20] == [own_text(i) for i in range(8, 20)]
+    assert got[20:] == got[:1] * 30
+
+
 @pytest.mark.parametrize("chunk,pivots", [(2048, 24), (7, 3)])
 def test_vector_links(spark, own, chunk, pivots):
     rng = np.random.default_rng(4)
