@@ -5,7 +5,8 @@ smallest gram hash inside it, so it depends on nothing but the string. A phrase
 of string starts that share one trigger, plus the 49 bytes that complete its last string:
 neighbouring phrases overlap, every string start lies in exactly one phrase, and equal strings
 always lie in phrases of the same trigger. The dictionary (distinct phrases, and where they
-occur) is dealt out by trigger; each part sorts its suffixes by their first 50 bytes and takes
+occur) is dealt out by trigger; triggers are counted first, and the strings of a hot one are dealt out
+by their next smallest gram hashes as well, which equal strings share too; each part sorts its suffixes by their first 50 bytes and takes
 the smallest document of every run of equals; the parse (occurrences) carries that back to texts.
 """
 
@@ -27,6 +28,8 @@ GRAM = 8
 _PLACE = 30  # low bits of a trigger key hold its place in the slice
 SLICE = 1 << 20  # bytes of text that are cut into phrases at a time
 PART = 4 << 20  # bytes of text per dictionary part and per group of documents
+HOT = 4  # a trigger with string starts for more parts than this is dealt out by the next smallest gram hash,
+LEVELS = 3  # and what is left of it by the next one, so many times
 
 
 def _phrases(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +62,71 @@ def _phrases(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     return start, np.flatnonzero(last), g[trigger[start]]
 
 
-def _dictionary(parts: int, width: int):
+def _starts(share: float, width: int, hot: list[np.ndarray]):
+    """String starts of each trigger that has half a ``share`` of a task's starts, at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count, held, total = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate([key, *[k for k, _ in held]])
+            which, place = np.unique(keys, return_inverse=True)
+            return which, np.bincount(place, np.concatenate([count, *[n for _, n in held]]), len(which)).astype(np.int64)
+
+        for s in slices(batches, SLICE):
+            start, last, trigger = _cut_hot(s.buf, *_phrases(s.buf, s.off, width), hot, width)
+            which, place = np.unique(trigger, return_inverse=True)
+            n = np.bincount(place, last - start + 1, len(which)).astype(np.int64)
+            total += int(n.sum())
+            # Rare ones of a slice are left out: this bounds memory, and a count only decides how work is dealt.
+            held.append((which[n * 4 >= share * n.sum()], n[n * 4 >= share * n.sum()]))
+            if len(held) == 64:
+                key, count = merged()
+                held = []
+        key, count = merged()
+        many = count * 2 >= share * total
+        yield pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(count[many])], names=["trigger", "n"])
+
+    return run
+
+
+def _next_gram(buf: np.ndarray, start: np.ndarray, width: int, rank: int) -> np.ndarray:
+    """The gram hash of each string that ``rank`` others are smaller than; it depends on nothing but the string."""
+    gram = min(GRAM, width)
+    out = np.empty(len(start), U64)
+    low = U64((1 << _PLACE) - 1)
+    for at in range(0, len(start), 1 << 13):
+        p = start[at : at + (1 << 13)]
+        first = int(p[0])
+        g = mix(window_hash(prefix(buf[first : int(p[-1]) + width]), gram))
+        near = np.lib.stride_tricks.sliding_window_view(g, width - gram + 1)[p - first] & ~low
+        for _ in range(rank):
+            near[near == near.min(axis=1, keepdims=True)] = ~low
+        out[at : at + len(p)] = near.min(axis=1)
+    return out
+
+
+def _cut_hot(buf: np.ndarray, start: np.ndarray, last: np.ndarray, trigger: np.ndarray, hot: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of the hot triggers of each level, cut where the next gram hash changes; both make the new trigger."""
+    for rank, keys in enumerate(hot, 1):
+        mine = np.isin(trigger, keys)
+        if not mine.any():
+            continue
+        many = last[mine] - start[mine] + 1
+        p = ranges(start[mine], many)
+        both = mix(np.repeat(trigger[mine], many) ^ mix(_next_gram(buf, p, width, rank)), rank)
+        new = np.ones(len(p), bool)
+        new[1:] = both[1:] != both[:-1]
+        new[np.cumsum(many) - many] = True
+        lead = np.flatnonzero(new)
+        tail = np.r_[lead[1:], len(p)] - 1
+        start, last, trigger = np.r_[start[~mine], p[lead]], np.r_[last[~mine], p[tail]], np.r_[trigger[~mine], both[lead]]
+        order = np.argsort(start, kind="stable")
+        start, last, trigger = start[order], last[order], trigger[order]
+    return start, last, trigger
+
+
+def _dictionary(parts: int, width: int, hot: list[np.ndarray]):
     """Distinct phrases of each slice with their occurrences, packed by dictionary part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +134,7 @@ def _dictionary(parts: int, width: int):
             start, last, trigger = _phrases(s.buf, s.off, width)
             if not len(start):
                 continue
+            start, last, trigger = _cut_hot(s.buf, start, last, trigger, hot, width)
             length = last - start + width
             doc = np.searchsorted(s.off, start, side="right") - 1
             ids, place = s.ids[doc], start - s.off[doc]
@@ -235,7 +303,15 @@ def _removed(base: DataFrame, width: int, part: int) -> tuple[DataFrame, int]:
     """Spans to remove, packed by group of documents, and the number of groups."""
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, int(size // part))
-    phrases = base.mapInArrow(_dictionary(parts, width), "part bigint, blob binary")
+    share, hot = HOT * part / max(size, 1), []
+    while len(hot) < LEVELS:
+        counted = base.mapInArrow(_starts(share, width, hot), "trigger bigint, n bigint").groupBy("trigger").agg(F.sum("n").alias("n"))
+        # Starts are no more than bytes: no more hot triggers than parts.
+        found = counted.where(F.col("n") >= share * size).select("trigger").toArrow()["trigger"].to_numpy()
+        if not len(found):
+            break
+        hot.append(np.sort(found.astype(np.int64).view(U64)))
+    phrases = base.mapInArrow(_dictionary(parts, width, hot), "part bigint, blob binary")
     return phrases.groupBy("part").applyInArrow(_decide(parts, width), "docs bigint, blob binary"), parts
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,27 @@ def test_span_dedup(docs, rows, part):
     assert sum(g > 0 for _, g, _, _ in want.values()) > 10
 
 
+def test_span_dedup_deals_out_a_hot_trigger(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    grams = rng.choice(letters, (20000, 8))
+    hashes = texts.mix(texts.window_hash(texts.prefix(grams.reshape(-1)), 8)[::8])
+    hot = grams[hashes.argmin()].tobytes().decode()  # it is the trigger of every string around it
+    data = [(i, "".join(rng.choice(letters, 20).tobytes().decode() + hot for _ in range(30)), None, None, None, None) for i in range(100)]
+    data += [(100 + i, "x" + data[i][1][7:400], None, None, None, None) for i in range(40)]
+    frame = spark.createDataFrame(data, DOCS)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in span_dedup.remove_repeats(frame, part=4096).collect()}
+    assert got == {i: (g, s) for i, (_, g, s, _) in removed(data).items()} and got[100][0] > 300
+    unpack = store.unpack
+
+    def sizes(parts, width):
+        return lambda table: pa.table({"docs": [sum(len(unpack(b)[3]) for b in table["blob"].to_pylist())], "blob": [b""]})
+
+    monkeypatch.setattr(span_dedup, "_decide", sizes)
+    group = [r.docs for r in span_dedup._removed(frame.select("doc_id", "text"), 50, 4096)[0].collect()]
+    assert max(group) < sum(group) / 5
+
+
 def test_span_dedup_of_repeated_bytes(spark):
     data = [(3, "ab" * 100, None, None, None, None), (1, "ab" * 40, None, None, None, None), (2, "b" + "ab" * 30, None, None, None, None), (None, "ab" * 90, None, None, None, None)]
     frame = spark.createDataFrame(data, DOCS)
