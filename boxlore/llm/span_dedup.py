@@ -6,8 +6,9 @@ of string starts that share one trigger, plus the 49 bytes that complete its las
 neighbouring phrases overlap, every string start lies in exactly one phrase, and equal strings
 always lie in phrases of the same trigger. The dictionary (distinct phrases, and where they
 occur) is dealt out by trigger; triggers are counted first, and the strings of a hot one are dealt out
-by their next smallest gram hashes as well, which equal strings share too; each part sorts its suffixes by their first 50 bytes and takes
-the smallest document of every run of equals; the parse (occurrences) carries that back to texts.
+by their next smallest gram hashes as well, which equal strings share too. No suffix
+array is built: each part groups the 64-bit hashes of its 50-byte strings and takes the smallest
+document of every group; the occurrences carry that back to texts.
 """
 
 from __future__ import annotations
