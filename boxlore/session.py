@@ -83,16 +83,20 @@ class Scratch:
 _OPEN: list[Scratch] = []
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Keep ``df`` as a table until :func:`release`; for results that are read after the call."""
-    spark = df.sparkSession
+def owner(spark: SparkSession) -> Scratch:
+    """The owner of tables that live until :func:`release`; for results that are read after the call."""
     if not _OPEN or _OPEN[-1].spark is not spark:
         _OPEN.append(Scratch(spark))
-    return _OPEN[-1].keep(df)
+    return _OPEN[-1]
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Keep ``df`` as a table until :func:`release`."""
+    return owner(df.sparkSession).keep(df)
 
 
 def release(spark: SparkSession) -> None:
-    """Drop every table that :func:`materialise` wrote for this session.
+    """Drop every table of the :func:`owner` of this session.
 
     Call it when the results that were built on them have been written or collected.
     """
