@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boxlore.llm import decontaminate, language_model, main_text, near_dedup, packing, quality, span_dedup, token_file, toxicity, vector_dedup
-from boxlore.session import Scratch
+from boxlore.llm import decontaminate, language_model, main_text, near_dedup, packing, quality, sharding, span_dedup, token_file, toxicity, vector_dedup
+from boxlore.session import owner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,7 +52,7 @@ links AS (SELECT a, b FROM shared JOIN nodes p ON p.id = a JOIN nodes q ON q.id
 SELECT nodes.id AS doc_id, CAST(n AS BIGINT) AS n_shingles, min(b) AS component_id, nodes.id = min(b) AS kept
 FROM nodes JOIN reach ON reach.a = nodes.id GROUP BY nodes.id, n""")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups(_table(spark, sf_dir, "documents"), Scratch(spark), percent=85, bands=25, rows=5)
+    return near_dedup.groups(_table(spark, sf_dir, "documents"), owner(spark), percent=85, bands=25, rows=5)
 
 
 @query(f"""
@@ -68,7 +69,7 @@ n AS (SELECT a, count(*) AS k FROM links GROUP BY a)
 SELECT nodes.id AS vec_id, CAST(coalesce(max(n.k), 0) AS BIGINT) AS n_links, min(reach.b) AS component_id, nodes.id = min(reach.b) AS kept
 FROM nodes JOIN reach ON reach.a = nodes.id LEFT JOIN n ON n.a = nodes.id GROUP BY nodes.id""")
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.links(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+    return vector_dedup.links(_table(spark, sf_dir, "embeddings"), owner(spark))
 
 
 @query(r"""
@@ -102,7 +103,7 @@ def tokenizer_path() -> str:
 
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), Scratch(spark), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), owner(spark), tokenizer_path())
 
 
 @query()
@@ -117,19 +118,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text.extract(_table(spark, sf_dir, "pages"), Scratch(spark))
+    return main_text.extract(_table(spark, sf_dir, "pages"), owner(spark))
 
 
 @query()
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.scores(_table(spark, sf_dir, "documents"), Scratch(spark))
+    return language_model.scores(_table(spark, sf_dir, "documents"), owner(spark))
 
 
 @query()
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark))
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), owner(spark))
 
 
 @query()
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file.digest(token_file.write(_table(spark, sf_dir, "documents"), Scratch(spark), tokenizer_path()))
+    return token_file.digest(token_file.write(_table(spark, sf_dir, "documents"), owner(spark), tokenizer_path()))
+
+
+@query()
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), owner(spark), 24)
+    return placed.select(
+        F.col("key").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), F.col("version").alias("map_version"),
+    )
