@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlore.llm import decontaminate, language_model, main_text, near_dedup, packing, phrases, quality, sharding, span_dedup, token_file, toxicity, vector_dedup
+from boxlore.llm import decontaminate, language_model, main_text, near_dedup, packing, phrases, prefix_trie, quality, sharding, span_dedup, token_file, toxicity, vector_dedup
 from boxlore.session import owner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,30 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"), owner(spark))
+
+
+@query(r"""
+WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+convs AS (
+  SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda s, x: xor(s >> 8, t[CAST((xor(s, x) & 255) + 1 AS INTEGER)])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), bits),
+turns AS (
+  SELECT conv_id AS c, d, b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS k
+  FROM (SELECT conv_id, turn, strlen(coalesce(text, '')) AS b, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL)),
+rebuilt AS (
+  SELECT convs.c, 0 AS part, k, d, b FROM convs JOIN turns ON turns.c = base AND k <= h
+  UNION ALL SELECT convs.c, 1, k, d, b FROM convs JOIN turns ON turns.c = convs.c AND k > h),
+prefixes AS (SELECT c, string_agg(d, '') OVER w AS p, row_number() OVER w AS depth, b FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, k ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT * FROM prefixes UNION ALL SELECT c, '', 0, 0 FROM convs),
+nodes AS (SELECT p, depth, min(c) AS conv_id, count(*) AS n, any_value(b) AS b FROM members GROUP BY p, depth),
+kids AS (SELECT substr(p, 1, 32 * (depth - 1)) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+above AS (SELECT substr(p, 1, 32 * a) AS p, n, b, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM full_nodes)),
+sums AS (SELECT p, sum((n - 1) * b) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM above GROUP BY p),
+ending AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(p, depth) AS p FROM members GROUP BY c) GROUP BY p)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, y.conv_id AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(x.n_children AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes x JOIN sums USING (p) LEFT JOIN ending USING (p) LEFT JOIN nodes y ON y.depth = x.depth - 1 AND y.p = substr(x.p, 1, 32 * (x.depth - 1))""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuild(_table(spark, sf_dir, "conversations")), owner(spark))
