@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlore.llm.store import gaps, pack, unpack
+from boxlore.llm.store import gaps, pack, small_batches, unpack
 from boxlore.llm.texts import _BASE2, U64, Slice, mix, prefix, ranges, slices, span_hash
 from boxlore.session import Scratch
 
 SHARDS = 10
-UNIT = 8 << 20  # bytes of text whose phrases one group of the first pass holds, about
-HELD = 6_000_000  # hashes a task of the first pass holds before it counts and sends them
-DISTINCT = 1_500_000  # phrases a task of the second pass holds
+UNIT = 4 << 20  # bytes of text whose phrases one group of the first pass holds, about
+HELD = 2_000_000  # hashes a task of the first pass holds before it counts and sends them
+DISTINCT = 500_000  # phrases a task of the second pass holds
 FILTER_BITS = 1 << 28
 PROBES = 4
 _LOW60 = U64((1 << 60) - 1)
@@ -101,7 +101,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[_Words, np.ndarra
         number = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         hashes = np.array([_lang_hash(x) for x in names], U64)
         at = 0
-        for s in slices([batch], 3 << 20, key="shard"):
+        for s in slices([batch], 1 << 20, key="shard"):
             words = _Words(s)
             if len(words):
                 doc = number[at : at + len(s)][words.doc]
@@ -118,7 +118,11 @@ def _hashes(parts: int, longest: int, most: int):
     """First pass: rows ``unit, blob`` of counted hashes, a unit being a range of a shard's hashes."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, count = np.unique(np.concatenate(held), return_counts=True)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        count, key = np.diff(first, append=len(every)), every[first]
         low = key & _LOW60
         unit = (key >> U64(60)).astype(np.int64) * parts + _part(low, parts)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
@@ -132,7 +136,6 @@ def _hashes(parts: int, longest: int, most: int):
                 held.append((shard[at].astype(U64) << U64(60)) | (h >> U64(4)))
             if sum(map(len, held)) > most:
                 yield flush(held)
-                held = []
         if held:
             yield flush(held)
 
@@ -289,11 +292,13 @@ def frequent(docs: DataFrame, own: Scratch, support: int = 30, longest: int = 4,
     parts = max(1, -(-size // (shards * unit)))
     local = max(1, -(-support // shards))
     units = rows.mapInArrow(_hashes(parts, longest, held), "unit bigint, blob binary").groupBy("unit")
-    mined = own.keep(units.applyInArrow(_mine(parts, local), "part bigint, n bigint, blob binary"))
+    with small_batches(spark):
+        mined = own.keep(units.applyInArrow(_mine(parts, local), "part bigint, n bigint, blob binary"))
     found, bits = _candidates(mined, parts)
     sent = spark.sparkContext.broadcast(found)
     counted = rows.mapInArrow(_counts(sent, parts, bits, longest, distinct), "lang string, phrase string, k int, f bigint")
-    return own.keep(counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= support)))
+    with small_batches(spark):
+        return own.keep(counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= support)))
 
 
 def rank(found: DataFrame, top: int = 2000, cover: int = 80) -> DataFrame:

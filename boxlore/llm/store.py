@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from boxlore.llm.texts import U64, mix, ranges, slices
 
@@ -43,6 +44,23 @@ def gaps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20):
+    """Whole texts go to Python in batches of at most ``rows`` while this holds, for jobs run inside it.
+
+    A batch of ten thousand texts lies in memory outside the heap several times over.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores in front as make it new to ``df``."""
     taken = {c.lower() for c in df.columns}
