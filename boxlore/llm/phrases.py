@@ -29,8 +29,8 @@ from boxlore.llm.texts import _BASE2, U64, Slice, mix, prefix, ranges, slices, s
 from boxlore.session import Scratch
 
 SHARDS = 10
-UNIT = 4 << 20  # bytes of text whose phrases one group of the first pass holds, about
-HELD = 2_000_000  # hashes a task of the first pass holds before it counts and sends them
+UNIT = 2 << 20  # bytes of text whose phrases one group of the first pass holds, about
+HELD = 1_000_000  # hashes a task of the first pass holds before it counts and sends them
 DISTINCT = 500_000  # phrases a task of the second pass holds
 FILTER_BITS = 1 << 28
 PROBES = 4
@@ -101,7 +101,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[_Words, np.ndarra
         number = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         hashes = np.array([_lang_hash(x) for x in names], U64)
         at = 0
-        for s in slices([batch], 1 << 20, key="shard"):
+        for s in slices([batch], 1 << 19, key="shard"):
             words = _Words(s)
             if len(words):
                 doc = number[at : at + len(s)][words.doc]
