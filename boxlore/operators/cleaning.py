@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlore.functions import geometry as G
 from boxlore.functions.scalars import l2_normalise
+from boxlore.operators.ranking import ranked
+from boxlore.session import materialise
 
-# Centroid matrices up to this many numbers (256 MB as doubles) travel to the tasks at once.
-MAX_NUMBERS = 32_000_000
+# Numbers of a block of references, and of a slice of crops, that a task holds: 32 MB as doubles.
+MAX_NUMBERS = 4_000_000
 
 
 def reference_centroid(views: DataFrame) -> DataFrame:
@@ -28,24 +28,31 @@ def reference_centroid(views: DataFrame) -> DataFrame:
     return vectors.select("category_id", l2_normalise(F.transform("m", lambda s: s["v"])).alias("centroid"))
 
 
-def _score_block(ids: np.ndarray, matrix: np.ndarray, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            vectors = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            sims = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0) @ matrix.T
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            own = {c: i for i, c in enumerate(ids.tolist())}
-            at = np.array([own.get(c, -1) for c in pdf["gt_cat"].tolist()])
-            rows = np.arange(len(pdf))
-            gt = np.where(at >= 0, sims[rows, np.maximum(at, 0)], np.nan)
-            yield pd.DataFrame({
-                "ann_id": pdf["ann_id"], "gt_cat": pdf["gt_cat"],
-                "gt_sim": pd.Series(gt).where(at >= 0, None),
-                "cats": list(ids[top].astype(np.int32)), "sims": list(np.take_along_axis(sims, top, axis=1)),
-            })
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def _score_block(k: int):
+    """Best ``k`` references of a block for each crop of a slice, and the crop's own one if the block has it."""
+
+    def run(key, crops: pa.Table, block: pa.Table) -> pa.Table:
+        if not len(crops) or not len(block):
+            return pa.table({"ann_id": pa.array([], pa.int64()), "gt_cat": pa.array([], pa.int32()), "gt_sim": pa.array([], pa.float64()), "cats": pa.array([], pa.list_(pa.int32())), "sims": pa.array([], pa.list_(pa.float64()))})
+        block = block.sort_by("category_id")
+        ids, vectors = block.column("category_id").to_numpy(), _matrix(crops.column("embedding"))
+        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        sims = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0) @ _matrix(block.column("centroid")).T
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        own = crops.column("gt_cat").to_pylist()
+        known = {c: i for i, c in enumerate(ids.tolist())}
+        at = np.array([known.get(c, -1) for c in own])
+        ends = pa.array(np.arange(len(crops) + 1) * top.shape[1], pa.int32())
+        return pa.table({
+            "ann_id": crops.column("ann_id"), "gt_cat": crops.column("gt_cat"), "gt_sim": pa.array(sims[np.arange(len(crops)), np.maximum(at, 0)], mask=at < 0),
+            "cats": pa.ListArray.from_arrays(ends, pa.array(ids[top].reshape(-1).astype(np.int32))), "sims": pa.ListArray.from_arrays(ends, pa.array(np.take_along_axis(sims, top, axis=1).reshape(-1))),
+        })
+
     return run
 
 
@@ -53,28 +60,26 @@ def topk_similarity(crops: DataFrame, centroids: DataFrame, k: int = 3, max_numb
     """Similarity rows per crop: own similarity (-1 without a reference), best ``k`` classes, suspicion.
 
     Suspicion is the best similarity minus the own one; equal similarities order by class id.
-    The centroid matrix is sent out in blocks of checked size; with more than one block the
-    per-block winners are merged per crop.
+    References are numbered into blocks and crops dealt into slices, each of at most
+    ``max_numbers`` numbers; every slice meets every block in a task of its own, and the winners of
+    the blocks are merged per crop. Nothing of either side passes the driver.
     """
-    dim = centroids.select(F.size("centroid")).first()
-    if dim is None:
+    spark = crops.sparkSession
+    centroids = materialise(centroids.select("category_id", "centroid"))
+    shape = centroids.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("dim")).first()
+    if not shape.n:
         raise ValueError("no reference centroids")
-    per_block = max(1, max_numbers // dim[0])
-    n_blocks = -(-centroids.count() // per_block)
-    rows = crops.select("ann_id", F.col("category_id").alias("gt_cat"), F.col("embedding").cast("array<double>").alias("embedding"))
-    schema = "ann_id bigint, gt_cat int, gt_sim double, cats array<int>, sims array<double>"
-    parts = None
-    for block in range(n_blocks):
-        mine = centroids if n_blocks == 1 else centroids.where(F.pmod("category_id", F.lit(n_blocks)) == block)
-        ids, vectors = [], []
-        for r in mine.toLocalIterator():  # at most max_numbers values, checked above
-            ids.append(r.category_id)
-            vectors.append(r.centroid)
-        if not ids:
-            continue
-        order = np.argsort(ids)
-        part = rows.mapInPandas(_score_block(np.array(ids)[order], np.array(vectors)[order], k), schema)
-        parts = part if parts is None else parts.unionByName(part)
+    per_block = max(1, max_numbers // shape.dim)
+    n_blocks = -(-shape.n // per_block)
+    n_slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-crops.count() * shape.dim // max_numbers))
+    blocks = centroids.withColumn("_block", F.lit(0))
+    if n_blocks > 1:
+        blocks = ranked(centroids, [], [F.col("category_id").asc()], rank="_rank").withColumn("_block", F.floor((F.col("_rank") - 1) / per_block).cast("int")).drop("_rank")
+    rows = crops.select("ann_id", F.col("category_id").cast("int").alias("gt_cat"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.withColumn("_slice", F.pmod(F.xxhash64("ann_id", "embedding"), F.lit(n_slices)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    every = blocks.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
+    met = rows.groupBy("_slice", "_block").cogroup(every.groupBy("_slice", "_block"))
+    parts = met.applyInArrow(_score_block(k), "ann_id bigint, gt_cat int, gt_sim double, cats array<int>, sims array<double>")
     if n_blocks > 1:
         pairs = parts.select("ann_id", "gt_cat", "gt_sim", F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("cats").alias("c")).alias("z"))
         merged = pairs.groupBy("ann_id", "gt_cat").agg(

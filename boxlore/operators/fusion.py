@@ -1,60 +1,97 @@
 """Weighted fusion of boxes, and fusion of detector and classifier classes.
 
-A fused box moves with every member it takes in, so boxes of one (image, class) have to be
-seen in score order. Spark partitions and sorts the rows; a task walks through its sorted
-stream and holds only the open clusters of the current group, never the group's rows. Very
-large groups are first cut along grid lines no box crosses: boxes on different sides can
-never meet, whatever the centres do.
+A fused box moves with every member it takes in, so boxes that may meet have to be seen in score
+order. It never leaves the hull of its members, so boxes fall apart into exact units of work:
+touching boxes are united, and united boxes whose hulls touch are united again, until all hulls
+are disjoint. (Touching pairs alone are not enough: a mean box can reach what no member touches.)
+Groups of ordinary size are one row each, sorted inside; those without any touching pair never
+leave the JVM. Very large groups are cut into their units, and a task walks through the sorted
+stream of a unit and holds only its open clusters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from boxlore.functions import geometry as G
+from boxlore.operators.components import components
 from boxlore.operators.matching import hot_groups
+from boxlore.operators.spatial import CELL, cell_index, level_of, overlapping
 from boxlore.operators.suppression import nms
-from boxlore.session import materialise
+from boxlore.session import materialise, owner
 
 HOT_ROWS = 20000
-INDEX_CELL = 512.0
-INDEX_LAST = 63
-STRIPS = 60
+PAIRS_NATIVE = 12  # groups up to this many rows are searched for touching pairs before they leave the JVM
+SCANNED = 24  # open clusters beyond this number are found through cells
+WIDEST = 64  # cells a cluster may fill before it is looked at for every box instead
 
 
 class _Clusters:
-    """Open clusters of one group, found through the cells they touch."""
+    """Open clusters of one unit: looked through one by one while few, then found by cells."""
 
-    def __init__(self, min_iou: float, best_fit: bool, cell: float):
-        self.min_iou, self.best_fit, self.cell = min_iou, best_fit, cell
+    def __init__(self, min_iou: float, best_fit: bool):
+        self.min_iou, self.best_fit = min_iou, best_fit
         self.boxes: list[tuple] = []
-        self.seeds: list[int] = []
+        self.seeds: list = []
         self.sums: list[list] = []
-        self.cells: dict[tuple, set] = {}
+        self.cells: dict[tuple, set] | None = None
+        self.wide: set[int] = set()
+        self.cell = 1.0
+
+    def _touched(self, box) -> list[tuple] | None:
+        x, y, w, h = box
+        i, j, k, l = x // self.cell, (x + w) // self.cell, y // self.cell, (y + h) // self.cell  # noqa: E741
+        if (j - i + 1) * (l - k + 1) > WIDEST:
+            return None
+        return [(p, q) for p in range(int(i), int(j) + 1) for q in range(int(k), int(l) + 1)]
+
+    def _list(self, k: int, box) -> None:
+        touched = self._touched(box)
+        if touched is None:
+            self.wide.add(k)
+        else:
+            for c in touched:
+                self.cells.setdefault(c, set()).add(k)
 
-    def _touched(self, x, y, w, h):
-        def at(v):
-            return min(max(int(v // self.cell), 0), INDEX_LAST)
-        return [(i, j) for i in range(at(x), at(x + w) + 1) for j in range(at(y), at(y + h) + 1)]
+    def _unlist(self, k: int, box) -> None:
+        touched = self._touched(box)
+        if touched is None:
+            self.wide.discard(k)
+        else:
+            for c in touched:
+                self.cells[c].discard(k)
 
-    def _find(self, x, y, w, h, touched):
-        near = set()
+    def _near(self, box):
+        if self.cells is None:
+            return range(len(self.boxes))
+        touched = self._touched(box)
+        if touched is None:
+            return range(len(self.boxes))
+        near = set(self.wide)
         for c in touched:
             near |= self.cells.get(c, set())
+        return sorted(near)
+
+    def _find(self, x, y, w, h):
         found, level = None, self.min_iou
-        for k in sorted(near):
+        x2, y2, area = x + w, y + h, w * h
+        for k in self._near((x, y, w, h)):
             cx, cy, cw, ch = self.boxes[k]
-            iw = min(x + w, cx + cw) - max(x, cx)
-            ih = min(y + h, cy + ch) - max(y, cy)
-            if iw <= 0 or ih <= 0:
+            iw = min(x2, cx + cw) - max(x, cx)
+            if iw <= 0:
+                continue
+            ih = min(y2, cy + ch) - max(y, cy)
+            if ih <= 0:
                 continue
             inter = iw * ih  # above 0, so the union is too
-            iou = inter / (w * h + cw * ch - inter)
+            iou = inter / (area + cw * ch - inter)
             if self.best_fit:
                 if iou > level:
                     found, level = k, iou
@@ -62,16 +99,40 @@ class _Clusters:
                 return k
         return found
 
+    def best(self, x, y, w, h):
+        """The cluster of highest IoU, the earliest of equals, and that IoU; None if nothing touches."""
+        self.min_iou, self.best_fit = 0.0, True
+        k = self._find(x, y, w, h)
+        if k is None:
+            return None, 0.0
+        cx, cy, cw, ch = self.boxes[k]
+        inter = (min(x + w, cx + cw) - max(x, cx)) * (min(y + h, cy + ch) - max(y, cy))
+        return k, inter / (w * h + cw * ch - inter)
+
+    def copy(self) -> _Clusters:
+        out = _Clusters(self.min_iou, self.best_fit)
+        out.boxes, out.seeds, out.wide, out.cell = list(self.boxes), list(self.seeds), set(self.wide), self.cell
+        out.sums = [[*s[:6], set(s[6])] for s in self.sums]
+        out.cells = None if self.cells is None else {c: set(v) for c, v in self.cells.items()}
+        return out
+
     def add(self, x, y, w, h, weight, source, pred_id):
-        touched = self._touched(x, y, w, h)
-        k = self._find(x, y, w, h, touched)
+        self.put(self._find(x, y, w, h), x, y, w, h, weight, source, pred_id)
+
+    def put(self, k, x, y, w, h, weight, source, pred_id):
+        """Take a box into cluster ``k``, or open one for it."""
         if k is None:
-            k = len(self.boxes)
             self.boxes.append((x, y, w, h))
             self.seeds.append(pred_id)
-            self.sums.append([0.0, 0.0, 0.0, 0.0, 0.0, 0, set()])
-        else:
-            touched = None
+            self.sums.append([weight * x, weight * y, weight * w, weight * h, weight, 1, {source}])
+            if self.cells is not None:
+                self._list(len(self.boxes) - 1, (x, y, w, h))
+            elif len(self.boxes) > SCANNED:
+                self.cell = 2 * sum(max(b[2], b[3]) for b in self.boxes) / len(self.boxes) or 1.0
+                self.cells = {}
+                for i, b in enumerate(self.boxes):
+                    self._list(i, b)
+            return
         s = self.sums[k]
         s[0] += weight * x
         s[1] += weight * y
@@ -80,88 +141,123 @@ class _Clusters:
         s[4] += weight
         s[5] += 1
         s[6].add(source)
-        if touched is None:
-            before = self.boxes[k]
-            if s[4] > 0:
-                self.boxes[k] = (s[0] / s[4], s[1] / s[4], s[2] / s[4], s[3] / s[4])
-            old, touched = self._touched(*before), self._touched(*self.boxes[k])
-            if old != touched:
-                for c in old:
-                    self.cells[c].discard(k)
-        for c in touched:
-            self.cells.setdefault(c, set()).add(k)
+        if s[4] > 0:
+            before, self.boxes[k] = self.boxes[k], (s[0] / s[4], s[1] / s[4], s[2] / s[4], s[3] / s[4])
+            if self.cells is not None:
+                self._unlist(k, before)
+                self._list(k, self.boxes[k])
 
     def rows(self):
         for seed, box, s in zip(self.seeds, self.boxes, self.sums):
             yield (seed, *box, s[4], s[5], len(s[6]))
 
 
-def _walk(keys: list[str], best_fit: bool, cell: float):
-    names = [*keys, "cluster", "x", "y", "w", "h", "weight_sum", "members", "sources"]
-    chunk = 5000
+_FUSED = ["cluster", "x", "y", "w", "h", "weight_sum", "members", "sources"]
+_KINDS = [pa.int64(), *[pa.float64()] * 5, pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, clusters, out = None, None, []
-        for pdf in batches:
-            groups = list(zip(*(pdf[k].tolist() for k in keys)))
-            cols = [pdf[c].tolist() for c in ("x", "y", "w", "h", "_weight", "_source", "pred_id", "_min_iou")]
-            for key, *values, min_iou in zip(groups, *cols):
+
+def _made(keys: list[pa.Array], names: Sequence[str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in _FUSED]
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)]], names=[*names, *_FUSED])
+
+
+def _fuse_groups(keys: list[str], best_fit: bool):
+    """Whole groups: rows ``keys, m`` with the members in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column("m")
+            flat = m.flatten()
+            ends = np.cumsum(np.diff(m.offsets.to_numpy())).tolist()
+            members = list(zip(*(flat.field(c).to_pylist() for c in ("x", "y", "w", "h", "weight", "source", "pred_id")), strict=True))
+            rows, of, at = [], [], 0
+            for g, (end, min_iou) in enumerate(zip(ends, batch.column("_min_iou").to_pylist(), strict=True)):
+                clusters = _Clusters(min_iou, best_fit)
+                for values in members[at:end]:
+                    clusters.add(*values)
+                before = len(rows)
+                rows.extend(clusters.rows())
+                of += [g] * (len(rows) - before)
+                at = end
+            where = pa.array(of, pa.int64())
+            yield _made([batch.column(k).take(where) for k in keys], keys, rows)
+
+    return run
+
+
+def _fuse_streams(keys: list[str], kinds: list[pa.DataType], best_fit: bool):
+    """Sorted streams of boxes: a unit's open clusters are all that is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, clusters, of, rows = None, None, [], []
+
+        def close():
+            before = len(rows)
+            rows.extend(clusters.rows())
+            of.extend([current[:-1]] * (len(rows) - before))
+
+        def out() -> pa.RecordBatch:
+            return _made([pa.array(c, k) for c, k in zip(zip(*of, strict=True), kinds, strict=True)], keys, rows)
+
+        for batch in batches:
+            groups = zip(*(batch.column(c).to_pylist() for c in (*keys, "_unit")), strict=True)
+            cols = [batch.column(c).to_pylist() for c in ("x", "y", "w", "h", "_weight", "_source", "pred_id", "_min_iou")]
+            for key, *values, min_iou in zip(groups, *cols, strict=True):
                 if key != current:
                     if clusters is not None:
-                        out.extend((*current, *r) for r in clusters.rows())
-                    current, clusters = key, _Clusters(min_iou, best_fit, cell)
-                    if len(out) >= chunk:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
+                        close()
+                    current, clusters = key, _Clusters(min_iou, best_fit)
+                    if len(rows) > 5000:
+                        yield out()
+                        of, rows = [], []
                 clusters.add(*values)
         if clusters is not None:
-            out.extend((*current, *r) for r in clusters.rows())
-        if out:
-            yield pd.DataFrame(out, columns=names)
+            close()
+            yield out()
 
     return run
 
 
-def _with_strips(df: DataFrame, keys: list[str], hot: DataFrame, cell: float) -> DataFrame:
-    """Give rows of hot groups a strip per axis; no box reaches from one strip to another.
+def hull_units(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_unit``: boxes of different units never meet, whatever they are fused to.
 
-    Per group one integer records which neighbouring columns some box links. The strip of a
-    box is the number of open borders before it. Both are combinable aggregates.
+    Boxes that lie in the same small cells with all four sides are one to begin with, so a pile of
+    near-copies is never paired with itself. Boxes without area are units of their own.
     """
-    def at(v: Column) -> Column:
-        return F.least(F.greatest(F.floor(v / F.lit(cell)), F.lit(0)), F.lit(STRIPS)).cast("int")
-
-    def links(low: Column, high: Column) -> Column:
-        one = F.lit(1).cast("bigint")
-        return F.call_function("shiftleft", one, high) - F.call_function("shiftleft", one, low)
-
-    def strip(low: Column, mask: Column) -> Column:
-        below = F.call_function("shiftleft", F.lit(1).cast("bigint"), low) - 1
-        return low - F.bit_count(mask.bitwiseAND(below)).cast("int")
-
-    b = G.box_of()
-    rows = df.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    marks = df.join(hot, keys, "left_semi").groupBy(*keys).agg(
-        F.bit_or(links(at(b.x), at(b.x2))).alias("_mx"), F.bit_or(links(at(b.y), at(b.y2))).alias("_my"))
-    rows = rows.join(marks, keys, "left")
-    return rows.select(
-        *df.columns,
-        F.when(F.col("_hot"), strip(at(b.x), F.col("_mx"))).otherwise(F.lit(0)).alias("_sx"),
-        F.when(F.col("_hot"), strip(at(b.y), F.col("_my"))).otherwise(F.lit(0)).alias("_sy"),
-    )
+    keys, own = list(keys), owner(rows.sparkSession)
+    x2, y2 = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    level = level_of(F.col("w"), F.col("h"))
+    side = [cell_index(v, level, CELL / 16) for v in (F.col("x"), F.col("y"), x2, y2)]
+    flat = ~((F.col("w") > 0) & (F.col("h") > 0))
+    rows = rows.withColumn("_stack", F.when(flat, F.xxhash64(*keys, F.lit("alone"), "pred_id")).otherwise(F.xxhash64(*keys, level, *side)))
+    hull = [F.min("x").alias("x"), F.min("y").alias("y"), (F.max(x2) - F.min("x")).alias("w"), (F.max(y2) - F.min("y")).alias("h")]
+    hulls = own.keep(rows.where(~flat).groupBy(*keys, F.col("_stack").alias("u")).agg(*hull))
+    names = hulls.select(F.col("u").alias("_stack"), F.col("u").alias("_unit")).distinct()
+    while True:
+        met = own.keep(overlapping(hulls, hulls, keys, condition=F.col("a_u") < F.col("b_u")).select("a_u", "b_u"))
+        if met.isEmpty():
+            break
+        joint = own.keep(components(met, own, "a_u", "b_u").select(F.col("id").alias("u"), "component"))
+        hulls = own.keep(hulls.join(joint, "u", "left").groupBy(*keys, F.coalesce("component", "u").alias("u")).agg(*hull))
+        names = own.keep(names.join(joint.withColumnRenamed("u", "_unit"), "_unit", "left").select("_stack", F.coalesce("component", "_unit").alias("_unit")))
+    return rows.join(names, "_stack", "left").withColumn("_unit", F.coalesce("_unit", "_stack")).drop("_stack")
+
+
+def _touching(m: Column) -> Column:
+    """Whether two boxes of an array of members have an area in common."""
+    meet = lambda p, q: (p["pred_id"] < q["pred_id"]) & (F.least(p["x"] + p["w"], q["x"] + q["w"]) > F.greatest(p["x"], q["x"])) & (F.least(p["y"] + p["h"], q["y"] + q["h"]) > F.greatest(p["y"], q["y"]))
+    return F.exists(m, lambda p: F.exists(m, lambda q: meet(p, q)))
 
 
 def cluster_boxes(
-    dets: DataFrame, weight: Column, source: str, min_iou: float | Column, keys: Sequence[str], *,
-    best_fit: bool, hot_rows: int = HOT_ROWS, cell: float = INDEX_CELL,
+    dets: DataFrame, weight: Column, source: str, min_iou: float | Column, keys: Sequence[str], *, best_fit: bool, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Online clusters per key: ``keys, cluster, x, y, w, h, weight_sum, members, sources``.
 
     ``best_fit``: join the cluster of highest IoU above ``min_iou``; otherwise the earliest
-    cluster at or above it. ``min_iou`` may be a column that is constant per group. ``cell`` is
-    the unit of the cluster index, in box units. ``cluster`` is the ``pred_id`` of the box that
-    opened the cluster, so neither the order of groups nor cutting a group changes it. Boxes
-    without area touch nothing and stay alone.
+    cluster at or above it. ``min_iou`` may be a column that is constant per group. ``cluster`` is
+    the ``pred_id`` of the box that opened the cluster, so neither the order of groups nor cutting
+    a group changes it. Boxes without area touch nothing and stay alone.
     """
     if not isinstance(min_iou, Column):
         if min_iou <= 0:
@@ -169,24 +265,30 @@ def cluster_boxes(
         min_iou = F.lit(float(min_iou))
     keys = list(keys)
     rows = dets.select(
-        *keys, "pred_id", *"xywh", weight.alias("_weight"), F.col(source).alias("_source"), min_iou.alias("_min_iou"))
+        *keys, F.col("pred_id").cast("bigint").alias("pred_id"), *[F.col(c).cast("double").alias(c) for c in "xywh"], weight.cast("double").alias("_weight"),
+        F.col(source).alias("_source"), min_iou.alias("_min_iou"))
     rows = materialise(rows)  # the input is evaluated once
     hot = hot_groups(rows, keys, hot_rows)
-    walk_keys = keys
-    if hot is not None:
-        rows = _with_strips(rows, keys, hot, cell)
-        walk_keys = [*keys, "_sx", "_sy"]
     fields = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([
-        *[fields[k] for k in walk_keys],
-        T.StructField("cluster", T.LongType()),
-        *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "w", "h", "weight_sum")],
-        T.StructField("members", T.LongType()),
-        T.StructField("sources", T.LongType()),
-    ])
-    ordered = rows.repartition(*walk_keys).sortWithinPartitions(*walk_keys, F.col("_weight").desc(), F.col("pred_id").asc())
-    out = ordered.mapInPandas(_walk(walk_keys, best_fit, cell), schema)
-    return out.drop("_sx", "_sy")
+    fused = [T.StructField("cluster", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in _FUSED[1:6]], T.StructField("members", T.LongType()), T.StructField("sources", T.LongType())]
+    schema = T.StructType([*[fields[k] for k in keys], *fused])
+    calm = rows if hot is None else rows.join(hot, keys, "left_anti")
+    member = F.struct((-F.col("_weight")).alias("less"), "pred_id", *"xywh", F.col("_weight").alias("weight"), F.col("_source").alias("source"))
+    groups = calm.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("m"), F.first("_min_iou").alias("_min_iou"))
+    # Decided once per group and not pushed below the shuffle with either half.
+    groups = groups.withColumn("_apart", (F.size("m") == 1) | ((F.size("m") <= PAIRS_NATIVE) & ~_touching(F.col("m"))))
+    met = groups.where(~F.col("_apart")).drop("_apart").mapInArrow(_fuse_groups(keys, best_fit), schema)
+    one = F.lit(1).cast("bigint")
+    apart = groups.where("_apart").select(*keys, F.explode("m").alias("p")).select(
+        *keys, F.col("p.pred_id").alias("cluster"), *[F.col(f"p.{c}").alias(c) for c in "xywh"], F.col("p.weight").alias("weight_sum"), one.alias("members"), one.alias("sources"))
+    out = met.unionByName(apart)
+    if hot is None:
+        return out
+    at = [*keys, "_unit"]
+    crowd = hull_units(rows.join(hot, keys, "left_semi"), keys)
+    ordered = crowd.repartition(*at).sortWithinPartitions(*at, F.col("_weight").desc(), F.col("pred_id").asc())
+    kinds = [f.type for f in to_arrow_schema(T.StructType([fields[k] for k in keys]))]
+    return out.unionByName(ordered.mapInArrow(_fuse_streams(keys, kinds, best_fit), schema))
 
 
 def fused_id(clusters: DataFrame) -> DataFrame:

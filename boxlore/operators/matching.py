@@ -6,8 +6,9 @@ equals: predictions by ``pred_id``, ground truth by ``gt_id``.
 Groups with few candidate pairs are decided by one native array fold. Larger groups are
 decided in rounds of two combinable aggregates: a pair whose prediction wants that box most,
 and whose box is wanted by no better prediction, is final; everything it touches leaves. When
-rounds stop paying, the rest is a sorted stream that keeps only the ids taken. All ways give
-the same matching, so the limits only choose the cheaper one.
+rounds stop paying, the rest is a sorted stream that keeps only the ids taken, of a group or,
+where much is left of it, of each connected component. All ways give the same matching, so the limits only choose the
+cheaper one.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlore.functions import geometry as G
+from boxlore.operators.components import in_units
 from boxlore.operators.ranking import ranked
-from boxlore.operators.spatial import CELL, fitting_cell, iou_join, overlapping
-from boxlore.session import materialise
+from boxlore.operators.spatial import CELL, iou_join, overlapping
+from boxlore.session import materialise, owner
 
 FOLD_LIMIT = 20000
 HOT_ROWS = 5000
 # Rounds go on while each decides at least this share of the remaining pairs.
 WORTHWHILE = 0.2
+# What is left of a group is streamed by one task up to this many pairs, by components beyond.
+UNIT_LIMIT = 100_000
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
@@ -44,7 +48,7 @@ def greedy_match(
     *,
     fold_limit: int = FOLD_LIMIT,
     hot_rows: int = HOT_ROWS,
-    cell: int = CELL,
+    cell: float = CELL,
 ) -> DataFrame:
     """Matched pairs ``keys, pred_id, gt_id``. Add ``category_id`` to ``keys`` to match inside classes."""
     pairs = candidate_pairs(preds, gts, min_iou, keys, hot_rows=hot_rows, cell=cell)
@@ -52,14 +56,13 @@ def greedy_match(
 
 
 def candidate_pairs(
-    preds: DataFrame, gts: DataFrame, min_iou: float, keys: Sequence[str] = ("image_id",), *, hot_rows: int = HOT_ROWS, cell: int = CELL
+    preds: DataFrame, gts: DataFrame, min_iou: float, keys: Sequence[str] = ("image_id",), *, hot_rows: int = HOT_ROWS, cell: float = CELL
 ) -> DataFrame:
     """Stored pairs at or above the IoU. They also serve matching inside classes: filter on equal classes."""
     keys = list(keys)
     classes = [] if "category_id" in keys or "category_id" not in preds.columns else ["category_id"]
     narrow = preds.select(*keys, "pred_id", "score", *classes, *"xywh")
     if hot_groups(narrow, keys, hot_rows) is not None:
-        cell = fitting_cell(narrow, cell)
         narrow = _without_surplus_copies(narrow, gts, min_iou, keys, classes, hot_rows, cell)
     return materialise(iou_join(narrow, gts, min_iou, keys, cell=cell))
 
@@ -92,16 +95,19 @@ def resolve_pairs(pairs: DataFrame, keys: Sequence[str], fold_limit: int = FOLD_
         left = live.count()
 
 
-def _walk(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Decide pairs in order as a sorted stream per group; a task holds only the ids already taken.
+def _walk(pairs: DataFrame, keys: list[str], limit: int = UNIT_LIMIT) -> DataFrame:
+    """Decide pairs in order as a sorted stream; a task holds only the ids already taken.
 
-    For what rounds no longer shrink: long chains of boxes that wait for one another.
+    For what rounds no longer shrink: long chains of boxes that wait for one another. In groups of
+    more than ``limit`` pairs, chains that share no box are work for different tasks.
     """
+    at = [*keys, "_unit"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, preds, gts = None, set(), set()
         for pdf in batches:
             out = []
-            for row in zip(*(pdf[c].tolist() for c in [*keys, "pred_id", "gt_id"])):
+            for row in zip(*(pdf[c].tolist() for c in [*at, "pred_id", "gt_id"])):
                 if row[:-2] != current:
                     current, preds, gts = row[:-2], set(), set()
                 if row[-2] not in preds and row[-1] not in gts:
@@ -109,12 +115,13 @@ def _walk(pairs: DataFrame, keys: list[str]) -> DataFrame:
                     gts.add(row[-1])
                     out.append(row)
             if out:
-                yield pd.DataFrame(out, columns=[*keys, "pred_id", "gt_id"])
+                yield pd.DataFrame(out, columns=[*at, "pred_id", "gt_id"])
 
     rows = pairs.select(*keys, F.col("pred_id").cast("bigint").alias("pred_id"), F.col("gt_id").cast("bigint").alias("gt_id"), "score", "iou")
-    order = [*keys, F.col("score").desc(), F.col("pred_id").asc(), F.col("iou").desc(), F.col("gt_id").asc()]
-    schema = rows.select(*keys, "pred_id", "gt_id").schema
-    return rows.repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, schema)
+    rows = in_units(rows, hot_groups(rows, keys, limit), keys, ["pred_id"], ["gt_id"], owner(rows.sparkSession))
+    order = [*at, F.col("score").desc(), F.col("pred_id").asc(), F.col("iou").desc(), F.col("gt_id").asc()]
+    schema = rows.select(*at, "pred_id", "gt_id").schema
+    return rows.repartition(*at).sortWithinPartitions(*order).mapInPandas(run, schema).drop("_unit")
 
 
 def _fold(pairs: DataFrame, keys: list[str]) -> DataFrame:

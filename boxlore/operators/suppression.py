@@ -5,9 +5,11 @@ descending, then ``pred_id``.
 
 Groups of ordinary size list their conflicting pairs; boxes without conflicts never enter
 the decision. Conflicts are decided by a native fold, or in distributed rounds when a group
-has many; what rounds no longer shrink is a sorted stream. Very large groups are peeled first: the best box of every small cell is compared
-with its surroundings, which is linear in the group, and a pile of near-copies goes in one
-round. No group is ever gathered whole.
+has many; what rounds no longer shrink is a sorted stream, per connected component where it is
+long. Very large
+groups are peeled first: the best box of every small cell (an eighth to half a box wide) is
+compared with its surroundings, which is linear in the group, and a pile of near-copies goes in
+one round. No group is ever gathered whole.
 """
 
 from __future__ import annotations
@@ -20,11 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxlore.functions import geometry as G
-from boxlore.operators.matching import FOLD_LIMIT, HOT_ROWS, WORTHWHILE, hot_groups
-from boxlore.operators.spatial import CELL, cell_index, fitting_cell, overlapping
-from boxlore.session import materialise
-
-PEEL_CELL = 64
+from boxlore.operators.components import in_units
+from boxlore.operators.matching import FOLD_LIMIT, HOT_ROWS, UNIT_LIMIT, WORTHWHILE, hot_groups
+from boxlore.operators.spatial import CELL, cell_index, level_of, overlapping
+from boxlore.session import materialise, owner
 
 
 def _before(a: str, b: str) -> Column:
@@ -33,6 +34,13 @@ def _before(a: str, b: str) -> Column:
     return (sa > sb) | ((sa == sb) & (F.col(f"{a}_pred_id") < F.col(f"{b}_pred_id")))
 
 
+def peel_cell() -> list[Column]:
+    """Small cells, by the size of the box: ``_fl, _fx, _fy``."""
+    level = F.coalesce(level_of(F.col("w"), F.col("h")), F.lit(0))
+    at = lambda v: cell_index(v, level, CELL / 16)
+    return [level.alias("_fl"), at(F.col("x") + F.col("w") / 2).alias("_fx"), at(F.col("y") + F.col("h") / 2).alias("_fy")]
+
+
 def _conflict(threshold: float) -> Column:
     return G.iou_eps(G.box_of("a_"), G.box_of("b_")) > threshold
 
@@ -44,7 +52,7 @@ def nms(
     *,
     fold_limit: int = FOLD_LIMIT,
     hot_rows: int = HOT_ROWS,
-    cell: int = CELL,
+    cell: float = CELL,
 ) -> DataFrame:
     """The surviving rows of ``preds``, all columns kept. ``preds`` is evaluated once and stored."""
     keys = list(keys)
@@ -53,7 +61,6 @@ def nms(
     hot = hot_groups(boxes, keys, hot_rows)
     dropped = None
     if hot is not None:
-        cell = fitting_cell(boxes, cell)
         boxes, dropped = _peel(boxes, hot, threshold, keys, hot_rows, cell)
     edges = materialise(
         overlapping(boxes, boxes, keys, cell=cell, condition=_before("a", "b") & _conflict(threshold))
@@ -90,28 +97,32 @@ def _losers(edges: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
     return out
 
 
-def _walk(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Decide edges as a stream per group, best box first; a task holds only the ids already lost.
+def _walk(edges: DataFrame, keys: list[str], limit: int = UNIT_LIMIT) -> DataFrame:
+    """Decide edges as a stream, best box first; a task holds only the ids already lost.
 
     For long chains of boxes, which rounds decide one box at a time: when a box comes up, all
-    edges into it are behind.
+    edges into it are behind. In groups of more than ``limit`` edges, chains that share no box are
+    work for different tasks.
     """
+    at = [*keys, "_unit"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, lost = None, set()
         for pdf in batches:
             out = []
-            for key, hi, lo in zip(zip(*(pdf[k].tolist() for k in keys)), pdf["hi"].tolist(), pdf["lo"].tolist()):
+            for key, hi, lo in zip(zip(*(pdf[k].tolist() for k in at)), pdf["hi"].tolist(), pdf["lo"].tolist()):
                 if key != current:
                     current, lost = key, set()
                 if hi not in lost and lo not in lost:
                     lost.add(lo)
-                    out.append((*key, lo))
+                    out.append((*key[:-1], lo))
             if out:
                 yield pd.DataFrame(out, columns=[*keys, "pred_id"])
 
     fields = {f.name: f for f in edges.schema.fields}
     schema = T.StructType([*[fields[k] for k in keys], T.StructField("pred_id", fields["lo"].dataType)])
-    return edges.repartition(*keys).sortWithinPartitions(*keys, F.col("s").desc(), F.col("hi").asc()).mapInPandas(run, schema)
+    units = in_units(edges, hot_groups(edges, keys, limit), keys, ["hi"], ["lo"], owner(edges.sparkSession), one_kind=True)
+    return units.repartition(*at).sortWithinPartitions(*at, F.col("s").desc(), F.col("hi").asc()).mapInPandas(run, schema)
 
 
 def _fold(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,7 +138,7 @@ def _fold(edges: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _peel(boxes: DataFrame, hot: DataFrame, threshold: float, keys: list[str], hot_rows: int, cell: int):
+def _peel(boxes: DataFrame, hot: DataFrame, threshold: float, keys: list[str], hot_rows: int, cell: float):
     """Decide boxes of very large groups until every group is of ordinary size.
 
     Returns the boxes still open and the ids already suppressed. Boxes decided to stay have
@@ -135,12 +146,10 @@ def _peel(boxes: DataFrame, hot: DataFrame, threshold: float, keys: list[str], h
     """
     calm = boxes.join(hot, keys, "left_anti")
     live = boxes.join(hot, keys, "left_semi")
-    fx = cell_index(F.col("x") + F.col("w") / 2, PEEL_CELL)
-    fy = cell_index(F.col("y") + F.col("h") / 2, PEEL_CELL)
     suppressed, left = None, live.count()
     while True:
         best = F.min(F.struct((-F.col("score")).alias("k"), "pred_id", "score", *"xywh")).alias("b")
-        heads = live.groupBy(*keys, fx.alias("_fx"), fy.alias("_fy")).agg(best).select(
+        heads = live.groupBy(*keys, *peel_cell()).agg(best).select(
             *keys, "b.pred_id", "b.score", *[f"b.{c}" for c in "xywh"])
         near = materialise(
             overlapping(heads, live, keys, cell=cell, condition=_conflict(threshold) & (F.col("a_pred_id") != F.col("b_pred_id")))

@@ -1,8 +1,8 @@
 """Parameter sweeps as one plan instead of a loop of runs.
 
-What the configurations share is computed once: the overlap join between predictions and
-truth never depends on thresholds, a lower score bound only cuts the end of a score order,
-and a cap per image only cuts the end of an image's order.
+A sweep lists the distinct outcomes of every detection, each with the set of settings that choose
+it (:mod:`boxlore.operators.settings`), and matches and scores all settings together. Tables grow
+with outcomes; detections and truth are never multiplied by settings.
 """
 
 from __future__ import annotations
@@ -10,100 +10,52 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxlore.functions import geometry as G
 from boxlore.operators import fusion
 from boxlore.operators import metrics as M
-from boxlore.operators.matching import FOLD_LIMIT, HOT_ROWS, candidate_pairs, hot_groups, resolve_pairs, with_match
-from boxlore.operators.spatial import overlapping
-from boxlore.operators.suppression import _before, _losers, nms
+from boxlore.operators import settings as S
+from boxlore.operators.spatial import iou_join
 from boxlore.session import materialise
 
 
-def _values(values: Sequence[float], name: str) -> Column:
-    return F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name)
+def _met(boxes: DataFrame, gts: DataFrame, min_iou: float, box: str) -> DataFrame:
+    """Pairs of boxes and truth, found once for all settings."""
+    found = iou_join(boxes.select("image_id", F.col(box).alias("pred_id"), "score", "category_id", *"xywh"), gts, min_iou)
+    return materialise(found.select("image_id", F.col("pred_id").alias("_box"), "gt_id", "gt_class", "iou"))
 
 
-def nms_grid(preds: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """Survivors of suppression for every threshold, with the column ``nms_iou``.
+def _nth(values: Sequence[float], i: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (i + 1).cast("int"))
 
-    Conflicts are listed once at the lowest threshold; higher thresholds use fewer of them.
-    """
-    keys = ["image_id", "category_id"]
-    if hot_groups(preds, keys, HOT_ROWS) is not None:
-        parts = [nms(preds, t).withColumn("nms_iou", F.lit(float(t))) for t in thresholds]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    iou = G.iou_eps(G.box_of("a_"), G.box_of("b_"))
-    boxes = preds.select(*keys, "pred_id", "score", *"xywh")
-    edges = overlapping(boxes, boxes, keys, condition=_before("a", "b") & (iou > min(thresholds))).select(
-        *keys, F.col("a_score").alias("s"), F.col("a_pred_id").alias("hi"), F.col("b_pred_id").alias("lo"), iou.alias("iou"))
-    grid = edges.select("*", _values(thresholds, "nms_iou")).where(F.col("iou") > F.col("nms_iou")).drop("iou")
-    losers = _losers(materialise(grid), ["nms_iou", *keys], fold_limit=FOLD_LIMIT)
-    return preds.select("*", _values(thresholds, "nms_iou")).join(losers, ["nms_iou", *keys, "pred_id"], "left_anti")
-
-
-def threshold_sweep(preds: DataFrame, gts: DataFrame, confs: Sequence[float], nms_ious: Sequence[float], min_iou: float = 0.5) -> DataFrame:
+
+def threshold_sweep(preds: DataFrame, gts: DataFrame, confs: Sequence[float], nms_ious: Sequence[float], min_iou: float = 0.5, **limits) -> DataFrame:
     """Scores for every score bound and suppression threshold: ``conf, nms_iou, maps, hybrid, n_preds``."""
-    config = ["nms_iou"]
-    base = preds.where(F.col("score") >= min(confs))
-    pairs = candidate_pairs(base, gts, min_iou)
-    kept = materialise(nms_grid(base, nms_ious).select("nms_iou", "image_id", "category_id", "pred_id", "score"))
-    flagged = M.flag_matches(kept, pairs.join(kept.select("nms_iou", "image_id", "pred_id"), ["image_id", "pred_id"]), config)
-    truth = gts.select("*", _values(nms_ious, "nms_iou"))
-    det = M.average_precision_from(flagged, M.truth_counts(truth, config), config, confs, "tp_any")
-    by_class = [*config, "category_id"]
-    cls = M.average_precision_from(flagged, M.truth_counts(truth, by_class), by_class, confs, "tp_class")
-    both = [*config, "conf"]
-    out = M._blend(det.withColumnRenamed("ap", "detection_map"), M.mean_ap(cls, both), both)
-    bounds = F.array(*[F.lit(float(c)) for c in confs])
-    sizes = kept.select("nms_iou", F.explode(F.filter(bounds, lambda c: c <= F.col("score"))).alias("conf")).groupBy(*both).agg(F.count("*").alias("n_preds"))
-    return out.join(sizes, both, "left").withColumn("n_preds", F.coalesce("n_preds", F.lit(0)))
+    n = len(confs) * len(nms_ious)
+    base = preds.where(F.col("score") >= min(confs)).select("image_id", "category_id", "pred_id", "score", *"xywh")
+    kept = S.suppress_settings(base, nms_ious, **limits).where("_s <> 0")
+    i = lambda k: F.floor(k / len(nms_ious)).cast("int")
+    stays = lambda k: (F.col("score") >= _nth(confs, i(k))) & (F.call_function("shiftright", F.col("_s"), k % len(nms_ious)) % 2 == 1)
+    outcomes = S.numbered(kept.select("image_id", "category_id", "pred_id", "score", *"xywh", F.col("pred_id").alias("_box"), *S.bits_where(n, stays)))
+    scores = S.score_settings(outcomes, _met(outcomes, gts, min_iou, "pred_id"), gts, n)
+    k = F.col("config_id")
+    return scores.select(_nth(confs, i(k)).alias("conf"), _nth(nms_ious, k % len(nms_ious)).alias("nms_iou"), "detection_map", "classification_map", "hybrid", "n_preds")
 
 
 def wbf_sweep(
-    dets: DataFrame, gts: DataFrame, confs: Sequence[float], ious: Sequence[float], weights: Sequence[Sequence[float]], caps: Sequence[int], min_iou: float = 0.5
+    dets: DataFrame, gts: DataFrame, confs: Sequence[float], ious: Sequence[float], weights: Sequence[Sequence[float]], caps: Sequence[int], min_iou: float = 0.5, **limits
 ) -> DataFrame:
-    """Scores for every score bound, fusion threshold, weighting and cap per image.
-
-    All configurations fuse in one pass over stored detections; caps share fusion and matching.
-    """
-    configs = [(c, t, list(w)) for c in confs for t in ious for w in weights]
-    table = F.array(*[
-        F.struct(F.lit(i).alias("config_id"), F.lit(float(c)).alias("conf"), F.lit(float(t)).alias("wbf_iou"), F.array(*[F.lit(float(x)) for x in w]).alias("weights"))
-        for i, (c, t, w) in enumerate(configs)])
-    rows = dets.where(F.col("score") >= min(confs)).withColumn("c", F.explode(table)).where(F.col("score") >= F.col("c.conf"))
-    rows = rows.select("*", "c.config_id", "c.wbf_iou", F.col("score") * F.element_at(F.col("c.weights"), F.col("model_id") + 1)).toDF(
-        *rows.columns, "config_id", "_t", "_w")
-    keys = ["config_id", "image_id", "category_id"]
-    clusters = fusion.fused_id(fusion.cluster_boxes(rows.where("w > 0 AND h > 0"), F.col("_w"), "model_id", F.col("_t"), keys, best_fit=True))
-    of_config = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("config_id") + 1)
-    share = F.least(F.col("members"), of_config([len(w) for _, _, w in configs])) / of_config([float(sum(w)) for _, _, w in configs])
-    fused = clusters.select(*keys, "pred_id", *"xywh", (F.col("weight_sum") / F.col("members") * share).alias("score"))
-    place = W.partitionBy("config_id", "image_id").orderBy(F.col("score").desc(), F.col("pred_id").asc())
-    fused = materialise(fused.withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(caps)))
-    every = F.explode(F.array(*[F.lit(i) for i in range(len(configs))])).alias("config_id")
-    truth = gts.select("*", every)
-    pairs = candidate_pairs(fused, truth, min_iou, ["config_id", "image_id"])
-    cols = ["config_id", "image_id", "pred_id", "gt_id", "score", "iou"]
-    anywhere = resolve_pairs(pairs.select(*cols), ["config_id", "image_id"])
-    in_class = resolve_pairs(
-        pairs.where(F.col("pred_class") == F.col("gt_class")).select(*cols, F.col("pred_class").alias("category_id")), keys)
-    flagged = with_match(with_match(fused.drop(*"xywh"), anywhere, "tp_any"), in_class, "tp_class")
-    capped = flagged.withColumn("max_preds", F.explode(F.array(*[F.lit(int(c)) for c in caps]))).where(F.col("place") <= F.col("max_preds"))
-    config = ["config_id", "max_preds"]
-    cut = M.sliced(capped, config)
-    truth = truth.withColumn("max_preds", F.explode(F.array(*[F.lit(int(c)) for c in caps])))
-    scores = M.hybrid_of_flags(cut, truth, config)
-    sizes = cut.groupBy(*config).agg(F.count("*").alias("n_preds"))
-    names = table[F.col("config_id")]
-    return scores.join(sizes, config, "left").select(
-        names["conf"].alias("conf"), names["wbf_iou"].alias("wbf_iou"), names["weights"].alias("weights"), "max_preds",
-        "hybrid", "detection_map", "classification_map", F.coalesce("n_preds", F.lit(0)).alias("n_preds"))
+    """Scores for every score bound, fusion threshold, weighting and cap per image."""
+    n = len(confs) * len(ious) * len(weights)
+    fused = S.numbered(S.cap_settings(S.fuse_settings(dets, confs, ious, weights, **limits), n, caps)).withColumn("_box", F.col("_o"))
+    scores = S.score_settings(fused, _met(fused, gts, min_iou, "_box"), gts, n * len(caps))
+    part = lambda after, size: F.floor(F.col("config_id") / after).cast("int") % size
+    w = part(len(caps), len(weights))
+    return scores.select(
+        _nth(confs, part(len(caps) * len(weights) * len(ious), len(confs))).alias("conf"), _nth(ious, part(len(caps) * len(weights), len(ious))).alias("wbf_iou"),
+        F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in weights]), w + 1).alias("weights"),
+        F.element_at(F.array(*[F.lit(int(c)) for c in caps]), part(1, len(caps)) + 1).alias("max_preds"),
+        "hybrid", "detection_map", "classification_map", "n_preds")
 
 
 def policy_grid(cls_ts: Sequence[float], det_ts: Sequence[float]) -> list[tuple[str, float, float]]:
@@ -115,22 +67,24 @@ def policy_grid(cls_ts: Sequence[float], det_ts: Sequence[float]) -> list[tuple[
 def policy_sweep(dets: DataFrame, gts: DataFrame, cls_ts: Sequence[float], det_ts: Sequence[float], min_iou: float = 0.5) -> DataFrame:
     """Scores of every policy and threshold pair with the gain over the detector alone.
 
-    ``dets`` carries ``cls, cls_conf``. Boxes are the same in every configuration, so their pairs
-    with the truth are found once and only classes and scores vary.
+    ``dets`` carries ``cls, cls_conf``. A detection has at most three outcomes: its own class, the
+    classifier's, and the classifier's with the product of both scores.
     """
     grid = [("none", 0.0, 0.0), *policy_grid(cls_ts, det_ts)]
+    n = len(grid)
     table = F.array(*[
-        F.struct(F.lit(i).alias("config_id"), F.lit(p).alias("policy"), F.lit(float(c)).alias("cls_t"), F.lit(float(d)).alias("det_t"))
-        for i, (p, c, d) in enumerate(grid)])
-    pairs = candidate_pairs(dets, gts, min_iou)
-    rows = dets.withColumn("_c", F.explode(table))
-    category, score = fusion.fuse_class(F.col("_c.policy"), F.col("_c.cls_t"), F.col("_c.det_t"))
-    rows = materialise(rows.select(F.col("_c.config_id").alias("config_id"), "image_id", "pred_id", category.alias("category_id"), score.alias("score")))
-    new = pairs.drop("score", "pred_class").join(rows.withColumnRenamed("category_id", "pred_class"), ["image_id", "pred_id"])
-    truth = gts.withColumn("config_id", F.explode(F.array(*[F.lit(i) for i in range(len(grid))])))
-    scores = M.hybrid_of_flags(M.flag_matches(rows, new, ["config_id"]), truth, ["config_id"])
+        F.struct(F.lit(p).alias("policy"), F.lit(float(c)).alias("cls_t"), F.lit(float(d)).alias("det_t")) for p, c, d in grid])
+
+    def outcome(k: Column) -> Column:
+        row = F.element_at(table, k + 1)
+        category, score = fusion.fuse_class(row["policy"], row["cls_t"], row["det_t"])
+        return F.struct(category.alias("category_id"), score.alias("score"))
+
+    boxes = materialise(dets.select("image_id", "category_id", "pred_id", "score", "cls", "cls_conf", *"xywh"))
+    found = S.outcome_classes(boxes.drop(*"xywh").withColumn("_box", F.col("pred_id")), n, outcome, ["category_id", "score"]).drop("cls", "cls_conf")
+    scores = materialise(S.score_settings(found, _met(boxes, gts, min_iou, "pred_id"), gts, n))
     base = scores.where(F.col("config_id") == 0).select("hybrid").scalar()
-    row = table[F.col("config_id")]
+    row = F.element_at(table, F.col("config_id") + 1)
     return scores.select(
         row["policy"].alias("policy"), row["cls_t"].alias("cls_t"), row["det_t"].alias("det_t"),
         "detection_map", "classification_map", "hybrid", (F.col("hybrid") - base).alias("delta"))
@@ -142,14 +96,19 @@ def best_policy(sweep: DataFrame) -> DataFrame:
     return better.orderBy(F.col("hybrid").desc(), F.col("policy").asc(), F.col("cls_t").asc(), F.col("det_t").asc()).limit(1)
 
 
-def tta_compare(dets: DataFrame, gts: DataFrame, configs: Sequence[tuple[str, int]], nms_iou: float = 0.5, wbf_iou: float = 0.55) -> DataFrame:
-    """Scores of several ways to fuse passes, with the gain over the first. ``configs``: method and passes."""
-    out = None
-    for i, (method, n) in enumerate(configs):
-        part = fusion.dispatch(dets.where(F.col("pass_id") < n), method, n, nms_iou, wbf_iou).withColumn("config_id", F.lit(i))
+def tta_compare(dets: DataFrame, gts: DataFrame, configs: Sequence[tuple[str, int]], nms_iou: float = 0.5, wbf_iou: float = 0.55, min_iou: float = 0.5) -> DataFrame:
+    """Scores of several ways to fuse passes, with the gain over the first. ``configs``: method and passes.
+
+    A box that several ways return alike is one outcome.
+    """
+    dets, n, out = materialise(dets), len(configs), None
+    for i, (method, passes) in enumerate(configs):
+        part = fusion.dispatch(dets.where(F.col("pass_id") < passes), method, passes, nms_iou, wbf_iou)
+        part = part.select("*", *[F.lit(1 << i % 64 if k == i // 64 else 0).cast("bigint").alias(b) for k, b in enumerate(S.words(n))])
         out = part if out is None else out.unionByName(part)
-    truth = gts.withColumn("config_id", F.explode(F.array(*[F.lit(i) for i in range(len(configs))])))
-    scores = materialise(M.hybrid_score(materialise(out), truth, config=["config_id"]))
+    same = ["image_id", "category_id", "pred_id", *"xywh", "score"]
+    found = S.numbered(out.groupBy(*same).agg(*[F.bit_or(b).alias(b) for b in S.words(n)])).withColumn("_box", F.col("_o"))
+    scores = materialise(S.score_settings(found, _met(found, gts, min_iou, "_box"), gts, n))
     base = scores.where(F.col("config_id") == 0).select("hybrid").scalar()
     names = F.array(*[F.lit(m) for m, _ in configs])
     return scores.select("config_id", names[F.col("config_id")].alias("method"), "detection_map", "classification_map", "hybrid", (F.col("hybrid") - base).alias("delta"))

@@ -63,7 +63,15 @@ class Scratch:
         name = f"{SCRATCH}.t_{uuid.uuid4().hex}"
         df.write.format("parquet").saveAsTable(name)
         self.names.append(name)
-        return self.spark.table(name)
+        table = self.spark.table(name)
+        table._scratch_name = name
+        return table
+
+    def discard(self, *tables: DataFrame) -> None:
+        """Drop tables that nothing reads any more before the owner is closed."""
+        for name in (t._scratch_name for t in tables):
+            self.names.remove(name)
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def drop(self, count: int = 1) -> None:
         """Drop the ``count`` oldest tables that are still kept."""

@@ -219,6 +219,37 @@ def _(s, d):
     return out.select("pred_id", "model_id", "image_id", "category_id", "score", *[F.round(c, 5).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+def _flipped_sql(boxes: bool, before: bool) -> str:
+    head = f"WITH {_RAW}, p AS (SELECT pred_id, model_id, image_id, cls AS category_id, score, (cx - w / 2) / 0.32::DOUBLE AS x1, (cy - h / 2 - 160) / 0.32::DOUBLE AS y1, (cx + w / 2) / 0.32::DOUBLE AS x2, (cy + h / 2 - 160) / 0.32::DOUBLE AS y2 FROM raw WHERE score >= 0.25)"
+    turn = "SELECT * REPLACE (4000 - x2 AS x1, 4000 - x1 AS x2) FROM"
+    clip = "SELECT * REPLACE (least(greatest(x1 / 4000, 0), 1) AS x1, least(greatest(y1 / 3000, 0), 1) AS y1, least(greatest(x2 / 4000, 0), 1) AS x2, least(greatest(y2 / 3000, 0), 1) AS y2) FROM"
+    if not boxes:
+        steps = f"f AS ({turn} p), c AS ({clip} f)" if before else f"f AS ({clip} p), c AS (SELECT * REPLACE (1 - x2 AS x1, 1 - x1 AS x2) FROM f)"
+        return f"{head}, {steps} SELECT pred_id, model_id, image_id, category_id, score, round(x1, 5) AS x1, round(y1, 5) AS y1, round(x2, 5) AS x2, round(y2, 5) AS y2 FROM c WHERE x2 > x1 AND y2 > y1"
+    shape = "b AS (SELECT pred_id, model_id, image_id, category_id, score, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM p)"
+    turn = "SELECT * REPLACE (4000 - x - w AS x) FROM"
+    clip = "SELECT * REPLACE (least(greatest(w, 0), 4000 - x) AS w, least(greatest(h, 0), 3000 - y) AS h) FROM (SELECT * REPLACE (least(greatest(x, 0), 4000) AS x, least(greatest(y, 0), 3000) AS y) FROM {})"
+    steps = f"f AS ({turn} b), c AS ({clip.format('f')})" if before else f"f AS ({clip.format('b')}), c AS ({turn} f)"
+    return f"{head}, {shape}, {steps} SELECT pred_id, model_id, image_id, category_id, score, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h FROM c WHERE w > 0 AND h > 0"
+
+
+for _boxes, _before in ((False, True), (False, False), (True, True), (True, False)):
+    def _flipped(s, d, boxes=_boxes, before=_before):
+        t = T(s, d)
+        decode, names, digits = (D.decode_boxes, "xywh", 4) if boxes else (D.decode_detections, ("x1", "y1", "x2", "y2"), 5)
+        out = decode(raw_rows(t), t.images, 1280, 0.25, flipped=True, flip_before_clip=before)
+        return out.select("pred_id", "model_id", "image_id", "category_id", "score", *[F.round(c, digits).alias(c) for c in names])
+
+    query(f"decode_{'boxes' if _boxes else 'detections'}_flipped_{'before' if _before else 'after'}_clip", _flipped_sql(_boxes, _before))(_flipped)
+
+
+@query("decode_boxes", _flipped_sql(True, True).replace("SELECT * REPLACE (4000 - x - w AS x) FROM b", "SELECT * FROM b"))
+def _(s, d):
+    t = T(s, d)
+    out = D.decode_boxes(raw_rows(t), t.images, 1280, 0.25)
+    return out.select("pred_id", "model_id", "image_id", "category_id", "score", *[F.round(c, 4).alias(c) for c in "xywh"])
+
+
 @query("flt_1_conf_filter", "SELECT pred_id, score FROM fx_predictions WHERE score >= 0.4")
 def _(s, d):
     return D.confident(T(s, d).predictions, 0.4).select("pred_id", "score")
@@ -304,17 +335,18 @@ def _(s, d):
 
 
 @query("join_2_ann_category_name", """SELECT a.ann_id AS ann_id, coalesce(c.name, '?') AS name, coalesce(c.name, concat('cat_', CAST(a.category_id AS VARCHAR))) AS label
-   FROM fx_annotations a LEFT JOIN fx_categories c ON a.category_id = c.category_id AND c.category_id % 6 <> 1""")
+   FROM fx_annotations a LEFT JOIN fx_categories c ON a.category_id = c.category_id + CASE WHEN c.category_id % 6 = 1 THEN 1000000 ELSE 0 END""")
 def _(s, d):
     t = T(s, d)
-    known = t.categories.where("category_id % 6 <> 1")  # the others have no name
+    c = F.col("category_id")
+    known = t.categories.withColumn("category_id", (c + F.when(c % 6 == 1, 1000000).otherwise(0)).cast("int"))  # some classes have no name
     return catalog.annotation_names(t.annotations, known).select("ann_id", "name", "label")
 
 
 @query("join_21_existing_files", "SELECT image_id, file_name FROM fx_images WHERE image_id % 3 <> 1")
 def _(s, d):
     t = T(s, d)
-    there = t.images.where("image_id % 3 <> 1").select(F.concat(F.lit("/data/images/"), F.col("file_name")).alias("path"))
+    there = t.images.select(F.concat(F.lit("/data/images/"), F.when(F.col("image_id") % 3 == 1, "old_").otherwise(""), F.col("file_name")).alias("path"))
     return readers.existing_files(t.images.select("image_id", "file_name"), there)
 
 

@@ -112,10 +112,15 @@ def _(s, d):
     return catalog.unmatched_products(t.categories, _products(t)).select("product_name", "ordinal")
 
 
-@query("join_4_categories_without_reference", "SELECT c.category_id AS category_id, c.name AS name, coalesce(n.n, 0) AS n FROM fx_categories c LEFT JOIN fx_counts n ON n.category_id = c.category_id AND n.category_id % 2 = 1 WHERE c.name NOT IN (SELECT product_name FROM fx_products)")
+def _elsewhere(df, moved):
+    """Rows under the ids of other classes, so that their own classes have none."""
+    return df.withColumn("category_id", (F.col("category_id") + F.when(moved, 1000000).otherwise(0)).cast("int"))
+
+
+@query("join_4_categories_without_reference", "SELECT c.category_id AS category_id, c.name AS name, coalesce(n.n, 0) AS n FROM fx_categories c LEFT JOIN fx_counts n ON n.category_id + CASE WHEN n.category_id % 2 = 0 THEN 1000000 ELSE 0 END = c.category_id WHERE c.name NOT IN (SELECT product_name FROM fx_products)")
 def _(s, d):
     t = T(s, d)
-    return catalog.categories_without_reference(t.categories, t.products.select("product_name"), t.counts.where("category_id % 2 = 1"))
+    return catalog.categories_without_reference(t.categories, t.products.select("product_name"), _elsewhere(t.counts, F.col("category_id") % 2 == 0))
 
 
 @query("snk_6_mapping_rows", f"WITH {_MAPPED} SELECT CAST(category_id AS VARCHAR) AS key, concat('{{\"name\":\"', name, '\",\"product_code\":\"', product_code, '\"}}') AS value FROM pmap")
@@ -137,26 +142,26 @@ def _(s, d):
     return _codes(T(s, d)).where(S.only_digits(F.col("product_code"))).select("category_id", F.col("product_code").alias("code"))
 
 
-@query("flt_8_rare_categories", f"SELECT p.category_id AS category_id, coalesce(c.n, 0) AS n FROM (SELECT category_id, {_CODE} AS code FROM fx_products) p LEFT JOIN fx_counts c ON c.category_id = p.category_id AND c.category_id % 3 <> 0 WHERE regexp_matches(code, '^[0-9]+$') AND coalesce(c.n, 0) <= 30")
+@query("flt_8_rare_categories", f"SELECT p.category_id AS category_id, coalesce(c.n, 0) AS n FROM (SELECT category_id, {_CODE} AS code FROM fx_products) p LEFT JOIN fx_counts c ON c.category_id + CASE WHEN c.category_id % 3 = 0 THEN 1000000 ELSE 0 END = p.category_id WHERE regexp_matches(code, '^[0-9]+$') AND coalesce(c.n, 0) <= 30")
 def _(s, d):
     t = T(s, d)
-    return catalog.rare_categories(_codes(t), t.counts.where("category_id % 3 <> 0"), 30).select("category_id", "n")
+    return catalog.rare_categories(_codes(t), _elsewhere(t.counts, F.col("category_id") % 3 == 0), 30).select("category_id", "n")
 
 
-_HITS = """hits AS (SELECT CAST(p_partkey % 45 AS INT) AS category_id, CAST(floor(p_partkey / 45.0) AS INT) AS rank,
+_HITS = """hits AS (SELECT CAST(p_partkey % 45 + CASE WHEN (p_partkey % 45) % 11 = 7 THEN 1000000 ELSE 0 END AS INT) AS category_id, CAST(floor(p_partkey / 45.0) AS INT) AS rank,
      CASE WHEN (p_partkey % 45) % 4 = 0 AND p_partkey % 6 = 0 THEN concat('product  ', CAST(p_partkey % 45 AS VARCHAR)) WHEN (p_partkey % 45) % 4 = 1 AND p_partkey % 6 = 3 THEN upper(concat('product ', CAST(p_partkey % 45 AS VARCHAR))) ELSE p_name END AS name,
      CASE WHEN (p_partkey % 45) % 3 = 0 AND p_partkey % 4 = 0 THEN CAST(7000000000000 + (p_partkey % 45) * 97 AS VARCHAR) WHEN p_partkey % 7 = 1 THEN '' ELSE CAST(7100000000000 + p_partkey AS VARCHAR) END AS ean,
      CASE WHEN p_partkey % 3 <> 1 THEN concat('http://img/', CAST(p_partkey AS VARCHAR)) ELSE '' END AS image, p_brand AS brand,
-     CASE WHEN (p_partkey % 45) % 13 = 5 THEN 'timeout' END AS error FROM part WHERE (p_partkey % 45) % 11 <> 7)"""
+     CASE WHEN (p_partkey % 45) % 13 = 5 THEN 'timeout' END AS error FROM part)"""
 
 
 def _hits(t: T):
     k = F.col("p_partkey")
     c = k % 45
     text = F.col("_c")
-    rows = t.part.where(c % 11 != 7).withColumn("_c", c.cast("string"))
+    rows = t.part.withColumn("_c", c.cast("string"))
     return rows.select(
-        c.cast("int").alias("category_id"), F.floor(k / 45.0).cast("int").alias("rank"),
+        (c + F.when(c % 11 == 7, 1000000).otherwise(0)).cast("int").alias("category_id"), F.floor(k / 45.0).cast("int").alias("rank"),
         F.when((c % 4 == 0) & (k % 6 == 0), F.concat(F.lit("product  "), text)).when((c % 4 == 1) & (k % 6 == 3), F.upper(F.concat(F.lit("product "), text))).otherwise(F.col("p_name")).alias("name"),
         F.when((c % 3 == 0) & (k % 4 == 0), (F.lit(7000000000000) + c * 97).cast("string")).when(k % 7 == 1, "").otherwise((F.lit(7100000000000) + k).cast("string")).alias("ean"),
         F.when(k % 3 != 1, F.concat(F.lit("http://img/"), k.cast("string"))).otherwise("").alias("image"), F.col("p_brand").alias("brand"),
@@ -254,11 +259,11 @@ def _(s, d):
 
 
 @query("join_13_embedding_corrections", f"""WITH {_EMB} SELECT ann_id, gt_cat AS old_cat, best_cat AS new_cat, round(gt_sim, 4) AS gt_sim, round(best_sim, 4) AS best_sim, coalesce(CASE WHEN gt_sim >= 0 THEN round(best_sim - gt_sim, 4) END, -9.0) AS margin
-   FROM near LEFT JOIN (SELECT category_id, corrected_count FROM fx_products WHERE category_id % 2 = 0) p ON p.category_id = near.gt_cat
+   FROM near LEFT JOIN (SELECT category_id + CASE WHEN category_id % 2 = 1 THEN 1000000 ELSE 0 END AS category_id, corrected_count FROM fx_products) p ON p.category_id = near.gt_cat
    WHERE best_cat <> gt_cat AND best_sim >= 0.25 AND (gt_sim < 0 OR best_sim - gt_sim >= 0.05) AND coalesce(corrected_count, -1) <> 0""")
 def _(s, d):
     t = T(s, d)
-    out = cleaning.embedding_corrections(cleaning.nearest_reference(_crops(t), _centroids(t)), t.products.where("category_id % 2 = 0").select("category_id", "corrected_count"))
+    out = cleaning.embedding_corrections(cleaning.nearest_reference(_crops(t), _centroids(t)), _elsewhere(t.products.select("category_id", "corrected_count"), F.col("category_id") % 2 == 1))
     return out.withColumn("margin", F.coalesce("margin", F.lit(-9.0)))
 
 
@@ -613,25 +618,27 @@ def _(s, d):
 
 
 _BOOST = """b0 AS (SELECT c.category_id, c.name, coalesce(n.n, 0) AS n, coalesce(p.corrected_count, 0) AS corrected_count, CASE WHEN coalesce(p.annotation_count // 20, 0) <> 0 THEN p.annotation_count // 20 ELSE coalesce(n.n, 0) END AS seen
-     FROM fx_categories c LEFT JOIN (SELECT category_id, CASE WHEN category_id % 10 = 1 THEN 7 ELSE n END AS n FROM fx_counts WHERE category_id % 11 <> 3) n USING (category_id) LEFT JOIN fx_products p ON p.product_name = c.name),
+     FROM fx_categories c LEFT JOIN (SELECT category_id + CASE WHEN category_id % 11 = 3 THEN 1000000 ELSE 0 END AS category_id, CASE WHEN category_id % 10 = 1 THEN 7 ELSE n END AS n FROM fx_counts) n USING (category_id) LEFT JOIN fx_products p ON p.product_name = c.name),
    b1 AS (SELECT *, CASE WHEN seen <> 0 THEN corrected_count / seen ELSE 0.0 END AS f FROM b0),
    b2 AS (SELECT *, n > 0 AND n <= 5 AS is_rare, n > 5 AND n <= 10 AS is_tail, name <> 'unknown_product' AND corrected_count >= 5 AND f >= 0.5 AS is_high, name <> 'unknown_product' AND corrected_count >= 5 AND f < 0.5 AND f >= 0.3 AS is_mid FROM b1),
    boost AS (SELECT category_id, name, n, corrected_count, round(f, 4) AS correction_fraction, least(6, greatest(1, CASE WHEN is_rare THEN 6 ELSE 1 END, CASE WHEN is_tail THEN 3 ELSE 1 END, CASE WHEN is_high THEN 4 ELSE 1 END, CASE WHEN is_mid THEN 3 ELSE 1 END)) AS repeat,
      concat_ws(',', CASE WHEN is_rare THEN 'rare<=5' END, CASE WHEN is_tail THEN 'tail<=10' END, CASE WHEN is_high THEN 'corr>=0.50' END, CASE WHEN is_mid THEN 'corr>=0.30' END) AS reasons FROM b2)"""
 _REP = f"""{_BOOST}, pi AS (SELECT a.image_id, count(*) AS n, count_if(b.repeat > 1) AS boosted, max(b.repeat) AS strongest, string_agg(DISTINCT CASE WHEN b.repeat > 1 THEN lpad(CAST(a.category_id AS VARCHAR), 6, '0') END, ',' ORDER BY CASE WHEN b.repeat > 1 THEN lpad(CAST(a.category_id AS VARCHAR), 6, '0') END) AS sources
-     FROM fx_annotations a JOIN boost b USING (category_id) WHERE a.ann_id % 50 < a.image_id % 30 GROUP BY a.image_id),
+     FROM (SELECT category_id, CASE WHEN ann_id % 50 < image_id % 30 THEN image_id ELSE image_id - image_id % 30 END AS image_id FROM fx_annotations) a JOIN boost b USING (category_id) GROUP BY a.image_id),
    pj AS (SELECT i.image_id, i.file_name, coalesce(n, 0) AS n, coalesce(boosted, 0) AS boosted, coalesce(strongest, 1) AS strongest, coalesce(sources, '') AS sources FROM fx_images i LEFT JOIN pi USING (image_id)),
    rep AS (SELECT image_id, file_name, CASE WHEN strongest > 1 AND (boosted >= 3 OR boosted / greatest(n, 1) >= 0.12) THEN strongest WHEN strongest >= 4 THEN 2 ELSE 1 END AS repeat, n, boosted, round(boosted / greatest(n, 1), 4) AS boost_share, sources FROM pj)"""
 
 
 def _boost(t: T):
     c = F.col("category_id")
-    counts = t.counts.where(c % 11 != 3).withColumn("n", F.when(c % 10 == 1, 7).otherwise(F.col("n")))
+    counts = _elsewhere(t.counts.withColumn("n", F.when(c % 10 == 1, 7).otherwise(F.col("n"))), c % 11 == 3)
     return sampling.boost_table(t.categories, counts, t.products.withColumn("annotation_count", F.floor(F.col("annotation_count") / 20.0)))
 
 
 def _repeats(t: T):
-    return sampling.image_repeats(t.images, t.annotations.where("ann_id % 50 < image_id % 30"), _boost(t))
+    # Most boxes are gathered on every thirtieth image, so the others hold none to thirty.
+    gathered = t.annotations.withColumn("image_id", F.expr("CASE WHEN ann_id % 50 < image_id % 30 THEN image_id ELSE image_id - image_id % 30 END"))
+    return sampling.image_repeats(t.images, gathered, _boost(t))
 
 
 @query("agg_21_boost_table", f"WITH {_BOOST} SELECT * FROM boost")
@@ -679,13 +686,13 @@ def _(s, d):
     return writers.json_report(sampling.boost_report(boost, _repeats(t)).select("n_images", "entries"), boosted=(top, [F.col("repeat").desc(), F.col("category_id")]))
 
 
-_REAL = "real AS (SELECT file_name, split, image_id FROM fx_images JOIN split USING (image_id)), syn AS (SELECT CASE WHEN image_id % 3 = 0 THEN file_name ELSE concat('syn_', file_name) END AS file_name, 'train' AS split, image_id + 100000 AS image_id FROM fx_images WHERE image_id % 2 = 0)"
+_REAL = "real AS (SELECT file_name, split, image_id FROM fx_images JOIN split USING (image_id)), syn AS (SELECT CASE WHEN image_id % 3 = 0 THEN file_name ELSE concat('syn_', file_name) END AS file_name, 'train' AS split, image_id + 100000 AS image_id FROM fx_images)"
 
 
 def _sources(t: T):
     real = t.images.join(_split(t), "image_id").select("file_name", "split", "image_id")
     name = F.when(F.col("image_id") % 3 == 0, F.col("file_name")).otherwise(F.concat(F.lit("syn_"), F.col("file_name")))
-    syn = t.images.where("image_id % 2 = 0").select(name.alias("file_name"), F.lit("train").alias("split"), (F.col("image_id") + 100000).alias("image_id"))
+    syn = t.images.select(name.alias("file_name"), F.lit("train").alias("split"), (F.col("image_id") + 100000).alias("image_id"))
     return real, syn
 
 

@@ -105,12 +105,15 @@ def _(s, d):
     return suppression.concat_nms(passes, 0.3).select("pred_id", "image_id", "category_id", "score")
 
 
-@query("fus_3_merge_flip", f"""WITH RECURSIVE both_passes AS (SELECT * FROM fx_predictions WHERE model_id = 0 AND image_id % 3 <> 0 UNION ALL SELECT * FROM fx_predictions WHERE model_id = 1 AND image_id % 3 <> 0),
+@query("fus_3_merge_flip", f"""WITH RECURSIVE turned AS (SELECT * REPLACE (CASE WHEN image_id % 3 = 0 THEN image_id + 1 ELSE image_id END AS image_id) FROM fx_predictions WHERE model_id > 0),
+   both_passes AS (SELECT * FROM fx_predictions WHERE model_id = 0 AND image_id IN (SELECT image_id FROM turned) UNION ALL SELECT * FROM turned),
    {Q.nms('lost', 'both_passes', 0.5)} SELECT pred_id, model_id FROM both_passes WHERE pred_id NOT IN (SELECT pred_id FROM lost)
-   UNION ALL SELECT pred_id, model_id FROM fx_predictions WHERE model_id = 0 AND image_id % 3 = 0""")
+   UNION ALL SELECT pred_id, model_id FROM fx_predictions WHERE model_id = 0 AND image_id NOT IN (SELECT image_id FROM turned)""")
 def _(s, d):
     p = T(s, d).predictions
-    return suppression.merge_flip(p.where("model_id = 0"), p.where("model_id = 1 AND image_id % 3 <> 0"), 0.5).select("pred_id", "model_id")
+    # A third of the images has its flipped boxes on the next one, and none of its own.
+    turned = p.where("model_id > 0").withColumn("image_id", F.expr("CASE WHEN image_id % 3 = 0 THEN image_id + 1 ELSE image_id END"))
+    return suppression.merge_flip(p.where("model_id = 0"), turned, 0.5).select("pred_id", "model_id")
 
 
 def _passes(t: T):
@@ -277,10 +280,24 @@ def _(s, d):
 _BUCKET = "CASE WHEN n_gt = 1 THEN '1' WHEN n_gt <= 3 THEN '2-3' WHEN n_gt <= 5 THEN '4-5' WHEN n_gt <= 10 THEN '6-10' WHEN n_gt <= 25 THEN '11-25' ELSE '26+' END"
 
 
-@query("met_7_tail_buckets", f"WITH RECURSIVE {_CLS} SELECT {_BUCKET} AS bucket, count(*) AS n_classes, round(avg(ap), 6) AS mean_ap, round(avg(n_gt), 6) AS mean_gt FROM ca GROUP BY 1")
+def _sized(df, ann):
+    """A fortieth of the boxes goes to classes of 1, 2, 4, 8, ... annotations, so every bucket has some."""
+    small = F.length(F.bin(F.floor(ann / 40) + 1)) + 10000
+    return df.withColumn("category_id", F.when(ann % 40 == 3, small).otherwise(F.col("category_id")).cast("int"))
+
+
+def _sized_sql(ann: str) -> str:
+    return f"CAST(CASE WHEN {ann} % 40 = 3 THEN strlen(bin({ann} // 40 + 1)) + 10000 ELSE category_id END AS INT) AS category_id"
+
+
+_TAIL = f"""sized_annotations AS (SELECT * REPLACE ({_sized_sql('ann_id')}) FROM fx_annotations), sized_predictions AS (SELECT * REPLACE ({_sized_sql('(pred_id // 3)')}) FROM fx_predictions),
+   {_CLS.replace('fx_annotations', 'sized_annotations').replace('fx_predictions', 'sized_predictions')}"""
+
+
+@query("met_7_tail_buckets", f"WITH RECURSIVE {_TAIL} SELECT {_BUCKET} AS bucket, count(*) AS n_classes, round(avg(ap), 6) AS mean_ap, round(avg(n_gt), 6) AS mean_gt FROM ca GROUP BY 1")
 def _(s, d):
     t = T(s, d)
-    out = metrics.tail_buckets(metrics.per_class_ap(t.predictions, t.gts))
+    out = metrics.tail_buckets(metrics.per_class_ap(_sized(t.predictions, F.floor(F.col("pred_id") / 3)), _sized(t.gts, F.col("gt_id"))))
     return out.select("bucket", "n_classes", r6("mean_ap").alias("mean_ap"), r6("mean_gt").alias("mean_gt"))
 
 
@@ -355,7 +372,7 @@ def _wbf_sql(confs, ious, weights, caps) -> str:
         for t in ious:
             for w in weights:
                 z = f"z{n}"
-                parts += [f"{z}_src AS (SELECT * FROM fx_predictions WHERE model_id < 2 AND score >= {c})",
+                parts += [f"{z}_src AS (SELECT * FROM fx_predictions WHERE score >= {c})",
                           Q.fuse(z, f"{z}_src", t, True, f"score * [{', '.join(f'{x}::DOUBLE' for x in w)}][model_id + 1]")]
                 share = f"least(c.n, {len(w)}) / {float(sum(w))!r}::DOUBLE"
                 parts.append(f"{z}_rank AS (SELECT image_id, category_id, pred_id, c.x AS x, c.y AS y, c.w AS w, c.h AS h, c.s / c.n * ({share}) AS score, row_number() OVER (PARTITION BY image_id ORDER BY c.s / c.n * ({share}) DESC, pred_id) AS rn FROM {z})")
@@ -369,11 +386,11 @@ def _wbf_sql(confs, ious, weights, caps) -> str:
 
 
 def _wbf(t: T, *grid):
-    out = sweeps.wbf_sweep(t.predictions.where("model_id < 2"), t.gts, *grid)
+    out = sweeps.wbf_sweep(t.predictions, t.gts, *grid)
     return _rounded(out.withColumn("weights", F.concat_ws("/", F.transform("weights", lambda w: w.cast("string")))))
 
 
-_SMALL_WBF = ([0.05, 0.2], [0.55], [[1.0, 1.5]], [40, 300])
+_SMALL_WBF = ([0.05, 0.2], [0.55], [[1.0, 1.5, 0.8]], [40, 300])
 
 
 @query("swp_2_wbf_sweep_small", _wbf_sql(*_SMALL_WBF))
@@ -381,7 +398,7 @@ def _(s, d):
     return _wbf(T(s, d), *_SMALL_WBF)
 
 
-_FULL_WBF = ([0.01, 0.05, 0.1, 0.2], [0.5, 0.55, 0.6], [[1.0, 1.0], [1.0, 1.2], [1.0, 1.5]], [100, 300])
+_FULL_WBF = ([0.01, 0.05, 0.1, 0.2], [0.5, 0.55, 0.6], [[1.0, 1.0, 1.0], [1.0, 1.2, 0.8], [1.0, 1.5, 0.5]], [100, 300])
 
 
 @query("swp_2_wbf_sweep", _wbf_sql(*_FULL_WBF))
@@ -418,9 +435,9 @@ def _(s, d):
     return _rounded(_policies(T(s, d), CLS_TS, DET_TS))
 
 
-@query("swp_3_best_policy", _policy_sql([0.5], [0.7], best=True))
+@query("swp_3_best_policy", _policy_sql(CLS_TS, DET_TS, best=True))
 def _(s, d):
-    return _rounded(sweeps.best_policy(_policies(T(s, d), [0.5], [0.7])))
+    return _rounded(sweeps.best_policy(_policies(T(s, d), CLS_TS, DET_TS)))
 
 
 def _tta_sql() -> str:
