@@ -6,39 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlore.session import Scratch
+from boxlore.operators.components import components
 
-
-def components(pairs: DataFrame, own: Scratch, a: str = "a", b: str = "b") -> DataFrame:
-    """``id, component`` (smallest id reachable) of every id in ``pairs``.
-
-    Every round unites each id with the neighbour of best priority, a fresh hash per round, and
-    goes on with the contracted links. Priorities by hash make long chains shrink as fast as
-    stars, so rounds grow with the logarithm of the ids. All state is in tables.
-    Loops, repeated and null links are ignored.
-    """
-    links = own.keep(
-        pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    )
-    rounds: list[DataFrame] = []
-    while rounds == [] or not links.isEmpty():
-        salt = F.lit(len(rounds))
-        rank = lambda c: F.struct(F.xxhash64(c, salt).alias("h"), F.col(c).alias("v"))
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        hook = own.keep(best.select(F.col("a").alias("id"), F.least(rank("a"), F.col("m"))["v"].alias("up")))
-        left, right = hook.select(F.col("id").alias("a"), F.col("up").alias("p")), hook.select(F.col("id").alias("b"), F.col("up").alias("q"))
-        links = own.keep(
-            links.join(left, "a").join(right, "b").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        )
-        rounds.append(hook)
-    root = rounds[-1].select("id", F.col("up").alias("root"))
-    for hook in reversed(rounds[:-1]):
-        later = root.select(F.col("id").alias("up"), F.col("root").alias("far"))
-        root = hook.join(later, "up", "left").select("id", F.coalesce("far", "up").alias("root"))
-    root = own.keep(root)
-    least = root.groupBy("root").agg(F.min(F.least("id", "root")).alias("component"))
-    return root.join(least, "root").select("id", "component")
+__all__ = ["components", "forest", "in_chunks"]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
