@@ -168,31 +168,49 @@ def test_span_dedup_of_repeated_bytes(spark):
     assert rest.columns == frame.columns and rest.count() == 4 and rest.where("doc_id IS NULL").first().text == "ab" * 90
 
 
-def test_language_model_counts(docs, rows, own):
-    got = {r.doc_id: r for r in language_model.scores(docs, own, part=2000).collect()}
-    tokens = {r[0]: [*words(r[1]), None] for r in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+@pytest.mark.parametrize("layout", [1, 3, 8])
+def test_language_model(spark, rows, own, layout):
+    """The automaton one token at a time; the layout of the table changes nothing."""
+    data = [*rows, (3, "again a text", "en", None, "x", None), (None, "a b", "en", None, "x", None)]
+    docs = spark.createDataFrame(data, DOCS).repartition(layout)
+    got = defaultdict(list)
+    for r in language_model.scores(docs, own, part=2000).collect():
+        got[r.doc_id].append(r)
+    texts_ = [(r[0], [*words(r[1]), None]) for r in data if r[0] is not None]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts_}
     c, pairs = Counter(), Counter()
-    for i, t in tokens.items():
+    for i, t in texts_:
         if not held[i]:
             c.update(t)
             pairs.update(zip(["<"] + t, t, strict=False))
     total, distinct = sum(c.values()), len(c)
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), total)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in t), rel=1e-9)
-    # The same automaton, one token at a time; only the divisor inside pair arcs is a bound from above.
-    for i in list(tokens)[:30]:
-        score, last, strong = 0.0, "<", False
-        for w in tokens[i]:
-            state = c[None] if last == "<" else c[last]
-            share = pairs[last, w] / state if state else 0
-            weight = language_model.PAIR_HIGH if strong else language_model.PAIR_LOW
+    state = {"<": c[None]} | {w: n for w, n in c.items() if w is not None}
+    level = lambda h: "<" if h == "<" else state[h].bit_length()
+    seen, fresh = Counter(), Counter()
+    for h, n in state.items():
+        seen[level(h)] += n
+    for h, _ in pairs:
+        fresh[level(h)] += 1
+    left = {h: fresh[level(h)] / (seen[level(h)] + fresh[level(h)]) for h in state}
+    for h in list(state)[:40]:  # what leaves a state is one
+        known = [w for g, w in pairs if g == h]
+        arcs = sum((1 - left[h]) * pairs[h, w] / state[h] + left[h] * (c[w] + 1) / (total + distinct + 1) for w in known)
+        assert arcs + left[h] * (1 - sum((c[w] + 1) / (total + distinct + 1) for w in known)) == pytest.approx(1)
+    want = defaultdict(list)
+    for i, t in texts_:
+        score, last = 0.0, "<"
+        for w in t:
             root = (c[w] + 1) / (total + distinct + 1)
-            score += math.log10(weight * share + (1 - weight) * root) if share else math.log10((1 - weight if state else 1) * root)
-            last, strong = w, share >= language_model.STRONG
-        assert got[i].score == pytest.approx(score, rel=0.02)
+            out = left.get(last, 1.0)
+            score += math.log10((1 - out) * pairs[last, w] / state[last] + out * root) if pairs[last, w] else math.log10(out * root)
+            last = w
+        base = sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in t)
+        want[i].append((held[i], len(t), sum(c[w] > 0 for w in t), total, base, score))
+    assert got.keys() == want.keys()
+    for i, rows_ in want.items():
+        for r, (*exact, base, score) in zip(sorted(got[i], key=lambda r: r.score), sorted(rows_, key=lambda r: r[-1]), strict=True):
+            assert [r.held_out, r.n_tokens, r.n_known, r.train_tokens] == exact
+            assert (r.base_score, r.score) == (pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-9))
 
 
 def test_packing(docs, rows, own):
