@@ -35,6 +35,13 @@ NOISE = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+# Noise that stays noise however long it is, and words that say where or how, but not what.
+ALWAYS = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus promo promoted sponsor sponsored".split())
+PLAIN = frozenset(
+    "area article articles aside bar block body bottom box button buttons center col column container content desktop entry fixed global group "
+    "holder icon icons inner item items left link links list main mobile module outer page panel post posts primary right row secondary section "
+    "site sticky story text title top wrap wrapper".split()
+)
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # A start tag of the first kind ends an open element of the second kind, unless one of the third stands between.
 _ENDS = {
@@ -43,9 +50,9 @@ _ENDS = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[a-z0-9]+")
 
 
@@ -57,6 +64,8 @@ class Node:
     digest: int = 0
     size: int = 0
     place: int = 0
+    length: int = 0
+    spared: bool = False
 
 
 def parse(page: str) -> Node:
@@ -125,6 +134,17 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
             todo.extend((k, False) for k in reversed(node.kids) if isinstance(k, Node))
 
 
+def spare(root: Node) -> None:
+    """Mark what only looks like noise: a form, or an element with such a name, that holds most of the page's text."""
+    for node, out in _walk(root):
+        if out:
+            own = sum(k.length if isinstance(k, Node) else len(k) for k in node.kids)
+            node.length = 0 if node.tag in NEVER and node.tag != "form" else own
+    for node, out in _walk(root):
+        if not out and 2 * node.length > root.length:
+            node.spared = ALWAYS.isdisjoint(w for m in _marks(node) for w in _PART.findall(m))
+
+
 def hash_subtrees(root: Node) -> None:
     """Digest of each element: name, attributes and content, white space squeezed, and the names of
     the elements around it; size is that of the text without noise."""
@@ -149,18 +169,27 @@ def hash_subtrees(root: Node) -> None:
                 node.size = 0
 
 
+def _marks(node: Node) -> list[str]:
+    return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split() if node.attrs else []
+
+
+def _named_noise(mark: str) -> bool:
+    """Whether a class or id as a whole says noise: ``site-footer`` does, ``has-sidebar`` does not."""
+    parts = _PART.findall(mark)
+    return any(p in NOISE for p in parts) and all(p in NOISE or p in PLAIN or p.isdigit() for p in parts)
+
+
 def _noise(node: Node, in_article: bool) -> bool:
-    if node.tag in NEVER or "hidden" in node.attrs and node.attrs["hidden"] != "until-found":
+    if node.tag in NEVER and not (node.tag == "form" and node.spared) or "hidden" in node.attrs and node.attrs["hidden"] != "until-found":
         return True
     if node.tag == "header" and not in_article or not node.attrs:
         return node.tag == "header" and not in_article
-    if node.attrs.get("role", "").lower() in ROLES or node.attrs.get("aria-hidden", "").lower() == "true":
+    if node.attrs.get("aria-hidden", "").lower() == "true":
         return True
     if node.tag in ("article", "main", "body", "html"):
         marks = node.attrs.get("class", "").lower().split()
         return node.tag == "article" and any(m in ("comment", "teaser", "promo", "ad") for m in marks)
-    marks = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
-    return marks != " " and not NOISE.isdisjoint(_PART.findall(marks))
+    return not node.spared and (node.attrs.get("role", "").lower() in ROLES or any(map(_named_noise, _marks(node))))
 
 
 def main_roots(root: Node) -> list[Node]:
@@ -232,6 +261,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, sets = [], []
             for page in part.column("html").to_pylist():
                 root = parse(page or "")
+                spare(root)
                 hash_subtrees(root)
                 roots = main_roots(root)
                 text = "\n\n".join(blocks(roots, frozenset()))
@@ -259,6 +289,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = []
             for page, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist(), strict=True):
                 root = parse(page or "")
+                spare(root)
                 roots = main_roots(root)
                 if gone:
                     hash_subtrees(root)
@@ -278,7 +309,10 @@ def extract(pages: DataFrame, own: Scratch, recurs: int = RECURS, share: float =
     whole subtree stands under elements of the same names on at least ``recurs`` and a ``share`` of
     the host's pages. Pages of one text are one page, whatever their keys, so copied articles stay.
     Neither the body, the main part, nor an element with most of the page's text is taken for a
-    template, nor anything on a page without a host.
+    template, nor anything on a page without a host. An element is noise by its name only if a class
+    or id says so as a whole, and neither by its name nor as a form if it holds most of the page's
+    text, unless it is named as advertising, consent or comments. On pages whose articles are
+    marked as such, templates decide only what recurs inside them.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     base = pages.select(

@@ -24,6 +24,7 @@ def own(spark):
 
 def text_of(page, templates=frozenset()):
     root = main_text.parse(page)
+    main_text.spare(root)
     main_text.hash_subtrees(root)
     return "\n\n".join(main_text.blocks(main_text.main_roots(root), templates))
 
@@ -40,6 +41,16 @@ def text_of(page, templates=frozenset()):
     ("<div><p>a</div></span></div><p title='1>2'>b</p>", "a\n\nb"),
     ("<body><div id='cookie-notice'>ok?</div><p>a</p><p hidden>h</p><div role=navigation>n</div></body>", "a"),
     ("<article><table><tr><td>1<td>2<tr><td>3</table></article><article class='teaser'>t</article>", "1\n\n2\n\n3"),
+    ("<form><nav>n</nav><article><p>words of the article</p></article><input></form>", "words of the article"),
+    ("<form action=/x><p>words of a page that is one form</p></form><p>b</p>", "words of a page that is one form\n\nb"),
+    ("<div class='has-sidebar'><article><p>a</p></article></div><div class='sidebar'>s</div>", "a"),
+    ("<div class=no-sidebar><p>a</p><div id=sidebar-left>s</div></div>", "a"),
+    ("<div class='comments-enabled'><main><p>a</p><div class='comments-list'>c c c c</div></main></div>", "a"),
+    ("<article><p>a</p><section id='related-work'><p>r</p></section><p class='share-price'>s</p><div class='related-posts'>x</div></article>", "a\n\nr\n\ns"),
+    ("<article><p title=it's>a</p><p>it's b</p><p title=\"x>y\">c</p><a href=/q?a='1'>d</a></article>", "a\n\nit's b\n\nc\n\nd"),
+    ("<div class='comments'><p>comments that are longer than all the rest</p></div><p>a</p>", "a"),
+    ("<div class='ad'><p>an advert that is longer than all the rest</p></div><p>a</p>", "a"),
+    ("<article><p>an article</p><form><p>join</p></form></article>", "an article"),
     ("<p>" * 3000 + "deep", "deep"),
     ("<div>" * 5000 + "x", "x"),
 ])
