@@ -69,14 +69,19 @@ def boost_table(
 def image_repeats(
     images: DataFrame, anns: DataFrame, boost: DataFrame, *, min_boosted: int = 3, min_share: float = 0.12, isolated_repeat: int = 2, strong_floor: int = 4
 ) -> DataFrame:
-    """How often every training image is shown, with the share of boosted boxes and their classes."""
-    factor = boost.select("category_id", "repeat")
-    per = anns.join(factor, "category_id").groupBy("image_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("repeat") > 1).alias("boosted"), F.max("repeat").alias("strongest"),
-        F.array_sort(F.collect_set(F.when(F.col("repeat") > 1, F.col("category_id")))).alias("sources"))
+    """How often every training image is shown, with the share of boosted boxes and their sources.
+
+    A source is a boosted class of the image: ``category_id, name, repeat, reasons`` and its boxes.
+    """
+    # Boxes are counted per class first, so an image's row is as long as it has classes.
+    classes = anns.groupBy("image_id", "category_id").agg(F.count("*").alias("boxes"))
+    source = F.struct("category_id", "name", "repeat", "reasons", "boxes")
+    per = classes.join(boost.select("category_id", "name", "repeat", "reasons"), "category_id").groupBy("image_id").agg(
+        F.sum("boxes").alias("n"), F.sum(F.when(F.col("repeat") > 1, F.col("boxes")).otherwise(0)).alias("boosted"), F.max("repeat").alias("strongest"),
+        F.array_sort(F.collect_list(F.when(F.col("repeat") > 1, source))).alias("sources"))
     rows = images.select("image_id", "file_name").join(per, "image_id", "left").select(
         "image_id", "file_name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("boosted", F.lit(0)).alias("boosted"),
-        F.coalesce("strongest", F.lit(1)).alias("strongest"), F.coalesce("sources", F.array().cast("array<int>")).alias("sources"))
+        F.coalesce("strongest", F.lit(1)).alias("strongest"), F.coalesce("sources", F.array().cast(dict(per.dtypes)["sources"])).alias("sources"))
     share = F.col("boosted") / F.greatest(F.col("n"), F.lit(1))
     repeat = (
         F.when((F.col("strongest") > 1) & ((F.col("boosted") >= min_boosted) | (share >= min_share)), F.col("strongest"))

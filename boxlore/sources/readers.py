@@ -1,8 +1,8 @@
 """Readers with explicit schemas.
 
-Files are whole JSON documents by default; ``lines=True`` reads one record per line, which is
-what large data should use because it splits. A single large document is one task: convert it
-once with :func:`boxlore.sources.writers.to_tables` and read the tables afterwards.
+Files are whole JSON documents by default; ``lines=True`` reads one record per line. Both kinds of
+large files are read by many tasks: lines split by themselves, and the arrays of one large document
+are read by :func:`array_scan`, :func:`coco_arrays` and :func:`predictions_array`.
 """
 
 from __future__ import annotations
@@ -61,6 +61,52 @@ def coco_scan(spark: SparkSession, path: str, lines: bool = False) -> tuple[Data
     return images, anns, cats
 
 
+def array_scan(spark: SparkSession, path: str, schema: T.StructType, array: str | None = None) -> DataFrame:
+    """Records of one array of a large JSON document, with ``_order``, read by as many tasks as it has blocks.
+
+    The file is cut at closing braces, where every task finds the next record's border by itself.
+    ``array`` names an array of the outer object; without it the document is the array. Records
+    are flat: they hold no objects, and no braces in strings; anything else is an error, never a
+    lost record. Records keep the document's order.
+    """
+    cut = spark.read.option("lineSep", "}").text(path).select(
+        "value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("_order"))
+    opened = F.size(F.split("value", r"\{")) - 1
+    cut = cut.select("_order", opened.alias("_opened"), F.substring_index("value", "{", -1).alias("_body"), F.expr("substring(value, 1, length(value) - length(substring_index(value, '{', -1)))").alias("_head"))
+    records = cut.where("_opened > 0").withColumn("_name", F.regexp_extract("_head", r'"([^"\\]*)"\s*:\s*\[\s*\{$', 1))
+    if array is None:
+        mine = records
+    else:
+        # One row per array of the document.
+        starts = records.where("_name <> ''").groupBy("_name").agg(F.min("_order").alias("first")).orderBy("first").collect()
+        names = [r["_name"] for r in starts]
+        if array not in names:
+            return spark.createDataFrame([], T.StructType([*schema.fields, records.schema["_order"]]))
+        key = lambda r: F.struct(F.lit(r["first"]["file"]).alias("file"), F.lit(r["first"]["block"]).alias("block"), F.lit(r["first"]["n"]).alias("n"))
+        at = names.index(array)
+        mine = records.where(F.col("_order") >= key(starts[at]))
+        if at + 1 < len(starts):
+            mine = mine.where(F.col("_order") < key(starts[at + 1]))
+    # A border between records is a comma and white space, or the beginning of the array.
+    clean = F.col("_head").rlike(r'^\s*,?\s*\{$') | (F.col("_name") != "") | F.col("_head").rlike(r'^\s*\[\s*\{$')
+    checked = F.when(clean, F.concat(F.lit("{"), "_body", F.lit("}"))).otherwise(F.raise_error(F.concat(F.lit("not a flat record: "), F.substring("_body", 1, 200))))
+    return mine.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r"), "_order").select("r.*", "_order")
+
+
+def coco_arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`coco_scan` of one large document, by many tasks."""
+    part = lambda name, schema: array_scan(spark, path, schema, name).drop("_order")
+    images = part("images", schemas.IMAGE).withColumnRenamed("id", "image_id")
+    anns = flat_boxes(part("annotations", schemas.ANNOTATION).withColumnRenamed("id", "ann_id"))
+    return images, anns, part("categories", schemas.CATEGORY).withColumnRenamed("id", "category_id")
+
+
+def predictions_array(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`predictions_scan` of one large JSON array, by many tasks."""
+    rows = ranked(array_scan(spark, path, schemas.PREDICTION), [], [F.col("_order").asc()], rank="pred_id")
+    return flat_boxes(rows.withColumn("pred_id", F.col("pred_id") - 1).drop("_order"))
+
+
 def predictions_scan(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
     """Predictions of JSON arrays. ``pred_id`` counts from 0 in the order of the paths and of their rows."""
     rows = _in_order(spark, schemas.PREDICTION, path, lines).drop("_file")

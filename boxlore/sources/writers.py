@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,6 +56,40 @@ def write_yolo_labels(anns: DataFrame, images: DataFrame, split: DataFrame, fold
     ordered.select("split", "label_file", F.coalesce("line", F.lit("")).alias("value")).write.mode("overwrite").partitionBy("split", "label_file").text(folder)
 
 
+def write_label_shards(anns: DataFrame, images: DataFrame, split: DataFrame, folder: str, shards: int = 64, single_class: bool = False) -> None:
+    """All label texts in a bounded number of files, with an index: ``folder/shards`` and ``folder/index``.
+
+    A shard is the texts of its images one after another, by name, each closed by a line end. Lines
+    are streamed in order, so neither an image nor a shard is gathered. The index has one row per
+    image: ``split, label_file, shard, start, n_bytes`` (``n_bytes`` without the closing line end).
+    """
+    named = images.join(split, "image_id").select("image_id", "split", _label_file().alias("label_file"))
+    named = named.withColumn("shard", F.pmod(F.xxhash64("split", "label_file"), F.lit(shards)).cast("int"))
+    rows = named.join(yolo_lines(anns, images, single_class), "image_id", "left").withColumn("value", F.coalesce("line", F.lit("")))
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "split", "label_file", "ann_id")
+    ordered.select("shard", "value").write.partitionBy("shard").option("maxRecordsPerFile", 0).text(f"{folder}/shards")
+    sizes = rows.groupBy("shard", "split", "label_file").agg(F.sum(F.octet_length("value") + 1).alias("n"))
+    before = W.partitionBy("shard").orderBy("split", "label_file").rowsBetween(W.unboundedPreceding, -1)
+    sizes.select("split", "label_file", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), (F.col("n") - 1).alias("n_bytes")).write.parquet(f"{folder}/index")
+
+
+def read_label_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """``split, label_file, labels`` of :func:`write_label_shards`, each text cut out at its place.
+
+    A task holds one shard: choose their number by the size of the labels.
+    """
+    index = spark.read.parquet(f"{folder}/index")
+    shard = F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("int").alias("shard")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{folder}/shards").select(shard, "content")
+
+    def cut(key, part: pa.Table, file: pa.Table) -> pa.Table:
+        raw = b"".join(file.column("content").to_pylist())
+        places = zip(part.column("start").to_pylist(), part.column("n_bytes").to_pylist(), strict=True)
+        return pa.table({"split": part.column("split"), "label_file": part.column("label_file"), "labels": pa.array([raw[a : a + n].decode() for a, n in places], pa.string())})
+
+    return index.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(cut, "split string, label_file string, labels string")
+
+
 def prediction_rows(preds: DataFrame) -> DataFrame:
     """The output contract: box to one decimal, score to four."""
     return preds.select(

@@ -623,8 +623,10 @@ _BOOST = """b0 AS (SELECT c.category_id, c.name, coalesce(n.n, 0) AS n, coalesce
    b2 AS (SELECT *, n > 0 AND n <= 5 AS is_rare, n > 5 AND n <= 10 AS is_tail, name <> 'unknown_product' AND corrected_count >= 5 AND f >= 0.5 AS is_high, name <> 'unknown_product' AND corrected_count >= 5 AND f < 0.5 AND f >= 0.3 AS is_mid FROM b1),
    boost AS (SELECT category_id, name, n, corrected_count, round(f, 4) AS correction_fraction, least(6, greatest(1, CASE WHEN is_rare THEN 6 ELSE 1 END, CASE WHEN is_tail THEN 3 ELSE 1 END, CASE WHEN is_high THEN 4 ELSE 1 END, CASE WHEN is_mid THEN 3 ELSE 1 END)) AS repeat,
      concat_ws(',', CASE WHEN is_rare THEN 'rare<=5' END, CASE WHEN is_tail THEN 'tail<=10' END, CASE WHEN is_high THEN 'corr>=0.50' END, CASE WHEN is_mid THEN 'corr>=0.30' END) AS reasons FROM b2)"""
-_REP = f"""{_BOOST}, pi AS (SELECT a.image_id, count(*) AS n, count_if(b.repeat > 1) AS boosted, max(b.repeat) AS strongest, string_agg(DISTINCT CASE WHEN b.repeat > 1 THEN lpad(CAST(a.category_id AS VARCHAR), 6, '0') END, ',' ORDER BY CASE WHEN b.repeat > 1 THEN lpad(CAST(a.category_id AS VARCHAR), 6, '0') END) AS sources
-     FROM (SELECT category_id, CASE WHEN ann_id % 50 < image_id % 30 THEN image_id ELSE image_id - image_id % 30 END AS image_id FROM fx_annotations) a JOIN boost b USING (category_id) GROUP BY a.image_id),
+_REP = f"""{_BOOST}, pc AS (SELECT a.image_id, b.category_id, b.name, b.repeat, b.reasons, count(*) AS boxes
+     FROM (SELECT category_id, CASE WHEN ann_id % 50 < image_id % 30 THEN image_id ELSE image_id - image_id % 30 END AS image_id FROM fx_annotations) a JOIN boost b USING (category_id) GROUP BY ALL),
+   pi AS (SELECT image_id, sum(boxes) AS n, coalesce(sum(boxes) FILTER (repeat > 1), 0) AS boosted, max(repeat) AS strongest,
+     string_agg(concat_ws(':', category_id, name, repeat, reasons, boxes), ';' ORDER BY category_id) FILTER (repeat > 1) AS sources FROM pc GROUP BY image_id),
    pj AS (SELECT i.image_id, i.file_name, coalesce(n, 0) AS n, coalesce(boosted, 0) AS boosted, coalesce(strongest, 1) AS strongest, coalesce(sources, '') AS sources FROM fx_images i LEFT JOIN pi USING (image_id)),
    rep AS (SELECT image_id, file_name, CASE WHEN strongest > 1 AND (boosted >= 3 OR boosted / greatest(n, 1) >= 0.12) THEN strongest WHEN strongest >= 4 THEN 2 ELSE 1 END AS repeat, n, boosted, round(boosted / greatest(n, 1), 4) AS boost_share, sources FROM pj)"""
 
@@ -648,7 +650,7 @@ def _(s, d):
 
 @query("smp_3_image_repeats", f"WITH {_REP} SELECT * FROM rep")
 def _(s, d):
-    return _repeats(T(s, d)).withColumn("sources", F.concat_ws(",", F.transform("sources", lambda c: F.lpad(c.cast("string"), 6, "0"))))
+    return _repeats(T(s, d)).withColumn("sources", F.concat_ws(";", F.transform("sources", lambda c: F.concat_ws(":", c["category_id"].cast("string"), c["name"], c["repeat"].cast("string"), F.concat_ws(",", c["reasons"]), c["boxes"].cast("string")))))
 
 
 @query("smp_4_oversample", f"WITH {_REP} SELECT image_id, unnest(range(1, repeat + 1)) AS copy FROM rep")
@@ -778,6 +780,15 @@ for _name, _single in (("snk_1_yolo_labels", False), ("snk_1_yolo_labels_single_
       SELECT split, i.image_id AS image_id, replace(i.file_name, '.jpg', '.txt') AS label_file, coalesce(labels, '') AS labels FROM fx_images i JOIN split USING (image_id) LEFT JOIN l USING (image_id)""")(_yolo)
 
 
+@query("snk_1_label_shards", f"""WITH {_SPLIT}, l AS (SELECT image_id, string_agg({_YOLO.format(c='category_id')}, E'\\n' ORDER BY ann_id) AS labels FROM (SELECT * REPLACE (CASE WHEN image_id % 7 = 3 THEN image_id + 1 ELSE image_id END AS image_id) FROM fx_annotations) GROUP BY image_id)
+   SELECT split, replace(i.file_name, '.jpg', '.txt') AS label_file, coalesce(labels, '') AS labels FROM fx_images i JOIN split USING (image_id) LEFT JOIN l USING (image_id)""")
+def _(s, d):
+    t, path = T(s, d), _scratch(s)
+    anns = t.annotations.withColumn("image_id", F.when(F.expr("image_id % 7 = 3"), F.col("image_id") + 1).otherwise(F.col("image_id")))
+    writers.write_label_shards(anns, t.images, _split(t), path, 16)
+    return writers.read_label_shards(s, path)
+
+
 @query("snk_2_predictions_json", "SELECT image_id, category_id, x, y, w, h, score FROM fx_predictions")
 def _(s, d):
     path = _scratch(s)
@@ -806,18 +817,56 @@ def _coco_doc(t: T, path: str) -> None:
         docs.select(*[F.col(k) if k == kind else F.array().cast(v).alias(k) for k, v in kinds.items()]).write.mode("append").json(path)
 
 
-@query("src_1_coco_scan", """SELECT 'image' AS kind, image_id AS id, file_name AS label, CAST(width AS DOUBLE) AS v FROM fx_images UNION ALL SELECT 'annotation', ann_id, CAST(category_id AS VARCHAR), x + y + w + h FROM fx_annotations
-   UNION ALL SELECT 'category', category_id, name, 0 FROM fx_categories""")
-def _(s, d):
-    path = _scratch(s)
-    _coco_doc(T(s, d), path)
-    images, anns, cats = readers.coco_scan(s, path, lines=True)
+_SCAN = """SELECT 'image' AS kind, image_id AS id, file_name AS label, CAST(width AS DOUBLE) AS v FROM fx_images UNION ALL SELECT 'annotation', ann_id, CAST(category_id AS VARCHAR), x + y + w + h FROM fx_annotations
+   UNION ALL SELECT 'category', category_id, name, 0 FROM fx_categories"""
+
+
+def _scanned(images, anns, cats):
     images = images.select(F.lit("image").alias("kind"), F.col("image_id").alias("id"), F.col("file_name").alias("label"), F.col("width").cast("double").alias("v"))
     anns = anns.select(F.lit("annotation").alias("kind"), F.col("ann_id").alias("id"), F.col("category_id").cast("string").alias("label"), (F.col("x") + F.col("y") + F.col("w") + F.col("h")).alias("v"))
     cats = cats.select(F.lit("category").alias("kind"), F.col("category_id").cast("bigint").alias("id"), F.col("name").alias("label"), F.lit(0.0).alias("v"))
     return images.unionByName(anns).unionByName(cats)
 
 
+def _one_document(s, parts, path: str) -> None:
+    """All rows as the arrays of one JSON document, in one file; its one task streams."""
+    lines = None
+    for i, (kind, rows) in enumerate(parts):
+        body = rows.select(F.lit(i).alias("part"), F.col("id"), F.to_json(F.struct(*rows.columns)).alias("value"))
+        first = F.col("id") == rows.agg(F.min("id")).scalar()
+        opens = ('{"' if i == 0 else '], "') + kind + '": ['
+        body = body.withColumn("value", F.concat(F.when(first, F.lit(opens) if kind else F.lit("[")).otherwise(", "), "value"))
+        lines = body if lines is None else lines.unionByName(body)
+    end = s.range(1).select(F.lit(len(parts)).alias("part"), F.lit(0).cast("bigint").alias("id"), F.lit("]}" if parts[0][0] else "]").alias("value"))
+    lines.unionByName(end).orderBy("part", "id").select("value").coalesce(1).write.text(path)
+
+
+@query("src_1_coco_arrays", _SCAN)
+def _(s, d):
+    t, path = T(s, d), _scratch(s)
+    _one_document(s, [
+        ("images", t.images.select(F.col("image_id").alias("id"), "file_name", "width", "height")),
+        ("annotations", t.annotations.select(F.col("ann_id").alias("id"), "image_id", "category_id", G.as_array(G.box_of()).alias("bbox"), (F.col("w") * F.col("h")).alias("area"))),
+        ("categories", t.categories.select(F.col("category_id").cast("bigint").alias("id"), "name")),
+    ], path)
+    return _scanned(*readers.coco_arrays(s, path))
+
+
+@query("src_2_predictions_array", "SELECT row_number() OVER (ORDER BY pred_id) - 1 AS pred_id, image_id, category_id, x, y, w, h, score FROM fx_predictions")
+def _(s, d):
+    path = _scratch(s)
+    rows = T(s, d).predictions.select(F.col("pred_id").alias("id"), "image_id", "category_id", G.as_array(G.box_of()).alias("bbox"), "score")
+    _one_document(s, [("", rows)], path)
+    return readers.predictions_array(s, path)
+
+
+@query("src_1_coco_scan", _SCAN)
+def _(s, d):
+    path = _scratch(s)
+    _coco_doc(T(s, d), path)
+    return _scanned(*readers.coco_scan(s, path, lines=True))
+
+
 @query("src_3_product_metadata_scan", "SELECT product_name, product_code, corrected_count FROM fx_products")
 def _(s, d):
     path = _scratch(s)
