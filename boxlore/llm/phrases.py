@@ -322,9 +322,9 @@ def rank(found: DataFrame, top: int = 2000, cover: int = 80) -> DataFrame:
     ).groupBy("lang", "phrase").agg(F.max("a").alias("outer"))
     kept = best.join(inside, ["lang", "phrase"], "left").where(F.expr(f"outer IS NULL OR CAST(outer AS DECIMAL(19,0)) * 100 < CAST(a AS DECIMAL(19,0)) * {int(cover)}"))
     order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     total = found.where("k = 0").select("lang", F.col("f").alias("n"))
-    return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
+    return ranked.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
 
 def collocations(docs: DataFrame, own: Scratch, support: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, **how) -> DataFrame:

@@ -55,9 +55,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"), owner(spark), percent=85, bands=25, rows=5)
 
 
-@query(f"""
-WITH RECURSIVE nodes AS (
-  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+def _vector_links_sql(nodes: str) -> str:
+    return f"""
+WITH RECURSIVE nodes AS ({nodes}),
 good AS (
   SELECT * FROM nodes WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(v, lambda x: x <> 0)) > 0),
@@ -67,11 +67,29 @@ links AS (
 {_COMPONENTS},
 n AS (SELECT a, count(*) AS k FROM links GROUP BY a)
 SELECT nodes.id AS vec_id, CAST(coalesce(max(n.k), 0) AS BIGINT) AS n_links, min(reach.b) AS component_id, nodes.id = min(reach.b) AS kept
-FROM nodes JOIN reach ON reach.a = nodes.id LEFT JOIN n ON n.a = nodes.id GROUP BY nodes.id""")
+FROM nodes JOIN reach ON reach.a = nodes.id LEFT JOIN n ON n.a = nodes.id GROUP BY nodes.id"""
+
+
+@query(_vector_links_sql("SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"))
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.links(_table(spark, sf_dir, "embeddings"), owner(spark))
 
 
+_NEAR = """
+  SELECT vec_id * 4 + k AS id, label, CASE k WHEN 0 THEN v WHEN 1 THEN list_transform(v, lambda x: x * 3)
+    WHEN 2 THEN list_transform(v, lambda x, i: CASE WHEN i <= 4 THEN x + 0.05 ELSE x END) ELSE list_transform(v, lambda x, i: CASE WHEN i % 2 = 0 THEN -x ELSE x END) END AS v
+  FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, unnest([0, 1, 2, 3]) AS k FROM embeddings)"""
+
+
+@query(_vector_links_sql(_NEAR))
+def vector_dedup_of_changed_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with a scaled copy, a shifted one and one turned away: links exist, and not everywhere."""
+    v = F.col("embedding").cast("array<double>")
+    kinds = F.array(v, F.transform(v, lambda x: x * 3), F.transform(v, lambda x, i: F.when(i < 4, x + 0.05).otherwise(x)), F.transform(v, lambda x, i: F.when(i % 2 == 1, -x).otherwise(x)))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(kinds).alias("k", "embedding"))
+    return vector_dedup.links(rows.withColumn("vec_id", F.col("vec_id") * 4 + F.col("k")).drop("k"), owner(spark))
+
+
 @query(r"""
 WITH bytes AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
 sized AS (SELECT doc_id, x, CAST(length(x) / 2 AS BIGINT) AS n FROM bytes),

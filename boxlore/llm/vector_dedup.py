@@ -91,7 +91,7 @@ def _compare(threshold: float):
 
 def links(
     vectors: DataFrame, own: Scratch, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98,
-    pivots: int = 24, chunk: int = CHUNK,
+    pivots: int = 4, chunk: int = CHUNK,
 ) -> DataFrame:
     """Per row: ``key, n_links, component_id, kept`` under cosine >= ``threshold`` within equal labels.
 
@@ -99,7 +99,8 @@ def links(
     (the smallest hashes; a fixed number, whatever the input) cut the unit sphere; a vector goes to
     the cell of its nearest pivot and to each cell whose border is within the radius that the
     threshold stands for. Cells join alone, chunk against chunk, so neither a hot label nor a dense
-    cell is one task. Null labels, and null, zero, non-finite, empty or ragged vectors, link with
+    cell is one task. In many dimensions most vectors lie near every border: with 24 pivots a vector
+    of 64 components went to 15 cells and no fewer pairs were compared than with 4. Null labels, and null, zero, non-finite, empty or ragged vectors, link with
     nothing and come back as rows of their own; vectors of other lengths only meet their own kind.
     Rows that share a key count as copies if they are equal. A null key gets no result.
     """
