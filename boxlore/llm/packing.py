@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxlore.llm.tokens import Encoder
+from boxlore.llm.tokens import encoder
 from boxlore.session import Scratch
 
 Piece = tuple[int, int, int, np.ndarray]  # document, start, tokens of the document, ids
@@ -94,7 +94,7 @@ _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 
 def _pack(tokenizer: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), Packer(size)
+        encode, packer = encoder(tokenizer).encode, Packer(size)
         part, window = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
 
@@ -115,7 +115,7 @@ def _pack(tokenizer: str, size: int, end: int):
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, batch.num_rows, 512):
-                for doc, ids in zip(keys.slice(at, 512).to_pylist(), encoder.encode(texts.slice(at, 512).to_pylist(), end), strict=True):
+                for doc, ids in zip(keys.slice(at, 512).to_pylist(), encode(texts.slice(at, 512), end), strict=True):
                     for start in range(0, len(ids), size):
                         note(packer.add((doc, start, len(ids), ids[start : start + size])))
             yield out()

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxlore.llm.store import gaps, pack, unpack
-from boxlore.llm.tokens import Encoder
+from boxlore.llm.tokens import encoder
 from boxlore.session import Scratch
 
 MAGIC = b"TIDS\x01"
@@ -227,7 +227,7 @@ def read_record(record: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _write(tokenizer: str, end: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encode, part, number, before = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, 0
         docs: list[int] = []
         ids: list[np.ndarray] = []
         held = 0
@@ -245,7 +245,7 @@ def _write(tokenizer: str, end: int, bits: int):
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, batch.num_rows, 512):
-                for doc, one in zip(keys.slice(at, 512).to_pylist(), encoder.encode(texts.slice(at, 512).to_pylist(), end), strict=True):
+                for doc, one in zip(keys.slice(at, 512).to_pylist(), encode(texts.slice(at, 512), end), strict=True):
                     if held and held + len(one) > RECORD:
                         yield record()
                     docs.append(doc)

@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-MEMO = 400_000
+from boxlore.llm.texts import _BASE2, U64, _binary, mix, prefix, ranges, span_hash
+
+MEMO = 1_000_000
+PART = 2 << 20  # bytes of texts that are looked up at a time
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def _space_before(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space (of any script)."""
+    one, two, three = (buf[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    out = _SPACE[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+    wide = (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    wide |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
+    return out | wide | (one == 0x80) & ((three == 0xE1) & (two == 0x9A) | (three == 0xE3) & (two == 0x80))
 
 
 class Encoder:
@@ -17,54 +32,121 @@ class Encoder:
     A blank opens a new pre-token unless white space stands before it. So a text without such
     places may be cut in front of its blanks, and a cut word's ids never depend on its
     neighbours: each distinct word is encoded once and kept (the memo is emptied when it holds
-    :data:`MEMO` words). Other texts are encoded whole. Special strings in a text are ordinary text.
+    :data:`MEMO` words). Words are told by 128 bits of hashes and looked up for many texts at
+    once. Other texts are encoded whole. Special strings in a text are ordinary text.
     """
 
-    _RUN = re.compile(r"\s ")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
-        self._memo: dict[str, bytes] = {}
         blank = self._tok.encode("a b", add_special_tokens=False).tokens[-1][0]
         self._opens = np.zeros(self._tok.get_vocab_size(), bool)
         self._opens[[i for t, i in self._tok.get_vocab().items() if t.startswith(blank)]] = True
+        self._forget()
 
-    def _ids(self, texts: Sequence[str]) -> list[bytes]:
-        out = self._tok.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in out]
-
-    def _words(self, some: list[str]) -> list[bytes]:
-        """Ids of distinct words behind a blank: encoded in long lines, cut where a token opens with one."""
-        out: list[bytes] = []
-        lines = [some[at : at + 2000] for at in range(0, len(some), 2000)]
-        for words, line in zip(lines, self._ids([" " + " ".join(words) for words in lines]), strict=True):
-            cut = np.flatnonzero(self._opens[np.frombuffer(line, "<u4")]) * 4
-            ends = [*cut[1:].tolist(), len(line)]
-            out += [line[a:b] for a, b in zip(cut.tolist(), ends, strict=True)]
-        return out
+    def _forget(self) -> None:
+        self._key, self._other = np.zeros(0, U64), np.zeros(0, U64)
+        self._at, self._n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._held, self._used = np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self._tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
+    def _words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words with a blank in front, and the number of each: encoded in long lines, cut where a token opens with one."""
+        cuts = [slice(at, at + 2000) for at in range(0, len(start), 2000)]
+        lines = [buf[ranges(start[c], end[c] - start[c])].tobytes().decode() for c in cuts]
+        ids, count = [], []
+        for c, line in zip(cuts, self._ids(lines), strict=True):
+            opens = np.flatnonzero(self._opens[line])
+            if len(opens) == len(start[c]):
+                ids.append(line)
+                count.append(np.diff(opens, append=len(line)))
+            else:
+                ids += self._ids([buf[i:j].tobytes().decode() for i, j in zip(start[c].tolist(), end[c].tolist(), strict=True)])
+                count.append(np.array([len(x) for x in ids[-len(start[c]) :]]))
+        return ids, count
+
+    def _learn(self, key: np.ndarray, other: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encode pieces and put them into the memo; ``key`` is sorted and new to it."""
+        behind = (buf[start] == 32) & (end - start > 1)
+        order = np.concatenate([np.flatnonzero(behind), np.flatnonzero(~behind)])
+        ids, count = self._words(buf, start[behind], end[behind])
+        rest = self._ids([buf[i:j].tobytes().decode() for i, j in zip(start[~behind].tolist(), end[~behind].tolist(), strict=True)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids, *rest])
+        n = np.empty(len(key), np.int64)
+        n[order] = np.concatenate([np.zeros(0, np.int64), *count, np.array([len(x) for x in rest], np.int64)])
+        at = np.empty(len(key), np.int64)
+        at[order] = self._used + np.cumsum(n[order]) - n[order]
+        if self._used + len(flat) > len(self._held):
+            grown = np.zeros(2 * (self._used + len(flat)), np.uint32)
+            grown[: self._used] = self._held[: self._used]
+            self._held = grown
+        self._held[self._used : self._used + len(flat)] = flat
+        where = np.searchsorted(self._key, key)
+        self._key, self._other = np.insert(self._key, where, key), np.insert(self._other, where, other)
+        self._at, self._n = np.insert(self._at, where, at), np.insert(self._n, where, n)
+        self._used += len(flat)
+
+    def _part(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts one after another, and the number of each."""
+        n = len(off) - 1
+        size = np.diff(off)
+        blank = np.flatnonzero(buf == 32)
+        doc = np.searchsorted(off, blank, side="right") - 1
+        inner = blank > off[doc]
+        whole = np.zeros(n, bool)
+        whole[doc[inner & _space_before(buf, blank)]] = True
+        cut = blank[inner & ~whole[doc]]
+        start = np.sort(np.concatenate([off[:-1][(size > 0) & ~whole], cut]))
+        doc = np.searchsorted(off, start, side="right") - 1
+        end = np.minimum(np.append(start[1:], len(buf)), off[doc + 1])
+        key = mix(span_hash(prefix(buf), start, end))
+        other = mix(span_hash(prefix(buf, _BASE2), start, end, _BASE2), 9)
+        word, first, number = np.unique(key, return_index=True, return_inverse=True)
+        if len(self._key) > MEMO:
+            self._forget()
+        at = np.minimum(np.searchsorted(self._key, word), max(len(self._key) - 1, 0))
+        fresh = self._key[at] != word if len(self._key) else np.ones(len(word), bool)
+        new = first[fresh]
+        self._learn(word[fresh], other[new], buf, start[new], end[new])
+        at = np.searchsorted(self._key, word)[number]
+        mixed = self._other[at] != other  # one key for two words: their texts are encoded whole
+        whole[doc[mixed]] = True
+        good = ~whole[doc]
+        at, doc = at[good], doc[good]
+        ids = self._held[ranges(self._at[at], self._n[at])]
+        count = np.bincount(doc, self._n[at], n).astype(np.int64)
+        if whole.any():
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            some = np.flatnonzero(whole).tolist()
+            for i, x in zip(some, self._ids([buf[off[i] : off[i + 1]].tobytes().decode() for i in some]), strict=True):
+                parts[i], count[i] = x, len(x)
+            ids = np.concatenate(parts)
+        return ids, count
+
+    def encode(self, texts: Sequence[str | None] | pa.Array, end: int | None = None) -> list[np.ndarray]:
         """Ids of each text (null as empty), followed by ``end`` if given."""
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string())
+        buf, off = _binary(column)
         out: list[np.ndarray] = []
-        for at in range(0, len(texts), 512):
-            some = [t or "" for t in texts[at : at + 512]]
-            cut = [None if self._RUN.search(t) else t.split(" ") for t in some]
-            if len(self._memo) > MEMO:
-                self._memo.clear()
-            memo = self._memo
-            fresh = set()
-            for words in cut:
-                if words:
-                    fresh.update(words[1:])
-            fresh = list(fresh.difference(memo))
-            memo.update(zip(fresh, self._words(fresh), strict=True))
-            heads = self._ids([words[0] if words else t for t, words in zip(some, cut, strict=True)])
-            get = memo.__getitem__
-            for head, words in zip(heads, cut, strict=True):
-                out.append(np.frombuffer(b"".join([head, *map(get, words[1:]), tail]) if words else head + tail, "<u4"))
+        at, n = 0, len(off) - 1
+        while at < n:
+            stop = min(max(int(np.searchsorted(off, off[at] + PART, side="right")) - 1, at + 1), n)
+            ids, count = self._part(buf[off[at] : off[stop]], off[at : stop + 1] - off[at])
+            if end is not None:
+                ids, count = np.insert(ids, np.cumsum(count), end), count + 1
+            ids = ids.astype("<u4", copy=False)
+            edge = np.cumsum(count).tolist()
+            out += [ids[a:b] for a, b in zip([0, *edge[:-1]], edge, strict=True)]
+            at = stop
         return out
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, built once per process; its memo serves all its tasks."""
+    return Encoder(path)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from boxlore.llm import decontaminate, graph, language_model, near_dedup, packing, quality, span_dedup, store, texts, token_file, toxicity
+from boxlore.llm import decontaminate, graph, language_model, near_dedup, packing, quality, span_dedup, store, texts, token_file, tokens, toxicity
 from boxlore.llm.queries import tokenizer_path
 from boxlore.llm.tokens import Encoder
 from boxlore.session import Scratch
@@ -251,13 +251,22 @@ def test_range_coder_round_trip(n):
         assert (token_file.decode(token_file.encode(ids, 17), len(ids), 17) == ids).all()
 
 
-def test_encoder_equals_whole_texts():
+def test_encoder_equals_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
     some = ["", "a", " a", "a b  c", "x\n y", "tab\tb \n\n c", "don't we'll", "é ñ ß", "日本 語", "a,b. c!! d", " lead", "trail ", "1 22 333", None, "  x y z"]
-    for text, ids in zip(some, Encoder(tokenizer_path()).encode(some), strict=True):
-        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+    some += ["a\u00a0 b", "x\u3000 y", "p\u2003 q\u202f r", "a\x1c b\x85 c", "é à ê ", "end\n", "end\u00a0", "a\u1680 b \u205f c", "<|endoftext|> a<|endoftext|> b", " ", "\n", "x" * 5000]
+    rng = random.Random(2)
+    some += ["".join(rng.choice(["a", "b", " ", " ", "é", "\n", "\u00a0", ".", "1", "日", "'s", "\u2009"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for memo, part in ((tokens.MEMO, tokens.PART), (20, 64)):
+        monkeypatch.setattr(tokens, "MEMO", memo)
+        monkeypatch.setattr(tokens, "PART", part)
+        ours = Encoder(tokenizer_path())
+        for got in (ours.encode(some, 7), ours.encode(pa.array(["x", *some])[1:], 7)):
+            for text, ids in zip(some, got, strict=True):
+                assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 7]
 
 
 def test_decontamination(spark, own):
