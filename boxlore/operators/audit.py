@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxlore.functions.scalars import bucket_label, bucket_ordinal
 from boxlore.operators.ranking import ranked
 
+# The ranges that reports are made in, and the area below which a box is tiny.
 FREQUENCY_BUCKETS = [(1, 1), (2, 5), (6, 10), (11, 20), (21, 50), (51, 100), (101, 200), (201, 500), (501, 1000)]
 TINY_AREA = 1024.0
 
@@ -121,6 +122,7 @@ def fixed_broke(pairs: DataFrame) -> DataFrame:
 
 def crop_distribution(train_counts: DataFrame) -> DataFrame:
     """Classes per range of training crops."""
+    # Fixed values.
     ranges = [(1, 1), (2, 5), (6, 10), (11, 20), (21, 50), (51, 100), (101, None)]
     n = F.col("n")
     return train_counts.where(n > 0).groupBy(bucket_ordinal(n, ranges).alias("ordinal"), bucket_label(n, ranges).alias("bucket")).agg(

@@ -58,6 +58,7 @@ def boost_table(
     is_high, is_mid = eligible & (f >= high), eligible & (f < high) & (f >= mid)
     factor = lambda c, v: F.when(c, v).otherwise(1)
     repeat = F.greatest(factor(is_rare, rare_repeat), factor(is_tail, tail_repeat), factor(is_high, high_repeat), factor(is_mid, mid_repeat))
+    # The texts of the reasons are fixed values.
     reasons = F.filter(F.array(
         F.when(is_rare, f"rare<={rare}"), F.when(is_tail, f"tail<={tail}"),
         F.when(is_high, f"corr>={high:.2f}"), F.when(is_mid, f"corr>={mid:.2f}")), lambda r: r.isNotNull())

@@ -13,6 +13,7 @@ from suite.base import query
 
 r6 = lambda c: F.round(c, 6)
 
+# The grids that are swept.
 CONFS, NMS_IOUS = [0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6], [0.3, 0.4, 0.5, 0.6, 0.7]
 CLS_TS, DET_TS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [0.5, 0.6, 0.7, 0.8, 0.9]
 
