@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -98,6 +100,17 @@ def owner(spark: SparkSession) -> Scratch:
     return _OPEN[-1]
 
 
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[Scratch]:
+    """What :func:`owner` and :func:`materialise` keep inside is dropped at the end."""
+    with Scratch(spark) as own:
+        _OPEN.append(own)
+        try:
+            yield own
+        finally:
+            _OPEN.remove(own)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Keep ``df`` as a table until :func:`release`."""
     return owner(df.sparkSession).keep(df)
