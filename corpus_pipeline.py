@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlore.llm import decontaminate, near_dedup, packing, span_dedup, toxicity
 from boxlore.llm.queries import tokenizer_path
-from boxlore.session import Scratch, shared_dir
+from boxlore.session import owned, owner
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates (five words, similarity 0.8)."""
-    return near_dedup.keep_first(docs, Scratch(spark))
+    return near_dedup.keep_first(docs, owner(spark))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +27,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), owner(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 2048 ids."""
-    return packing.pack(docs, Scratch(spark), tokenizer_path())
+    return packing.pack(docs, owner(spark), tokenizer_path())
 
 
 STAGES = [
@@ -45,15 +43,20 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Trained scores and token ids have no SQL; the tests hold run() against a brute-force version.
+# Trained scores and token ids have no SQL; the tests hold run() against its stages, and those against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """All stages on the documents of ``sf_dir``, each written as a Parquet table and read again.
+
+    A stage's own tables go when it is written, its input when its output is; the result lives
+    until :func:`boxlore.session.release`.
+    """
+    docs, before, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), [], owner(spark)
+    for _, stage in STAGES:
+        with owned(spark):
+            docs = own.keep(stage(spark, docs, sf_dir))
+        own.discard(*before)
+        before = [docs]
     return docs
