@@ -6,14 +6,18 @@ import os
 import random
 import subprocess
 import sys
+import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from boxlore import session
 from boxlore.llm import main_text, queries, vector_dedup
+from boxlore.llm.queries import tokenizer_path
+from boxlore.llm.tokens import Encoder
 from boxlore.session import Scratch
-from tests.llm.test_documents import near_groups, reach, removed, words
+from tests.llm.test_documents import near_groups, reach, removed
 
 
 @pytest.fixture
@@ -202,5 +206,17 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = kept.collect()
     assert {r.doc_id for r in pieces} == set(after)
     assert corpus_pipeline.ORACLE_SQL is None
-    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()), key=str) != []
-    assert all(words(t) is not None for t in after.values())
+    session.release(spark)
+    tables = lambda: {t.tableName for t in spark.sql(f"SHOW TABLES IN {session.SCRATCH}").collect() if not t.isTemporary}
+    open_ = tables()
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    what = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert len(tables() - open_) == 1
+    texts_of_all = Encoder(tokenizer_path()).encode(list(after.values()), 1)
+    ids = dict(zip(after, texts_of_all, strict=True))
+    found = sorted((tuple(r) for r in whole.select(what).collect()), key=str)
+    for i, start, length, crc, total in found:
+        assert total == len(ids[i]) and crc == zlib.crc32(ids[i][start : start + length].tobytes())
+    assert sum(r[2] for r in found) == sum(map(len, ids.values())) and {r[0] for r in found} == set(after)
+    session.release(spark)
+    assert tables() == open_
