@@ -2,28 +2,68 @@
 
 Each round unites every id with the neighbour of best priority, a fresh hash per round, and goes
 on with the contracted links, so chains shrink as fast as stars and rounds grow with the
-logarithm of the ids. Going back, each round's answer is one join with the next one's and is
-stored: no plan ever holds more than one round.
+logarithm of the ids. At most :data:`LOCAL` links are united by one task. Going back, each round's
+answer is one join with the next one's and is stored: no plan ever holds more than one round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlore.session import Scratch
 
+LOCAL = 100_000
 
-def components(pairs: DataFrame, own: Scratch, a: str = "a", b: str = "b") -> DataFrame:
-    """``id, component`` (smallest id reachable) of every id in ``pairs``.
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member number of each of ``n`` items' component under links a-b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = np.minimum(new, new[label])
+        while True:
+            jump = new[new]
+            if np.array_equal(jump, new):
+                break
+            new = jump
+        if np.array_equal(new, label):
+            break
+        label = new
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest id that each id of a few links reaches."""
+    both = [np.stack([x.column(c).to_numpy() for c in "ab"]) for x in batches if x.num_rows]
+    if both:
+        ids, at = np.unique(np.concatenate(both, 1), return_inverse=True)
+        at = at.reshape(2, -1)
+        up = ids[forest(len(ids), at[0], at[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(up)], names=["id", "up"])
+
+
+
+def components(pairs: DataFrame, own: Scratch, a: str = "a", b: str = "b", local: int = LOCAL) -> DataFrame:
+    """``id, component`` (smallest id reachable) of every id in ``pairs``; ids are bigint.
 
     Loops, repeated and null links are ignored. The rounds' tables are dropped on the way.
     """
     links = own.keep(pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     rounds: list[DataFrame] = []
-    while not rounds or not links.isEmpty():
+    while True:
+        if links.count() <= local:
+            rounds.append(own.keep(links.repartition(1).mapInArrow(_unite, "id bigint, up bigint")))
+            break
         salt = F.lit(len(rounds))
         rank = lambda c: F.struct(F.xxhash64(c, salt).alias("h"), F.col(c).alias("v"))
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -10,15 +10,18 @@ from boxlore.operators.consensus import vote_consensus
 
 STORED = "ann_id bigint, voter int, vote boolean, at timestamp, file string, row bigint, batch_id bigint"
 _ORDER = ("at", "file", "row")
+FAN = 8  # parts of one level that are merged into one of the next
+_LEVEL = 10**12  # parts of batches are numbered from 0, merged ones from -_LEVEL downwards
 
 
 def incremental_consensus(spark: SparkSession, votes_dir: str, results_dir: str, checkpoint_dir: str, files_per_batch: int = 10) -> int:
     """Take up all vote files that have arrived, then stop; call again to go on.
 
     The state is one vote per annotation and voter and batch, in a folder per batch that a replay
-    of the batch overwrites. A batch only writes its own votes. :func:`results` decides from all
-    of them, the last vote of a voter counts, so neither batch size, order of arrival nor a
-    restart changes the answer. Returns the number of batches this call ran.
+    of the batch overwrites. A batch only writes its own votes; :func:`compact` merges parts as
+    they become many. :func:`results` decides from all of them, the last vote of a voter counts, so
+    neither batch size, order of arrival nor a restart changes the answer. Returns the number of
+    batches this call ran.
     """
     ran = []
 
@@ -36,9 +39,44 @@ def incremental_consensus(spark: SparkSession, votes_dir: str, results_dir: str,
         placed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if ran:
+        compact(spark, results_dir)
     return len(ran)
 
 
+def parts(spark: SparkSession, results_dir: str) -> dict[int, int]:
+    """Votes of every part that holds any, by the number of the part."""
+    found = spark.read.schema(f"{STORED}, part bigint").parquet(results_dir).groupBy("part").count().collect()  # a row per part
+    return {r["part"]: r["count"] for r in found}
+
+
+def compact(spark: SparkSession, results_dir: str, fan: int = FAN) -> int:
+    """Merge ``fan`` parts of a level into one part of the next, one vote per annotation and voter, until none has as many.
+
+    A vote is rewritten once a level, so a batch costs in proportion to its own votes times the
+    logarithm of the number of batches, and there are at most ``fan`` parts a level to read. The
+    merged part is written before its sources are emptied: votes that lie in both for a while, or
+    come back with a replayed batch, are the same votes and count once. Returns the merges done.
+    """
+    done = 0
+    while True:
+        levels: dict[int, list[int]] = {}
+        for part in parts(spark, results_dir):
+            levels.setdefault(max(-part, 0) // _LEVEL, []).append(part)
+        full = next((level for level in sorted(levels) if len(levels[level]) >= fan), None)
+        if full is None:
+            return done
+        # The oldest first; a part of a level is numbered by the last batch in it.
+        some = sorted(levels[full], key=lambda p: abs(p) % _LEVEL)[:fan]
+        last = abs(some[-1]) % _LEVEL
+        rows = _last(spark.read.schema(STORED).parquet(*[f"{results_dir}/part={p}" for p in some])).withColumn("batch_id", F.lit(last).cast("bigint"))
+        rows.write.mode("overwrite").parquet(f"{results_dir}/part={-(full + 1) * _LEVEL - last}")
+        nothing = spark.createDataFrame([], STORED)
+        for part in some:
+            nothing.write.mode("overwrite").parquet(f"{results_dir}/part={part}")
+        done += 1
+
+
 def _last(votes: DataFrame) -> DataFrame:
     """The latest vote of each voter on each annotation: by file time, file name and row."""
     picked = votes.groupBy("ann_id", "voter").agg(F.max(F.struct(*_ORDER, "vote")).alias("v"))

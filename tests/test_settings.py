@@ -34,8 +34,10 @@ def test_components(spark):
             a, b = sorted((root(a), root(b)))
             up[b] = a
     with Scratch(spark) as own:
-        got = components.components(spark.createDataFrame(links, "a long, b long"), own).collect()
-        assert {x.id: x.component for x in got} == {i: root(i) for i in up} and len(own.names) <= 2
+        for local in (0, 60, 10**6):  # rounds alone, rounds and a task, a task alone
+            got = components.components(spark.createDataFrame(links, "a long, b long"), own, local=local).collect()
+            assert {x.id: x.component for x in got} == {i: root(i) for i in up} and len(own.names) <= 2
+            own.close()
         assert components.components(spark.createDataFrame([], "a long, b long"), own).count() == 0
 
 

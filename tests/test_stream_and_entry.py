@@ -54,6 +54,25 @@ def test_stream_loses_no_vote(spark, tmp_path, files_per_batch):
     assert {r.ann_id: (r.yes, r.no, r.consensus) for r in C.results(spark, out).collect()} == {7: (1, 2, "mismatch"), 8: (0, 0, "error")}
 
 
+def test_parts_are_merged(spark, tmp_path, monkeypatch):
+    votes, out = str(tmp_path / "votes"), str(tmp_path / "out")
+    want = {}
+    for i in range(11):
+        rows = [(a, i % 3, (a + i) % 2 == 0) for a in range(i, i + 4)]
+        want |= {(a, v): x for a, v, x in rows}
+        spark.createDataFrame(rows, "ann_id long, voter int, vote boolean").coalesce(1).write.mode("append").parquet(votes)
+        time.sleep(0.05)
+    monkeypatch.setattr(C.compact, "__defaults__", (3,))
+    assert C.incremental_consensus(spark, votes, out, str(tmp_path / "ckpt"), files_per_batch=1) == 11
+    held = C.parts(spark, out)
+    assert held == {9: 4, 10: 4, -2 * C._LEVEL - 8: 30}  # nine batches of 36 votes are one part of the second level
+    stored = lambda: {(r.ann_id, r.voter): r.vote for r in C.stored_votes(spark, out).collect()}
+    assert stored() == want
+    # All batches once more, as after lost progress: the merged votes come back and count once.
+    C.incremental_consensus(spark, votes, out, str(tmp_path / "again"), files_per_batch=1)
+    assert stored() == want and C.compact(spark, out, 100) == 0
+
+
 def test_threshold_sweep_equals_single_runs(spark):
     preds, gts = make(31, images=3)
     p, g = spark.createDataFrame(preds, PRED), spark.createDataFrame(gts, GT)
