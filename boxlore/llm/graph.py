@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlore.operators.components import components
+from boxlore.operators.components import components, forest
 
 __all__ = ["components", "forest", "in_chunks"]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member number of each of ``n`` items' component under links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = np.minimum(new, new[label])
-        while True:
-            jump = new[new]
-            if np.array_equal(jump, new):
-                break
-            new = jump
-        if np.array_equal(new, label):
-            break
-        label = new
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    return label
-
-
 def in_chunks(df: DataFrame, group: list[str], key: str, size: int) -> DataFrame:
     """Number the rows of each group into ``_n`` chunks (``_c``) of about ``size`` by a hash of ``key``.
 
