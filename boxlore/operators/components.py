@@ -92,8 +92,9 @@ def in_units(pairs: DataFrame, hot: DataFrame | None, keys: Sequence[str], left:
     """``pairs`` with ``_unit``: what a task decides on its own.
 
     Pairs link what ``left`` and ``right`` name inside a group of ``keys`` (things of ``one_kind``,
-    or of two that share no name); what is not linked is decided independently. Groups in ``hot`` are cut into their components (two may share a
-    number by chance, which costs nothing but parallelism), the others stay whole as unit 0.
+    or of two that share no name); what is not linked is decided independently. Groups in ``hot``
+    are cut into their components (two may share a number by chance, which costs nothing but
+    parallelism), the others stay whole as unit 0.
     """
     keys = list(keys)
     if hot is None:
